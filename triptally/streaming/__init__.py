@@ -1,0 +1,4 @@
+"""Empty on purpose: the index is computed month by month from complete tables, no streams.
+
+Late deliveries are handled in batch, by re-processing a month (sources.writers.replace_months).
+"""
