@@ -35,19 +35,24 @@ def months_between(start: date, end: date) -> Column:
     )
 
 
-def code_in(mcc: Column, category: Category) -> Column:
-    """Membership of a category. Codes compare as strings, also in the range."""
-    listed = mcc.isin(*category.codes)
-    return listed | mcc.between(*category.code_range) if category.code_range else listed
+def _code_condition(mcc: str, category: Category) -> str:
+    codes = ", ".join(f"'{code}'" for code in category.codes)
+    condition = f"{mcc} in ({codes})"
+    if category.code_range:
+        low, high = category.code_range
+        condition = f"({condition} or {mcc} between '{low}' and '{high}')"
+    return condition
 
 
-def category_of(mcc: Column, categories: Sequence[Category], other: str | None = "other") -> Column:
+def code_in(mcc: str, *categories: Category) -> Column:
+    """Membership of any of the categories. Codes compare as strings, also in the range."""
+    return F.expr(" or ".join(_code_condition(mcc, category) for category in categories))
+
+
+def category_of(mcc: str, categories: Sequence[Category], other: str = "other") -> Column:
     """Name of the first category holding the code."""
-    first, *rest = categories
-    named = F.when(code_in(mcc, first), first.name)
-    for category in rest:
-        named = named.when(code_in(mcc, category), category.name)
-    return named.otherwise(F.lit(other))
+    cases = (f"when {_code_condition(mcc, c)} then '{c.name}'" for c in categories)
+    return F.expr(f"case {' '.join(cases)} else '{other}' end")
 
 
 def above_minimum(amount: Column, category: Column, categories: Sequence[Category]) -> Column:

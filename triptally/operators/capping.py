@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triptally.functions.scalars import percent_of
 from triptally.operators.distribution import AMOUNT, CARD
+from triptally.operators.filters import present
 
 DAY = "trans_date"
 
@@ -35,54 +36,38 @@ def daily_rank(rows: DataFrame, place: Sequence[str], within: Sequence[str] = ()
     return rows.withColumn("daily_rank", F.row_number().over(order))
 
 
-def keep_dearest(
-    daily: DataFrame, cap: int, place: Sequence[str], within: Sequence[str] = ()
+def rank_purchases(
+    daily: DataFrame, place: Sequence[str], within: Sequence[str] = ()
 ) -> DataFrame:
-    """Daily purchase counts reduced to the `cap` dearest per card and day, across all places.
+    """Daily purchase counts with `earlier`, how many dearer purchases the card-day has.
 
-    Every row counts at least one purchase, so the first `cap` rows are enough; Spark cuts each
-    card-day down to them before shuffling.
+    A card-day has one row per place and distinct amount here, however often it bought.
     """
-    order = _dearest_first(within, place)
-    first = daily.withColumn("place_in_day", F.row_number().over(order)).filter(
-        F.col("place_in_day") <= cap
-    )
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    room = F.lit(cap) - F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    return (
-        first.withColumn("n", F.least(F.col("n"), room))
-        .filter(F.col("n") > 0)
-        .drop("place_in_day")
-    )
+    dearer = _dearest_first(within, place).rowsBetween(Window.unboundedPreceding, -1)
+    return daily.withColumn("earlier", F.coalesce(F.sum("n").over(dearer), F.lit(0)))
 
 
-def keep_dearest_for_each(
-    daily: DataFrame, caps: Sequence[int], place: Sequence[str], within: Sequence[str] = ()
-) -> DataFrame:
+def kept(cap: int | Column) -> Column:
+    """How many of a row's purchases are among the card-day's `cap` dearest."""
+    limit = F.lit(cap) if isinstance(cap, int) else cap
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), limit - F.col("earlier")))
+
+
+def keep_dearest(ranked: DataFrame, cap: int | Column) -> DataFrame:
+    """Ranked purchases reduced to the `cap` dearest per card and day, across all places."""
+    return ranked.withColumn("n", kept(cap)).filter(F.col("n") > 0).drop("earlier")
+
+
+def keep_dearest_for_each(ranked: DataFrame, caps: Sequence[int]) -> DataFrame:
     """The same for several caps from one ranking, with the cap in column `daily_cap`."""
-    order = _dearest_first(within, place)
-    first = daily.withColumn("place_in_day", F.row_number().over(order)).filter(
-        F.col("place_in_day") <= max(caps)
-    )
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = first.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     each = ranked.withColumn("daily_cap", F.explode(F.array(*[F.lit(c) for c in caps])))
-    return (
-        each.withColumn("n", F.least(F.col("n"), F.col("daily_cap") - F.col("earlier")))
-        .filter(F.col("n") > 0)
-        .drop("place_in_day", "earlier")
-    )
+    return keep_dearest(each, F.col("daily_cap"))
 
 
-def card_days(daily: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+def card_days(ranked: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     """Purchases before (`n_raw`) and after (`n_kept`) the cap per group, card and day."""
-    columns = [*keys, CARD, DAY]
-    before = daily.select(*columns, F.col("n").alias("n_raw"), F.lit(0).cast("long").alias("n_kept"))
-    after = kept.select(*columns, F.lit(0).cast("long").alias("n_raw"), F.col("n").alias("n_kept"))
-    return (
-        before.unionByName(after)
-        .groupBy(*columns)
-        .agg(F.sum("n_raw").alias("n_raw"), F.sum("n_kept").alias("n_kept"))
+    return ranked.groupBy(*keys, CARD, DAY).agg(
+        F.sum("n").alias("n_raw"), F.sum(kept(cap)).alias("n_kept")
     )
 
 
@@ -104,8 +89,7 @@ def card_patterns(days: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
 
 
 def capping_impact(
-    daily: DataFrame,
-    kept: DataFrame,
+    ranked: DataFrame,
     keys: Sequence[str],
     cap: int,
     regulars: str = "shoppers",
@@ -114,24 +98,26 @@ def capping_impact(
     """What the cap did to each group. Purchases without card or group are left out.
 
     The average per card and day weighs each card by its purchases (or counts each card once).
+    Cards are told apart by conditions, not by a filter, which would reach below the ranking and
+    make it a second one.
     """
     frequent = f"frequent_high_volume_{regulars}"
+    cards = card_patterns(card_days(ranked, keys, cap), keys, cap)
     known = F.col(CARD).isNotNull()
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    cards = card_patterns(card_days(daily, kept, keys).filter(known), keys, cap)
+    purchases = F.when(known, F.col("n_raw"))
+    daily_average = F.when(known, F.col("avg_daily_txn_count"))
+    average = F.avg(daily_average)
     if weighted_average:
-        average = F.sum(F.col("avg_daily_txn_count") * F.col("n_raw")) / F.sum("n_raw")
-    else:
-        average = F.avg("avg_daily_txn_count")
+        average = F.sum(daily_average * purchases) / F.sum(purchases)
     counted = cards.groupBy(*keys).agg(
-        F.sum("n_raw").alias("txn_before_cap"),
-        F.sum("n_kept").alias("txn_after_cap"),
-        F.count("*").alias("unique_cardholders_total"),
-        F.count_if(F.col("n_raw") > F.col("n_kept")).alias("cardholders_affected_by_cap"),
+        F.sum(purchases).alias("txn_before_cap"),
+        F.sum(F.when(known, F.col("n_kept"))).alias("txn_after_cap"),
+        F.count_if(known).alias("unique_cardholders_total"),
+        F.count_if(known & (F.col("n_raw") > F.col("n_kept"))).alias("cardholders_affected_by_cap"),
         F.round(average, 2).alias("avg_txn_per_cardholder_per_day"),
-        F.count_if(F.col("days_over_cap") / F.col("active_days") > 0.5).alias(frequent),
+        F.count_if(known & (F.col("days_over_cap") / F.col("active_days") > 0.5)).alias(frequent),
     )
+    counted = counted.filter((F.col("unique_cardholders_total") > 0) & present(keys))
     total = F.col("unique_cardholders_total")
     return counted.select(
         *keys,
@@ -152,11 +138,9 @@ def capping_impact(
     )
 
 
-def capping_impact_over_period(
-    daily: DataFrame, kept: DataFrame, keys: Sequence[str], cap: int
-) -> DataFrame:
+def capping_impact_over_period(ranked: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     """Period variant: every purchase counts, cards and card-days only where the card is known."""
-    cards = card_patterns(card_days(daily, kept, keys), keys, cap)
+    cards = card_patterns(card_days(ranked, keys, cap), keys, cap)
     known = F.col(CARD).isNotNull()
     counted = cards.groupBy(*keys).agg(
         F.sum("n_raw").alias("txn_before_cap"),

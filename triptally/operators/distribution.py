@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triptally.config import IndexConfig
+from triptally.operators.filters import present
 
 AMOUNT, CARD = "trans_amount", "membccid"
 _SCALE = 1_000_000
@@ -21,10 +22,7 @@ _SCALE = 1_000_000
 
 def count_purchases(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Purchases as (keys, card, amount, n). Rows without a key or amount belong to no group."""
-    present = F.col(AMOUNT).isNotNull()
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    return rows.filter(present).groupBy(*keys, CARD, AMOUNT).agg(F.count("*").alias("n"))
+    return rows.filter(present([*keys, AMOUNT])).groupBy(*keys, CARD, AMOUNT).agg(F.count("*").alias("n"))
 
 
 def price_list(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,8 +98,8 @@ def price_points(
 ) -> DataFrame:
     """Trimmed prices per group. Percentiles are taken again inside the band.
 
-    Columns: keys, one per share, min_cost, max_cost, total_amount, n_before, and the band
-    `low`/`high`, null without trimming.
+    Columns: keys, one per share, min_cost, max_cost, total_amount, purchases before (`n_before`)
+    and within (`n_band`) the band, and the band `low`/`high`, null without trimming.
     """
     if config.method == "approx":
         return _sketched_price_points(purchases, keys, shares, config)
@@ -122,12 +120,13 @@ def price_points(
         F.min(AMOUNT).alias("min_cost"),
         F.max(AMOUNT).alias("max_cost"),
         F.sum(F.col("n") * F.col(AMOUNT)).alias("total_amount"),
+        F.max("n_group").alias("n_band"),
         *[F.max(name).alias(name) for name in ("n_before", "low", "high")],
     )
     return result.select(*keys, *outputs, *_SUMMARY)
 
 
-_SUMMARY = ("min_cost", "max_cost", "total_amount", "n_before", "low", "high")
+_SUMMARY = ("min_cost", "max_cost", "total_amount", "n_before", "n_band", "low", "high")
 
 
 def _no_band() -> dict[str, Column]:
@@ -161,6 +160,7 @@ def _sketched_price_points(
         F.max(AMOUNT).alias("max_cost"),
         F.sum(AMOUNT).alias("total_amount"),
         F.coalesce(F.max("n_before"), F.count("*")).alias("n_before"),
+        F.count("*").alias("n_band"),
         *[F.max(bound).alias(bound) for bound in ("low", "high")],
     )
     points = [F.col("points")[i].alias(name) for i, name in enumerate(shares)]

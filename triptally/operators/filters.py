@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ from triptally.config import UNKNOWN_STATE, Category
 from triptally.functions.scalars import code_in
 
 
+def present(names: Sequence[str]) -> Column:
+    """None of the columns is missing. Written as plain conditions, which the optimizer knows from
+    joins, so that several uses of a frame keep sharing one scan."""
+    return reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in names])
+
+
 def in_period(start: date, end: date, day: str = "trans_date") -> Column:
     return F.col(day).between(F.lit(start), F.lit(end))
 
@@ -30,10 +37,7 @@ def in_us() -> Column:
 
 
 def in_categories(categories: Sequence[Category]) -> Column:
-    keep = code_in(F.col("mcc"), categories[0])
-    for category in categories[1:]:
-        keep = keep | code_in(F.col("mcc"), category)
-    return keep
+    return code_in("mcc", *categories)
 
 
 def in_band(value: str, low: str, high: str) -> Column:

@@ -9,7 +9,7 @@ from triptally.config import CATEGORIES, COUPLE_WEEKEND, EXCLUDE, ROLLING, Baske
 from triptally.functions.scalars import basket_cost
 from triptally.operators import filters
 from triptally.operators.joins import STATE
-from triptally.plans.category import category_costs
+from triptally.plans.category import category_prices
 from triptally.sources.tables import SpendTables
 
 KEYS = ["merch_state", "month_date"]
@@ -38,7 +38,7 @@ def basket_index(
     A state-month without accommodation has no row, and retail counts only beside restaurants:
     the outcome of left joins from accommodation and from restaurants.
     """
-    costs = category_costs(tables, CATEGORIES, STATE, config)
+    costs = category_prices(tables, CATEGORIES, STATE, config)
     wide = costs.groupBy(*KEYS).agg(*[F.max(name).alias(name) for name in COMPONENTS])
     anchored = wide.filter(F.col("accommodation_cost").isNotNull()).withColumn(
         "retail_cost", F.when(F.col("median_meal_cost").isNotNull(), F.col("retail_cost"))

@@ -21,11 +21,10 @@ from triptally.operators.distribution import (
     CARD,
     count_purchases,
     inside_band,
-    price_list,
     price_points,
-    trim,
     visitors,
 )
+from triptally.operators.filters import present
 from triptally.operators.joins import STATE
 from triptally.plans.category import MONTH, visitor_rows
 from triptally.sources.tables import SpendTables
@@ -34,7 +33,7 @@ MEDIAN = {"median": 0.5}
 
 
 def _present(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.dropna(subset=[*keys, AMOUNT])
+    return rows.filter(present([*keys, AMOUNT]))
 
 
 def retail_cap_test(
@@ -48,9 +47,8 @@ def retail_cap_test(
     rows = visitor_rows(tables, [category], STATE, config).withColumnRenamed(
         "merch_state", "state_abbr"
     )
-    daily = capping.count_daily_purchases(rows, keys)
-    capped = capping.keep_dearest(daily, config.daily_cap, keys)
-    purchases = _present(capped, keys)
+    ranked = capping.rank_purchases(capping.count_daily_purchases(rows, keys), keys)
+    purchases = _present(capping.keep_dearest(ranked, config.daily_cap), keys)
     prices = price_points(purchases, keys, MEDIAN, config)
     trimmed = inside_band(purchases, prices, keys, config)
     # Cards and card-days in one go: first per card-day, then per card.
@@ -63,7 +61,7 @@ def retail_cap_test(
             "unique_cardholder_days"
         ),
     )
-    impact = capping.capping_impact_over_period(daily, capped, keys, config.daily_cap)
+    impact = capping.capping_impact_over_period(ranked, keys, config.daily_cap)
     removed = F.col("n_before") - F.col("txn_count_after_filtering")
     impact_columns = [
         "txn_before_cap", "txn_after_cap", "txn_capped", "pct_txn_capped",
@@ -155,15 +153,15 @@ def cap_comparison(
     """Medians with and without the cap per state and month, both trimmed to their own band."""
     keys = [STATE.column, MONTH]
     daily = capping.count_daily_purchases(visitor_rows(tables, [category], STATE, config), keys)
-    capped = capping.keep_dearest(daily, config.daily_cap, [STATE.column])
+    ranked = capping.rank_purchases(daily, [STATE.column])
     # Both sides in one distribution, told apart by a key.
     sides = [*keys, "side"]
-    purchases = _present(
-        daily.withColumn("side", F.lit("uncapped")).unionByName(
-            capped.withColumn("side", F.lit("capped"))
-        ),
-        keys,
+    either = F.array(
+        F.struct(F.lit("uncapped").alias("side"), F.col("n")),
+        F.struct(F.lit("capped").alias("side"), capping.kept(config.daily_cap).alias("n")),
     )
+    both_sides = ranked.select(*keys, CARD, AMOUNT, F.inline(either)).filter(F.col("n") > 0)
+    purchases = _present(both_sides, keys)
     prices = price_points(purchases, sides, MEDIAN, config)
     counts = visitors(inside_band(purchases, prices, sides, config), sides)
     priced = prices.join(counts, sides)
@@ -216,9 +214,10 @@ def cap_sensitivity(
     daily = capping.count_daily_purchases(
         visitor_rows(tables, [category], STATE, config), [STATE.column]
     )
-    kept = _present(capping.keep_dearest_for_each(daily, caps, [STATE.column]), [STATE.column])
+    ranked = capping.rank_purchases(daily, [STATE.column])
+    kept = _present(capping.keep_dearest_for_each(ranked, caps), [STATE.column])
     prices = price_points(kept, keys, MEDIAN, config)
-    before = daily.groupBy(STATE.column).agg(F.sum("n").alias("txn_before_cap"))
+    before = ranked.groupBy(STATE.column).agg(F.sum("n").alias("txn_before_cap"))
     return (
         prices.join(before, STATE.column)
         .select(
@@ -251,7 +250,7 @@ def card_day_median(
 ) -> DataFrame:
     """The older retail measure: spending per card and day, and the median of that per state."""
     keys = [STATE.column]
-    rows = visitor_rows(tables, [category], STATE, config).dropna(subset=keys)
+    rows = visitor_rows(tables, [category], STATE, config).filter(present(keys))
     days = rows.groupBy(*keys, CARD, "trans_date").agg(F.sum(AMOUNT).alias(AMOUNT))
     spent = count_purchases(days, keys)
     prices = price_points(spent, keys, {"retail_cost": 0.5}, config.with_(trim=None))
@@ -266,11 +265,11 @@ def outlier_report(
     """Per category, state and month: purchases before and after trimming and the share removed."""
     keys = ["category", STATE.column, MONTH]
     purchases = count_purchases(visitor_rows(tables, categories, STATE, config), keys)
-    prices = price_list(purchases, keys)
-    kept = trim(prices, keys, *config.trim, config.method).groupBy(*keys).agg(
-        F.max("n_before").alias("txn_before"), F.max("n_group").alias("txn_after")
-    )
-    removed = F.col("txn_before") - F.col("txn_after")
-    return kept.withColumns(
-        {"txn_removed": removed, "pct_removed": percent_of(removed, F.col("txn_before"))}
+    removed = F.col("n_before") - F.col("n_band")
+    return price_points(purchases, keys, {}, config).select(
+        *keys,
+        F.col("n_before").alias("txn_before"),
+        F.col("n_band").alias("txn_after"),
+        removed.alias("txn_removed"),
+        percent_of(removed, F.col("n_before")).alias("pct_removed"),
     )

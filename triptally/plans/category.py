@@ -50,7 +50,7 @@ def category_merchants(
         "ref_date",
         "merch_state",
         "merch_city",
-        category_of(F.col("mcc"), categories).alias("category"),
+        category_of("mcc", categories).alias("category"),
     )
 
 
@@ -123,28 +123,26 @@ def purchases_of(
     rows: DataFrame, keys: Sequence[str], place: str, config: IndexConfig,
     within: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Weighted purchases after the cap, and the uncapped daily counts when there is a cap."""
+    """Weighted purchases after the cap, and those ranked for it when there is a cap."""
     if config.daily_cap is None:
         if config.method == "approx":
             return rows.withColumn("n", F.lit(1).cast("long")), None
         return count_purchases(rows, keys), None
     daily = capping.count_daily_purchases(rows, keys)
-    kept = capping.keep_dearest(daily, config.daily_cap, [place], within)
-    present = F.col(AMOUNT).isNotNull()
-    for key in keys:
-        present = present & F.col(key).isNotNull()
-    return kept.filter(present), daily
+    ranked = capping.rank_purchases(daily, [place], within)
+    kept = capping.keep_dearest(ranked, config.daily_cap)
+    return kept.filter(filters.present([*keys, AMOUNT])), ranked
 
 
 def _priced(
     rows: DataFrame, keys: list[str], place: str, categories: Sequence[Category],
     config: IndexConfig, within: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Price points joined with visitor counts, plus the purchases before and after the cap."""
-    purchases, daily = purchases_of(rows, keys, place, config, within)
+) -> tuple[DataFrame, DataFrame | None]:
+    """Price points joined with visitor counts, plus the purchases ranked for the cap."""
+    purchases, ranked = purchases_of(rows, keys, place, config, within)
     prices = price_points(purchases, keys, _shares(categories), config)
     counts = visitors(inside_band(purchases, prices, keys, config), keys)
-    return prices.join(counts, keys), purchases, daily
+    return prices.join(counts, keys), ranked
 
 
 def category_cost(
@@ -154,8 +152,8 @@ def category_cost(
     what the cap and the trimming removed."""
     keys = [level.column, MONTH]
     rows = visitor_rows(tables, [category], level, config).drop("category")
-    priced, purchases, daily = _priced(rows, keys, level.column, [category], config)
-    if daily is None:
+    priced, ranked = _priced(rows, keys, level.column, [category], config)
+    if ranked is None:
         result = priced.select(
             *keys,
             *_price_columns(category),
@@ -166,7 +164,7 @@ def category_cost(
             *run_metadata(config),
         )
         return result.orderBy(*_order(level, "transaction_count"))
-    impact = capping.capping_impact(daily, purchases, keys, config.daily_cap, category.regulars)
+    impact = capping.capping_impact(ranked, keys, config.daily_cap, category.regulars)
     impact_columns = [column for column in impact.columns if column not in keys]
     removed = F.col("txn_after_cap") - F.col("transaction_count")
     result = priced.join(impact, keys, "left").select(
@@ -191,22 +189,37 @@ def _order(level: Level, count: str) -> list[Column]:
     return [F.col(MONTH), F.col(count).desc(), F.col(level.column)]
 
 
-def category_costs(
+def _prices_by_category(categories: Sequence[Category]) -> list[Column]:
+    """Each category's price columns, null in rows of the others."""
+    return [
+        F.when(F.col("category") == category.name, F.col(_share_column(share))).alias(name)
+        for category in categories
+        for name, share in category.prices
+    ]
+
+
+def category_prices(
     tables: SpendTables, categories: Sequence[Category], level: Level, config: IndexConfig
 ) -> DataFrame:
     """All categories from one pass over the transactions, one row per category, geography and
-    month. Price columns of other categories are null. A daily cap applies per category."""
+    month, prices only. A daily cap applies per category."""
     keys = ["category", level.column, MONTH]
     rows = visitor_rows(tables, categories, level, config)
-    priced, _, _ = _priced(rows, keys, level.column, categories, config, ["category"])
-    prices = [
-        F.when(F.col("category") == category.name, F.col(_share_column(share))).alias(name)
-        for category in categories
-        for name, share in category.prices
-    ]
+    purchases, _ = purchases_of(rows, keys, level.column, config, ["category"])
+    prices = price_points(purchases, keys, _shares(categories), config)
+    return prices.select(*keys, *_prices_by_category(categories))
+
+
+def category_costs(
+    tables: SpendTables, categories: Sequence[Category], level: Level, config: IndexConfig
+) -> DataFrame:
+    """The same with sample sizes and quality flag."""
+    keys = ["category", level.column, MONTH]
+    rows = visitor_rows(tables, categories, level, config)
+    priced, _ = _priced(rows, keys, level.column, categories, config, ["category"])
     return priced.select(
         *keys,
-        *prices,
+        *_prices_by_category(categories),
         "transaction_count",
         "unique_visitors",
         "n_before",
@@ -214,21 +227,16 @@ def category_costs(
     )
 
 
-def level_costs(
+def level_prices(
     tables: SpendTables, categories: Sequence[Category], config: IndexConfig
 ) -> DataFrame:
-    """All categories at state, division and national level from one pass. Percentiles do not
-    roll up, so each row is counted once per level."""
+    """Prices of all categories at state, division and national level from one pass. Percentiles
+    do not roll up, so each row counts once per level; there is no daily cap here."""
     keys = ["level", "geography", "category", MONTH]
+    uncapped = config.with_(daily_cap=None)
     rows = joins.at_all_levels(
-        visitor_rows(tables, categories, joins.STATE, config.with_(daily_cap=None)), tables.bridge
-    )
-    priced, _, _ = _priced(
-        rows, keys, "geography", categories, config.with_(daily_cap=None), ["level", "category"]
+        visitor_rows(tables, categories, joins.STATE, uncapped), tables.bridge
     )
-    prices = [
-        F.when(F.col("category") == category.name, F.col(_share_column(share))).alias(name)
-        for category in categories
-        for name, share in category.prices
-    ]
-    return priced.select(*keys, *prices, "transaction_count", "unique_visitors")
+    purchases, _ = purchases_of(rows, keys, "geography", uncapped)
+    prices = price_points(purchases, keys, _shares(categories), uncapped)
+    return prices.select(*keys, *_prices_by_category(categories), "n_before", "n_band")

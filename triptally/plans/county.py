@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triptally.config import ATTRACTION, RESTAURANT, RETAIL_NO_MINIMUM, CountyConfig
 from triptally.functions.scalars import month_start, months_between, normalize_dc_county
 from triptally.operators import capping, filters, joins
-from triptally.operators.distribution import inside_band, price_points
+from triptally.operators.distribution import AMOUNT, inside_band, price_points
 from triptally.operators.joins import COUNTY
 from triptally.plans.category import MONTH, visitor_rows
 from triptally.sources.tables import SpendTables
@@ -60,26 +60,23 @@ def card_prices(tables: SpendTables, config: CountyConfig) -> DataFrame:
     index = config.index
     groups = ["category", *KEYS]
     rows = visitor_rows(tables, CATEGORIES, COUNTY, index, us_only=False)
-    daily = capping.count_daily_purchases(rows.dropna(subset=[COUNTY.column, "trans_amount"]), groups)
+    daily = capping.count_daily_purchases(rows.filter(filters.present([*groups, AMOUNT])), groups)
     bands = price_points(daily, groups, {}, index)
-    trimmed = inside_band(daily, bands, groups, index)
-    retail = F.col("category") == RETAIL_NO_MINIMUM.name
-    if index.daily_cap is None:
-        bought = trimmed
-    else:
-        capped = capping.keep_dearest(trimmed.filter(retail), index.daily_cap, [COUNTY.column])
-        bought = trimmed.filter(~retail).unionByName(capped)
+    bought = inside_band(daily, bands, groups, index)
+    if index.daily_cap is not None:
+        ranked = capping.rank_purchases(bought, [COUNTY.column], ["category"])
+        retail = F.col("category") == RETAIL_NO_MINIMUM.name
+        left = F.when(retail, capping.kept(index.daily_cap)).otherwise(F.col("n"))
+        bought = ranked.withColumn("n", left).filter(F.col("n") > 0)
     shares = {"p35": 0.35, "p50": 0.5, "p65": 0.65}
     prices = price_points(bought, groups, shares, index.with_(trim=None))
-    removed = prices.withColumnRenamed("n_before", "n").join(
-        bands.select(*groups, "n_before"), groups
-    )
-    counted = removed.join(
-        trimmed.groupBy(*groups).agg(F.sum("n").alias("n_trimmed")), groups
+    removed = F.col("n_before") - F.col("n_band")
+    counted = prices.select(*groups, *shares, F.col("n_band").alias("n")).join(
+        bands.select(*groups, removed.alias("n_removed")), groups
     )
     weights = config.weights
 
-    def of(category: str, value) -> Column:
+    def of(category: str, value: Column) -> Column:
         return F.max(F.when(F.col("category") == category, value))
 
     columns = [
@@ -90,9 +87,7 @@ def card_prices(tables: SpendTables, config: CountyConfig) -> DataFrame:
     ]
     for name in ("restaurant", "attraction", "retail"):
         columns.append(of(name, F.col("n")).alias(f"{name}_txn_count"))
-        columns.append(
-            of(name, F.col("n_before") - F.col("n_trimmed")).alias(f"{name}_txn_removed")
-        )
+        columns.append(of(name, F.col("n_removed")).alias(f"{name}_txn_removed"))
     return counted.groupBy(*KEYS).agg(*columns)
 
 

@@ -122,7 +122,7 @@ def review_sample(result: DataFrame, keys: Sequence[str], n: int = 20, seed: str
 
 def sample_sizes(tables: SpendTables, config: IndexConfig) -> DataFrame:
     """Rows per category, retail shopping days and the largest visitor count per state."""
-    rows = visitor_rows(tables, CATEGORIES, STATE, config).dropna(subset=[STATE.column])
+    rows = visitor_rows(tables, CATEGORIES, STATE, config).filter(F.col(STATE.column).isNotNull())
     days = rows.groupBy(STATE.column, "category", CARD, "trans_date").agg(F.count("*").alias("n"))
     cards = days.groupBy(STATE.column, "category", CARD).agg(
         F.sum("n").alias("n"), F.count("*").alias("days")

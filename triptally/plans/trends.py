@@ -15,7 +15,7 @@ from triptally.config import CATEGORIES, COUPLE_WEEKEND, BasketWeights, IndexCon
 from triptally.functions.scalars import basket_cost
 from triptally.operators.filters import latest_month
 from triptally.plans.basket import COMPONENTS
-from triptally.plans.category import level_costs
+from triptally.plans.category import level_prices
 from triptally.sources.tables import SpendTables
 from triptally.sources.writers import keep
 
@@ -102,7 +102,7 @@ def geo_comparison(
     tables: SpendTables, config: IndexConfig, weights: BasketWeights = COUPLE_WEEKEND
 ) -> DataFrame:
     """Each state's basket beside those of its division and of the nation."""
-    costs = level_costs(tables, CATEGORIES, config)
+    costs = level_prices(tables, CATEGORIES, config)
     wide = costs.groupBy("level", "geography", "month_date").agg(
         *[F.max(name).alias(name) for name in COMPONENTS]
     )

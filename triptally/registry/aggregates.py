@@ -116,8 +116,8 @@ def agg_quartiles(t):
     "agg_exact_percentile",
     _grouped(
         RESTAURANT,
-        """quantile_cont(trans_amount, 0.35) AS p35, quantile_cont(trans_amount, 0.65) AS p65,
-  quantile_cont(trans_amount, 0.5) AS median""",
+        f"""{sql.interpolated(0.35)} AS p35, {sql.interpolated(0.65)} AS p65,
+  {sql.interpolated(0.5)} AS median""",
     ),
 )
 def agg_exact_percentile(t):
@@ -192,15 +192,14 @@ SELECT {STATE_KEYS}, {columns} FROM impact"""
     )
 
 
-def _capped(t, keys=KEYS, config=CAPPED, category=RETAIL):
-    daily = capping.count_daily_purchases(visitor_rows(t, [category], STATE, config), keys)
-    return daily, capping.keep_dearest(daily, config.daily_cap, ["merch_state"])
+def _ranked(t, keys=KEYS):
+    daily = capping.count_daily_purchases(visitor_rows(t, [RETAIL], STATE, CAPPED), keys)
+    return capping.rank_purchases(daily, ["merch_state"])
 
 
 @query("agg_cond_sum", _impact_sql("txn_before_cap, txn_after_cap, txn_capped"))
 def agg_cond_sum(t):
-    daily, kept = _capped(t)
-    days = capping.card_days(daily, kept, KEYS)
+    days = capping.card_days(_ranked(t), KEYS, CAPPED.daily_cap)
     return days.groupBy(*KEYS).agg(
         F.sum("n_raw").alias("txn_before_cap"),
         F.sum("n_kept").alias("txn_after_cap"),
@@ -213,8 +212,7 @@ def agg_cond_sum(t):
     _impact_sql("cardholders_affected_by_cap, frequent_high_volume_shoppers"),
 )
 def agg_cond_distinct(t):
-    daily, kept = _capped(t)
-    return capping.capping_impact(daily, kept, KEYS, CAPPED.daily_cap).select(
+    return capping.capping_impact(_ranked(t), KEYS, CAPPED.daily_cap).select(
         *KEYS, "cardholders_affected_by_cap", "frequent_high_volume_shoppers"
     )
 
@@ -229,8 +227,7 @@ FROM ({sql.ranked(f"({sql.rows([RETAIL], 'state', WHOLE)})", "merch_state")}) GR
     ),
 )
 def agg_distinct_card_days(t):
-    daily, kept = _capped(t, ["merch_state"])
-    days = capping.card_days(daily, kept, ["merch_state"])
+    days = capping.card_days(_ranked(t, ["merch_state"]), ["merch_state"], CAPPED.daily_cap)
     return days.groupBy("merch_state").agg(
         F.count("*").alias("card_days"),
         F.count_if(F.col("n_raw") > F.col("n_kept")).alias("card_days_over"),
@@ -247,8 +244,7 @@ SELECT {STATE_KEYS}, membccid, days AS active_days, days_over AS days_over_cap,
     ),
 )
 def agg_cardholder_patterns(t):
-    daily, kept = _capped(t)
-    days = capping.card_days(daily, kept, KEYS)
+    days = capping.card_days(_ranked(t), KEYS, CAPPED.daily_cap)
     return capping.card_patterns(days, KEYS, CAPPED.daily_cap).select(
         *KEYS, "membccid", "active_days", "days_over_cap", "avg_daily_txn_count",
         "max_daily_txn_count",
@@ -257,8 +253,7 @@ def agg_cardholder_patterns(t):
 
 @query("agg_capping_impact", _impact_sql(sql.impact_columns("shoppers")))
 def agg_capping_impact(t):
-    daily, kept = _capped(t)
-    return capping.capping_impact(daily, kept, KEYS, CAPPED.daily_cap)
+    return capping.capping_impact(_ranked(t), KEYS, CAPPED.daily_cap)
 
 
 IMPACT = (
@@ -276,9 +271,9 @@ def agg_capping_impact_state(t):
         "merch_state", "state_abbr"
     )
     daily = capping.count_daily_purchases(rows, ["state_abbr"])
-    kept = capping.keep_dearest(daily, CAP_TEST.daily_cap, ["state_abbr"])
+    ranked = capping.rank_purchases(daily, ["state_abbr"])
     return capping.capping_impact_over_period(
-        daily, kept, ["state_abbr"], CAP_TEST.daily_cap
+        ranked, ["state_abbr"], CAP_TEST.daily_cap
     ).select(*IMPACT)
 
 
@@ -378,7 +373,7 @@ def agg_price_distribution(t):
 
 
 def _rounded(value: str, name: str) -> str:
-    return f"round({value}, 6) AS {name}"
+    return f"round({value}, 8) AS {name}"
 
 
 @query(
@@ -395,7 +390,7 @@ def _rounded(value: str, name: str) -> str:
 def agg_describe(t):
     described = reports.describe(basket_index(t, WHOLE), "cost_per_trip")
     return described.withColumns(
-        {name: F.round(name, 6) for name in ("mean", "std", "p25", "p50", "p75")}
+        {name: F.round(name, 8) for name in ("mean", "std", "p25", "p50", "p75")}
     )
 
 

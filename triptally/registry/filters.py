@@ -58,12 +58,12 @@ def flt_country(t):
 
 @query("flt_mcc_range", sql.on_spend(BY_CODE.format(sql.in_category(ACCOMMODATION))))
 def flt_mcc_range(t):
-    return _by_code(t.merchants.filter(code_in(F.col("mcc"), ACCOMMODATION)))
+    return _by_code(t.merchants.filter(code_in("mcc", ACCOMMODATION)))
 
 
 @query("flt_mcc_eq", sql.on_spend(BY_CODE.format("mcc = '5812'")))
 def flt_mcc_eq(t):
-    return _by_code(t.merchants.filter(code_in(F.col("mcc"), RESTAURANT)))
+    return _by_code(t.merchants.filter(code_in("mcc", RESTAURANT)))
 
 
 LISTS = (RESTAURANT_MEDIAN, ATTRACTION, RETAIL)
@@ -86,7 +86,7 @@ WHERE NOT {sql.in_category(ACCOMMODATION)} OR trans_amount >= 50"""
 )
 def flt_min_amount(t):
     rows = joins.with_merchants(t.transactions, t.merchants.select("mtid", "ref_date", "mcc"))
-    label = F.when(code_in(F.col("mcc"), ACCOMMODATION), "accommodation").otherwise("other")
+    label = F.when(code_in("mcc", ACCOMMODATION), "accommodation").otherwise("other")
     kept = rows.filter(above_minimum(F.col("trans_amount"), label, [ACCOMMODATION, RETAIL]))
     return kept.select("mcc", "trans_date", "membccid", "trans_amount")
 

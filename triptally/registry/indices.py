@@ -16,7 +16,7 @@ from triptally.config import (
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test
 from triptally.plans.basket import basket_index
-from triptally.plans.category import category_cost, category_costs, level_costs
+from triptally.plans.category import category_cost, category_costs, level_prices
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import county_index
 from triptally.plans.trends import geo_comparison
@@ -147,14 +147,14 @@ leveled AS (
   SELECT 'national', 'US', category, month_date, membccid, trans_amount FROM base),
 {sql.trimmed("leveled", keys, WHOLE)},
 priced AS (SELECT {keys}, {", ".join(_one_pass_column(name) for name in ONE_PASS)},
-    count(*) AS transaction_count, count(DISTINCT membccid) AS unique_visitors
+    any_value(n_before) AS n_before, count(*) AS n_band
   FROM kept GROUP BY {keys})"""
 
 
 @query("all_levels", sql.on_spend(f"{_level_ctes()} SELECT * FROM priced"))
 def all_levels(t):
     """Every category at every level from one pass."""
-    return level_costs(t, CATEGORIES, WHOLE)
+    return level_prices(t, CATEGORIES, WHOLE)
 
 
 @query(

@@ -86,8 +86,8 @@ def _impact_sql(columns: str) -> str:
 
 def _impact(t):
     daily = capping.count_daily_purchases(visitor_rows(t, [RETAIL], STATE, CAPPED), KEYS)
-    kept = capping.keep_dearest(daily, CAPPED.daily_cap, ["merch_state"])
-    return capping.capping_impact(daily, kept, KEYS, CAPPED.daily_cap)
+    ranked = capping.rank_purchases(daily, ["merch_state"])
+    return capping.capping_impact(ranked, KEYS, CAPPED.daily_cap)
 
 
 @query(

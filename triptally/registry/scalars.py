@@ -70,7 +70,7 @@ def fn_month_bounds(t):
     ),
 )
 def fn_category_case(t):
-    labelled = t.merchants.groupBy("mcc", category_of(F.col("mcc"), CATEGORIES).alias("category"))
+    labelled = t.merchants.groupBy("mcc", category_of("mcc", CATEGORIES).alias("category"))
     return labelled.agg(F.count("*").alias("merchants"))
 
 

@@ -47,8 +47,8 @@ FROM ({sql.ranked(f"({sql.rows([RETAIL], 'state', WHOLE)})", "merch_state")}) GR
 )
 def win_topn_per_group(t):
     daily = capping.count_daily_purchases(visitor_rows(t, [RETAIL], STATE, CAPPED), ["merch_state"])
-    kept = capping.keep_dearest(daily, CAPPED.daily_cap, ["merch_state"])
-    days = capping.card_days(daily, kept, ["merch_state"])
+    ranked = capping.rank_purchases(daily, ["merch_state"])
+    days = capping.card_days(ranked, ["merch_state"], CAPPED.daily_cap)
     return days.groupBy("trans_date").agg(
         F.sum("n_raw").alias("txn_before_cap"),
         F.sum("n_kept").alias("txn_after_cap"),
@@ -56,22 +56,22 @@ def win_topn_per_group(t):
     )
 
 
+INTERPOLATED = WHOLE.with_(method="cont")
+
+
 @query(
     "win_group_percentile",
     sql.on_spend(
-        f"""SELECT merch_state, month_date, membccid, trans_amount, count(*) AS n
-FROM (SELECT *, quantile_cont(trans_amount, 0.05) OVER w AS low,
-    quantile_cont(trans_amount, 0.98) OVER w AS high
-  FROM ({sql.rows([ATTRACTION], "state", WHOLE)})
-  WINDOW w AS (PARTITION BY merch_state, month_date))
-WHERE trans_amount BETWEEN low AND high GROUP BY ALL"""
+        f"""WITH base AS ({sql.rows([ATTRACTION], "state", WHOLE)}),
+{sql.trimmed("base", "merch_state, month_date", INTERPOLATED)}
+SELECT merch_state, month_date, membccid, trans_amount, count(*) AS n
+FROM kept GROUP BY merch_state, month_date, membccid, trans_amount"""
     ),
 )
 def win_group_percentile(t):
-    config = WHOLE.with_(method="cont")
-    purchases = count_purchases(visitor_rows(t, [ATTRACTION], STATE, config), KEYS)
-    bands = price_points(purchases, KEYS, {}, config)
-    return inside_band(purchases, bands, KEYS, config).select(
+    purchases = count_purchases(visitor_rows(t, [ATTRACTION], STATE, INTERPOLATED), KEYS)
+    bands = price_points(purchases, KEYS, {}, INTERPOLATED)
+    return inside_band(purchases, bands, KEYS, INTERPOLATED).select(
         *KEYS, "membccid", "trans_amount", "n"
     )
 
