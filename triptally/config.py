@@ -67,10 +67,16 @@ class IndexConfig:
     """Parameters of one run.
 
     method: "disc" and "cont" are exact (an observed value, or linear interpolation between
-    two); "approx" uses Spark's percentile sketch with `accuracy`.
+    two); "approx" uses Spark's percentile sketch with `accuracy`. Capped purchases are counted per
+    price anyway, so there "approx" is exact as well.
     flag_basis: what the sample-size limits count, "visitors" or "transactions".
     snapshot_join: match a transaction to the merchant snapshot of its own ref_date; False
     matches every snapshot of the merchant, so a transaction counts once per snapshot.
+    ref_dates: first and last snapshot a run may read, on both sides of that join; None reads all.
+    Tables stored by ref_date are then read only in part.
+    stage: write the counted purchases to the shared folder first. Later steps read that table,
+    and the trim bands, whose number of rows is then known, are broadcast when they are at most
+    `broadcast_rows`. Worth it for large runs on a cluster that may lose executors.
     """
 
     start: date
@@ -84,6 +90,9 @@ class IndexConfig:
     method: str = "disc"
     accuracy: int = 10_000
     snapshot_join: bool = True
+    ref_dates: tuple[date, date] | None = None
+    stage: bool = False
+    broadcast_rows: int = 200_000
 
     def __post_init__(self) -> None:
         if self.end < self.start:

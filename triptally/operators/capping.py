@@ -30,10 +30,13 @@ def _dearest_first(within: Sequence[str], place: Sequence[str]) -> Window:
     )
 
 
-def daily_rank(rows: DataFrame, place: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """Rank of each row among its card's purchases of the day, dearest first."""
-    order = _dearest_first(within, place)
-    return rows.withColumn("daily_rank", F.row_number().over(order))
+def top_of_day(
+    rows: DataFrame, cap: int, place: Sequence[str], within: Sequence[str] = ()
+) -> DataFrame:
+    """The `cap` dearest rows per card and day with their rank. Spark cuts every card-day down to
+    that many rows before shuffling."""
+    rank = F.row_number().over(_dearest_first(within, place))
+    return rows.withColumn("daily_rank", rank).filter(F.col("daily_rank") <= cap)
 
 
 def rank_purchases(
@@ -53,17 +56,21 @@ def kept(cap: int | Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), limit - F.col("earlier")))
 
 
+def daily_ranks(ranked: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """One row per purchase with its rank in the card-day. Unfolded in chunks, so that no row
+    builds a long array however often its purchase was repeated."""
+    first, last = F.col("earlier") + 1, F.col("earlier") + F.col("n")
+    starts = ranked.withColumn("start", F.explode(F.sequence(first, last, F.lit(chunk).cast("long"))))
+    stop = F.least(F.col("start") + (chunk - 1), last)
+    ranks = starts.withColumn("daily_rank", F.explode(F.sequence(F.col("start"), stop)))
+    return ranks.drop("start", "earlier", "n")
+
+
 def keep_dearest(ranked: DataFrame, cap: int | Column) -> DataFrame:
     """Ranked purchases reduced to the `cap` dearest per card and day, across all places."""
     return ranked.withColumn("n", kept(cap)).filter(F.col("n") > 0).drop("earlier")
 
 
-def keep_dearest_for_each(ranked: DataFrame, caps: Sequence[int]) -> DataFrame:
-    """The same for several caps from one ranking, with the cap in column `daily_cap`."""
-    each = ranked.withColumn("daily_cap", F.explode(F.array(*[F.lit(c) for c in caps])))
-    return keep_dearest(each, F.col("daily_cap"))
-
-
 def card_days(ranked: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     """Purchases before (`n_raw`) and after (`n_kept`) the cap per group, card and day."""
     return ranked.groupBy(*keys, CARD, DAY).agg(

@@ -101,17 +101,16 @@ def price_points(
     Columns: keys, one per share, min_cost, max_cost, total_amount, purchases before (`n_before`)
     and within (`n_band`) the band, and the band `low`/`high`, null without trimming.
     """
-    if config.method == "approx":
-        return _sketched_price_points(purchases, keys, shares, config)
+    method = "cont" if config.method == "cont" else "disc"
     prices = price_list(purchases, keys)
     if config.trim is None:
         prices = prices.withColumns({"n_before": F.col("n_group"), **_no_band()})
     else:
-        prices = trim(prices, keys, *config.trim, config.method)
+        prices = trim(prices, keys, *config.trim, method)
     aggregates, outputs = {}, []
     for name, share in shares.items():
         parts, output = percentile_columns(
-            name, share, F.col("n_group"), F.col("upto"), config.method
+            name, share, F.col("n_group"), F.col("upto"), method
         )
         aggregates |= parts
         outputs.append(output.alias(name))
@@ -133,24 +132,22 @@ def _no_band() -> dict[str, Column]:
     return {name: F.lit(None).cast("double") for name in ("low", "high")}
 
 
-def _sketched_price_points(
-    purchases: DataFrame, keys: Sequence[str], shares: Mapping[str, float], config: IndexConfig
+def sketched_price_points(
+    rows: DataFrame, keys: Sequence[str], shares: Mapping[str, float], config: IndexConfig
 ) -> DataFrame:
-    """The same with Spark's percentile sketch, which has no weights: a row of n purchases is
-    repeated, so callers keep n small (1, or at most the daily cap)."""
-    single = purchases.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    """The same from single purchases with Spark's percentile sketch, which has no weights."""
     accuracy = config.accuracy
     if config.trim is None:
-        kept = single.withColumns({"n_before": F.lit(None).cast("long"), **_no_band()})
+        kept = rows.withColumns({"n_before": F.lit(None).cast("long"), **_no_band()})
     else:
         cuts = F.percentile_approx(AMOUNT, list(config.trim), accuracy)
         band = (
-            single.groupBy(*keys)
+            rows.groupBy(*keys)
             .agg(cuts.alias("cuts"), F.count("*").alias("n_before"))
             .withColumns({"low": F.col("cuts")[0], "high": F.col("cuts")[1]})
             .drop("cuts")
         )
-        kept = single.join(band, list(keys)).filter(
+        kept = rows.join(band, list(keys)).filter(
             F.col(AMOUNT).between(F.col("low"), F.col("high"))
         )
     wanted = list(shares.values()) or [0.5]
@@ -168,19 +165,39 @@ def _sketched_price_points(
 
 
 def inside_band(
-    purchases: DataFrame, priced: DataFrame, keys: Sequence[str], config: IndexConfig
+    rows: DataFrame,
+    priced: DataFrame,
+    keys: Sequence[str],
+    config: IndexConfig,
+    broadcast: bool = False,
 ) -> DataFrame:
     """Purchases within their group's band, both ends included.
 
-    The band has one row per group. No broadcast is forced: adaptive execution broadcasts it once
-    its measured size allows that, and otherwise splits skewed groups of a shuffled join.
+    The band has one row per group. A caller that has counted those rows may ask for a broadcast;
+    otherwise adaptive execution broadcasts the band once its measured size allows that, and
+    splits skewed groups of a shuffled join if not.
     """
     if config.trim is None:
-        return purchases
-    joined = purchases.join(priced.select(*keys, "low", "high"), list(keys))
+        return rows
+    band = priced.select(*keys, "low", "high")
+    joined = rows.join(F.broadcast(band) if broadcast else band, list(keys))
     return joined.filter(F.col(AMOUNT).between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
+def remove_outliers(
+    rows: DataFrame, keys: Sequence[str], config: IndexConfig
+) -> tuple[DataFrame, DataFrame]:
+    """Rows inside their group's band, and per group how many there were and how many went."""
+    bands = price_points(count_purchases(rows, keys), keys, {}, config)
+    removed = bands.select(
+        *keys,
+        F.col("n_before").alias("txn_before"),
+        F.col("n_band").alias("txn_after"),
+        (F.col("n_before") - F.col("n_band")).alias("txn_removed"),
+    )
+    return inside_band(rows, bands, keys, config), removed
+
+
 def visitors(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Purchases and distinct cards per group, apart from the percentiles: in one aggregate the
     percentile state would be kept once per card."""

@@ -78,22 +78,21 @@ def at_level(
     return rows
 
 
-def at_all_levels(rows: DataFrame, bridge: DataFrame) -> DataFrame:
-    """One row per (row, level): columns `level` and `geography`, from one pass over the rows."""
+def with_all_places(merchants: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Merchants with `places`, their geography at state, division and national level. States
+    outside the bridge have no division."""
     divisions = bridge.select(
         F.col("abbreviation").alias("merch_state"), "census_region_division"
     )
+    levels = {"state": "merch_state", "division": "census_region_division", "national": None}
     places = F.array(
-        F.struct(F.lit("state").alias("level"), F.col("merch_state").alias("geography")),
-        F.struct(
-            F.lit("division").alias("level"), F.col("census_region_division").alias("geography")
-        ),
-        F.struct(F.lit("national").alias("level"), F.lit("US").alias("geography")),
-    )
-    return (
-        rows.join(divisions, "merch_state", "left")
-        .withColumn("place", F.explode(places))
-        .select("*", "place.level", "place.geography")
-        .drop("place", "census_region_division")
-        .filter(F.col("geography").isNotNull())
+        *[
+            F.struct(
+                F.lit(level).alias("level"),
+                (F.col(column) if column else F.lit("US")).alias("geography"),
+            )
+            for level, column in levels.items()
+        ]
     )
+    known = F.filter(places, lambda place: place["geography"].isNotNull())
+    return merchants.join(divisions, "merch_state", "left").withColumn("places", known)

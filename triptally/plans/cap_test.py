@@ -22,6 +22,7 @@ from triptally.operators.distribution import (
     count_purchases,
     inside_band,
     price_points,
+    remove_outliers,
     visitors,
 )
 from triptally.operators.filters import present
@@ -215,17 +216,21 @@ def cap_sensitivity(
         visitor_rows(tables, [category], STATE, config), [STATE.column]
     )
     ranked = capping.rank_purchases(daily, [STATE.column])
-    kept = _present(capping.keep_dearest_for_each(ranked, caps), [STATE.column])
-    prices = price_points(kept, keys, MEDIAN, config)
-    before = ranked.groupBy(STATE.column).agg(F.sum("n").alias("txn_before_cap"))
+    each = ranked.withColumn("daily_cap", F.explode(F.array(*[F.lit(c) for c in caps])))
+    each = each.withColumn("n_kept", capping.kept(F.col("daily_cap")))
+    purchases = _present(capping.keep_dearest(each, F.col("daily_cap")), [STATE.column])
+    prices = price_points(purchases, keys, MEDIAN, config)
+    counts = each.groupBy(*keys).agg(
+        F.sum("n").alias("txn_before_cap"), F.sum("n_kept").alias("txn_after_cap")
+    )
     return (
-        prices.join(before, STATE.column)
+        prices.join(counts, keys)
         .select(
             *keys,
             F.col("median").alias("retail_cost"),
             "txn_before_cap",
-            F.col("n_before").alias("txn_after_cap"),
-            percent_of(F.col("n_before"), F.col("txn_before_cap")).alias("pct_txn_kept"),
+            "txn_after_cap",
+            percent_of(F.col("txn_after_cap"), F.col("txn_before_cap")).alias("pct_txn_kept"),
         )
         .orderBy(*keys)
     )
@@ -264,12 +269,6 @@ def outlier_report(
 ) -> DataFrame:
     """Per category, state and month: purchases before and after trimming and the share removed."""
     keys = ["category", STATE.column, MONTH]
-    purchases = count_purchases(visitor_rows(tables, categories, STATE, config), keys)
-    removed = F.col("n_before") - F.col("n_band")
-    return price_points(purchases, keys, {}, config).select(
-        *keys,
-        F.col("n_before").alias("txn_before"),
-        F.col("n_band").alias("txn_after"),
-        removed.alias("txn_removed"),
-        percent_of(removed, F.col("n_before")).alias("pct_removed"),
-    )
+    _, removed = remove_outliers(visitor_rows(tables, categories, STATE, config), keys, config)
+    share = percent_of(F.col("txn_removed"), F.col("txn_before"))
+    return removed.withColumn("pct_removed", share)

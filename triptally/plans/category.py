@@ -22,36 +22,48 @@ from triptally.operators.distribution import (
     count_purchases,
     inside_band,
     price_points,
+    sketched_price_points,
     visitors,
 )
 from triptally.operators.joins import Level
 from triptally.sources.tables import SpendTables
+from triptally.sources.writers import keep
 
 MONTH = "month_date"
 SPREAD = {"q25": 0.25, "q75": 0.75}
 
 
-def visitor_transactions(tables: SpendTables, config: IndexConfig) -> DataFrame:
-    """Transactions of visitors in the period, only the columns the index needs."""
-    return tables.transactions.filter(
-        filters.in_period(config.start, config.end) & filters.from_visitors(config.distance)
-    ).select("mtid", "ref_date", CARD, "trans_date", AMOUNT)
+def _snapshots(config: IndexConfig) -> Column:
+    if config.ref_dates is None:
+        return F.lit(True)
+    return filters.in_period(*config.ref_dates, "ref_date")
+
+
+def visitor_transactions(
+    tables: SpendTables, config: IndexConfig, categories: Sequence[Category] = ()
+) -> DataFrame:
+    """Transactions of visitors in the period, only the columns the index needs. A minimum that
+    holds for all categories applies here already, where the scan can use it."""
+    keep = filters.in_period(config.start, config.end) & filters.from_visitors(config.distance)
+    minimums = [category.min_amount for category in categories]
+    if minimums and None not in minimums:
+        keep = keep & (F.col(AMOUNT) >= min(minimums))
+    return tables.transactions.filter(keep & _snapshots(config)).select(
+        "mtid", "ref_date", CARD, "trans_date", AMOUNT
+    )
 
 
 def category_merchants(
-    tables: SpendTables, categories: Sequence[Category], us_only: bool = True
+    tables: SpendTables,
+    categories: Sequence[Category],
+    config: IndexConfig,
+    us_only: bool = True,
 ) -> DataFrame:
     """Physical merchants of the categories, labelled with their category."""
-    keep = filters.physical() & filters.in_categories(categories)
+    keep = filters.physical() & filters.in_categories(categories) & _snapshots(config)
     if us_only:
         keep = keep & filters.in_us()
-    return tables.merchants.filter(keep).select(
-        "mtid",
-        "ref_date",
-        "merch_state",
-        "merch_city",
-        category_of("mcc", categories).alias("category"),
-    )
+    return tables.merchants.filter(keep).withColumn("category", category_of("mcc", categories))
 
 
 def visitor_rows(
@@ -62,23 +74,37 @@ def visitor_rows(
     us_only: bool = True,
 ) -> DataFrame:
     """The base set: one row per visitor purchase with category, geography, month, day, card
-    and amount."""
-    merchants = category_merchants(tables, categories, us_only)
+    and amount. Merchants get their geography before they meet the transactions."""
+    merchants = category_merchants(tables, categories, config, us_only)
+    placed = joins.at_level(merchants, level, tables.bridge, tables.geo_reference)
+    return _purchase_rows(tables, placed, categories, config, level.column)
+
+
+def _purchase_rows(
+    tables: SpendTables, merchants: DataFrame, categories: Sequence[Category],
+    config: IndexConfig, place: str,
+) -> DataFrame:
     joined = joins.with_merchants(
-        visitor_transactions(tables, config), merchants, config.snapshot_join
+        visitor_transactions(tables, config, categories),
+        merchants.select("mtid", "ref_date", "category", place),
+        config.snapshot_join,
     )
-    kept = joined.filter(above_minimum(F.col(AMOUNT), F.col("category"), categories))
-    placed = joins.at_level(kept, level, tables.bridge, tables.geo_reference)
-    return placed.select(
-        "category",
-        level.column,
-        month_start(F.col("trans_date")).alias(MONTH),
-        "trans_date",
-        CARD,
-        AMOUNT,
+    return joined.filter(above_minimum(F.col(AMOUNT), F.col("category"), categories)).select(
+        "category", place, month_start(F.col("trans_date")).alias(MONTH), "trans_date", CARD, AMOUNT
     )
 
 
+def rows_at_all_levels(
+    tables: SpendTables, categories: Sequence[Category], config: IndexConfig
+) -> DataFrame:
+    """The base set once per geography level, from one pass: columns `level` and `geography`."""
+    merchants = joins.with_all_places(
+        category_merchants(tables, categories, config), tables.bridge
+    )
+    rows = _purchase_rows(tables, merchants, categories, config, "places")
+    return rows.select("*", F.inline("places")).drop("places")
+
+
 def _shares(categories: Sequence[Category]) -> dict[str, float]:
     """Percentiles to take, one column per distinct share."""
     shares = {}
@@ -127,21 +153,37 @@ def purchases_of(
     if config.daily_cap is None:
         if config.method == "approx":
             return rows.withColumn("n", F.lit(1).cast("long")), None
-        return count_purchases(rows, keys), None
+        return _staged(count_purchases(rows, keys), config), None
     daily = capping.count_daily_purchases(rows, keys)
-    ranked = capping.rank_purchases(daily, [place], within)
+    ranked = _staged(capping.rank_purchases(daily, [place], within), config)
     kept = capping.keep_dearest(ranked, config.daily_cap)
     return kept.filter(filters.present([*keys, AMOUNT])), ranked
 
 
+def _staged(purchases: DataFrame, config: IndexConfig) -> DataFrame:
+    return keep(purchases, "purchases") if config.stage else purchases
+
+
+def _points(
+    purchases: DataFrame, keys: Sequence[str], categories: Sequence[Category], config: IndexConfig
+) -> DataFrame:
+    if config.method == "approx" and config.daily_cap is None:
+        return sketched_price_points(purchases, keys, _shares(categories), config)
+    return price_points(purchases, keys, _shares(categories), config)
+
+
 def _priced(
     rows: DataFrame, keys: list[str], place: str, categories: Sequence[Category],
     config: IndexConfig, within: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame | None]:
     """Price points joined with visitor counts, plus the purchases ranked for the cap."""
     purchases, ranked = purchases_of(rows, keys, place, config, within)
-    prices = price_points(purchases, keys, _shares(categories), config)
-    counts = visitors(inside_band(purchases, prices, keys, config), keys)
+    prices = _points(purchases, keys, categories, config)
+    small = False
+    if config.stage:
+        prices = keep(prices, "prices")
+        small = prices.count() <= config.broadcast_rows
+    counts = visitors(inside_band(purchases, prices, keys, config, small), keys)
     return prices.join(counts, keys), ranked
 
 
@@ -206,7 +248,7 @@ def category_prices(
     keys = ["category", level.column, MONTH]
     rows = visitor_rows(tables, categories, level, config)
     purchases, _ = purchases_of(rows, keys, level.column, config, ["category"])
-    prices = price_points(purchases, keys, _shares(categories), config)
+    prices = _points(purchases, keys, categories, config)
     return prices.select(*keys, *_prices_by_category(categories))
 
 
@@ -234,9 +276,7 @@ def level_prices(
     do not roll up, so each row counts once per level; there is no daily cap here."""
     keys = ["level", "geography", "category", MONTH]
     uncapped = config.with_(daily_cap=None)
-    rows = joins.at_all_levels(
-        visitor_rows(tables, categories, joins.STATE, uncapped), tables.bridge
-    )
+    rows = rows_at_all_levels(tables, categories, uncapped)
     purchases, _ = purchases_of(rows, keys, "geography", uncapped)
-    prices = price_points(purchases, keys, _shares(categories), uncapped)
+    prices = _points(purchases, keys, categories, uncapped)
     return prices.select(*keys, *_prices_by_category(categories), "n_before", "n_band")

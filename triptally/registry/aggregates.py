@@ -15,9 +15,9 @@ from triptally.config import (
 from triptally.operators import capping
 from triptally.operators.distribution import (
     count_purchases,
-    inside_band,
     percentile_vector,
     price_points,
+    remove_outliers,
     visitors,
 )
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
@@ -308,12 +308,9 @@ FROM kept JOIN after_trim USING (category, {STATE_KEYS})"""
 def agg_removal_stats(t):
     """Kept purchases beside what their group lost."""
     keys = ["category", *KEYS]
-    purchases = count_purchases(visitor_rows(t, CATEGORIES, STATE, WHOLE), keys)
-    bands = price_points(purchases, keys, {}, WHOLE)
-    kept = inside_band(purchases, bands, keys, WHOLE)
-    removed = cap_test.outlier_report(t, CATEGORIES, WHOLE).drop("pct_removed", "txn_after")
-    repeated = kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return repeated.join(removed, keys).select(*keys, "trans_amount", "txn_before", "txn_removed")
+    kept, removed = remove_outliers(visitor_rows(t, CATEGORIES, STATE, WHOLE), keys, WHOLE)
+    both = kept.join(removed, keys)
+    return both.select(*keys, "trans_amount", "txn_before", "txn_removed")
 
 
 CARRIED = ("merch_state", "month_date", "transaction_count_final", "txn_before_cap",

@@ -119,10 +119,8 @@ FROM ({sql.ranked("base", "merch_state")}) WHERE daily_rank <= 1"""
     ),
 )
 def flt_rank_cap(t):
-    ranked = capping.daily_rank(visitor_rows(t, [RETAIL], STATE, WHOLE), ["merch_state"])
-    return ranked.filter(F.col("daily_rank") <= 1).select(
-        "merch_state", "trans_date", "membccid", "trans_amount"
-    )
+    top = capping.top_of_day(visitor_rows(t, [RETAIL], STATE, WHOLE), 1, ["merch_state"])
+    return top.select("merch_state", "trans_date", "membccid", "trans_amount")
 
 
 @query(

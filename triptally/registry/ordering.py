@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from triptally.config import ACCOMMODATION, ATTRACTION, RETAIL, RETAIL_NO_MINIMUM
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test
@@ -132,14 +134,18 @@ def _side(label: str, order: str) -> str:
   ORDER BY cost_per_trip {order}, merch_state LIMIT 10)"""
 
 
+# The last complete month: the one after it has a single day and no whole basket.
+COMPLETE = WHOLE.with_(end=date(2001, 7, 31))
+
+
 @query(
     "topk_cost_extremes",
     sql.basket(
-        f"{_side('most expensive', 'DESC')} UNION ALL {_side('least expensive', 'ASC')}", WHOLE
+        f"{_side('most expensive', 'DESC')} UNION ALL {_side('least expensive', 'ASC')}", COMPLETE
     ),
 )
 def topk_cost_extremes(t):
-    return cost_extremes(keep(basket_index(t, WHOLE), "index"))
+    return cost_extremes(keep(basket_index(t, COMPLETE), "index"))
 
 
 @query(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triptally.config import ATTRACTION, RETAIL, CountyConfig
 from triptally.operators import joins
+from triptally.operators.filters import in_period
 from triptally.operators.joins import COUNTY as COUNTY_LEVEL
 from triptally.operators.joins import STATE
 from triptally.plans.basket import basket_index
@@ -155,25 +155,23 @@ def sink_replace_month(t):
     return t.spark.read.schema(schema).parquet(folder).drop(*RUN, "period_start", "period_end")
 
 
+PRUNED = WHOLE.with_(ref_dates=(date(1996, 1, 1), date(1997, 1, 1)))
+
+
 @query(
     "prune_ref_date",
     sql.on_spend(
         """SELECT ref_date, merch_state, count(*) AS purchases, count(DISTINCT mtid) AS merchants
 FROM txn JOIN merch USING (mtid, ref_date)
-WHERE trans_distance > 60 AND trans_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'
+WHERE trans_distance > 60 AND ref_date BETWEEN DATE '1996-01-01' AND DATE '1997-01-01'
 GROUP BY ALL"""
     ),
 )
 def prune_ref_date(t):
-    return joined_by_snapshot(t, WHOLE.with_(start=date(1996, 1, 1), end=date(1997, 12, 31)))
-
-
-def joined_by_snapshot(t, config) -> DataFrame:
-    """Purchases per snapshot and state, from merchants stored by ref_date."""
     folder = fresh_folder(t.spark, "merchants")
     writers.write_merchants(t.merchants, folder)
-    stored = t.spark.read.parquet(folder)
-    rows = joins.with_merchants(visitor_transactions(t, config), stored)
+    stored = t.spark.read.parquet(folder).filter(in_period(*PRUNED.ref_dates, "ref_date"))
+    rows = joins.with_merchants(visitor_transactions(t, PRUNED), stored)
     # Purchases per merchant first, so that a busy merchant is one row.
     per_merchant = rows.groupBy("ref_date", "merch_state", "mtid").agg(F.count("*").alias("n"))
     return per_merchant.groupBy("ref_date", "merch_state").agg(

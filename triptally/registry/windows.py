@@ -32,8 +32,10 @@ FROM ({sql.ranked(f"({sql.rows([ATTRACTION], 'state', WHOLE)})", "merch_state")}
     ),
 )
 def win_daily_rank(t):
-    ranked = capping.daily_rank(visitor_rows(t, [ATTRACTION], STATE, WHOLE), ["merch_state"])
-    return ranked.select("merch_state", "trans_date", "membccid", "trans_amount", "daily_rank")
+    rows = visitor_rows(t, [ATTRACTION], STATE, WHOLE)
+    daily = capping.count_daily_purchases(rows, ["merch_state"])
+    ranks = capping.daily_ranks(capping.rank_purchases(daily, ["merch_state"]))
+    return ranks.select("merch_state", "trans_date", "membccid", "trans_amount", "daily_rank")
 
 
 @query(
