@@ -179,7 +179,9 @@ def _priced(
     """Price points joined with visitor counts, plus the purchases ranked for the cap."""
     purchases, ranked = purchases_of(rows, keys, place, config, within)
     prices = _points(purchases, keys, categories, config)
-    small = False
+    # The nation has one band per category and month of the period; other levels are measured.
+    months = 12 * (config.end.year - config.start.year + 1)
+    small = place == joins.NATIONAL.column and months * len(categories) <= config.broadcast_rows
     if config.stage:
         prices = keep(prices, "prices")
         small = prices.count() <= config.broadcast_rows
