@@ -10,6 +10,7 @@ from triptally.config import (
     CATEGORIES,
     COUPLE_WEEKEND,
     ONE_RETAIL_DAY,
+    RETAIL,
     SINGLE_LODGING_CHARGE,
     IndexConfig,
 )
@@ -23,7 +24,8 @@ from triptally.plans.basket import (
     rolling_fallback,
 )
 from triptally.plans.category import category_cost
-from triptally.schemas import BASKET
+from triptally.schemas import BASKET, category_export
+from triptally.sources.tables import read_exports
 
 KEY = "merch_state string, month_date date, "
 JUNE, JULY, AUGUST = date(2025, 6, 1), date(2025, 7, 1), date(2025, 8, 1)
@@ -131,6 +133,20 @@ def test_overlapping_exports_keep_the_last_calculation(spark):
     }
 
 
+def test_warehouse_exports_can_be_read(spark, tmp_path):
+    header = ",".join(category_export(RETAIL).names)
+    for month in ("06", "07"):
+        (tmp_path / f"retail_{month}.csv").write_text(
+            f"{header}\nCA,2025-{month}-01,29.840000152587891,102483313,249584,SINGLE_MONTH,"
+            f"2025-{month}-01,2025-08-31,2025-11-17 19:53:53.651372 UTC\n"
+        )
+    exports = read_exports(spark, str(tmp_path), category_export(RETAIL))
+    rows = sorted(latest_exports(exports).collect(), key=lambda r: r.month_date)
+    assert [r.month_date for r in rows] == [JUNE, JULY]
+    assert rows[0].retail_cost == 29.840000152587891 and rows[0].transaction_count == 102483313
+    assert rows[0].calculation_timestamp == datetime(2025, 11, 17, 19, 53, 53, 651372)
+
+
 def test_rolling_fallback_leaves_out_excluded_and_missing_months(spark):
     rows = [
         ("CA", date(2025, 1, 1), "SINGLE_MONTH", 10.0), ("CA", date(2025, 2, 1), "EXCLUDE", 1000.0),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from triptally.config import IndexConfig
 from triptally.operators.filters import present
+from triptally.sources.writers import keep
 
 AMOUNT, CARD = "trans_amount", "membccid"
 _SCALE = 1_000_000
@@ -188,6 +189,8 @@ def remove_outliers(
     rows: DataFrame, keys: Sequence[str], config: IndexConfig
 ) -> tuple[DataFrame, DataFrame]:
     """Rows inside their group's band, and per group how many there were and how many went."""
+    if config.stage:
+        rows = keep(rows, "rows")
     bands = price_points(count_purchases(rows, keys), keys, {}, config)
     removed = bands.select(
         *keys,
@@ -200,8 +203,13 @@ def remove_outliers(
 
 def visitors(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Purchases and distinct cards per group, apart from the percentiles: in one aggregate the
-    percentile state would be kept once per card."""
-    cards = purchases.groupBy(*keys, CARD).agg(F.sum("n").alias("n"))
+    percentile state would be kept once per card.
+
+    The condition always holds. It keeps the counts needed even where a caller reads no count, so
+    that the purchases stay the same shuffle as those behind the prices.
+    """
+    counted = purchases.filter(F.col("n") > 0)
+    cards = counted.groupBy(*keys, CARD).agg(F.sum("n").alias("n"))
     return cards.groupBy(*keys).agg(
         F.sum("n").alias("transaction_count"), F.count(CARD).alias("unique_visitors")
     )

@@ -196,15 +196,14 @@ def medians_in_global_band(
     keys = [STATE.column, MONTH]
     rows = visitor_rows(tables, [category], STATE, config.with_(daily_cap=None))
     purchases = rows.groupBy(*keys, CARD, AMOUNT).agg(F.count("*").alias("n"))
-    everything = purchases.withColumn("all", F.lit(1))
-    overall = price_points(everything, ["all"], MEDIAN, config)
-    banded = inside_band(everything, overall, ["all"], config).drop("all")
-    untrimmed = config.with_(trim=None)
-    prices = price_points(banded, keys, MEDIAN, untrimmed).select(
-        *keys, F.col("median").alias("median_uncapped")
+    overall = price_points(purchases.withColumn("all", F.lit(1)), ["all"], {}, config)
+    band = overall.select(F.struct("low", "high")).scalar()
+    banded = purchases.filter(F.col(AMOUNT).between(band["low"], band["high"]))
+    return price_points(banded, keys, MEDIAN, config.with_(trim=None)).select(
+        *keys,
+        F.col("median").alias("median_uncapped"),
+        F.col("n_band").alias("txn_count_uncapped"),
     )
-    counts = banded.groupBy(*keys).agg(F.sum("n").alias("txn_count_uncapped"))
-    return prices.join(counts, keys)
 
 
 def cap_sensitivity(

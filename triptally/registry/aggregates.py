@@ -23,7 +23,12 @@ from triptally.operators.distribution import (
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test, reports
 from triptally.plans.basket import COMPONENTS, basket_index
-from triptally.plans.category import category_cost, category_costs, visitor_rows
+from triptally.plans.category import (
+    category_cost,
+    category_costs,
+    category_prices,
+    visitor_rows,
+)
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import county_index, lodging_rates
 from triptally.registry import sql
@@ -446,7 +451,7 @@ FROM after_trim GROUP BY category"""
     ),
 )
 def agg_month_sets(t):
-    sets = reports.month_sets(category_costs(t, CATEGORIES, STATE, WHOLE))
+    sets = reports.month_sets(category_prices(t, CATEGORIES, STATE, WHOLE))
     months = F.col("months")
     return sets.select(
         "category",

@@ -34,6 +34,10 @@ from triptally.registry.base import (
 from triptally.registry.scalars import comparison_sql
 
 
+# Groups are far below the sketch's accuracy here, so it finds the exact percentiles.
+SKETCHED = WHOLE.with_(method="approx")
+
+
 def _category(key, category, level, config=WHOLE):
     @query(key, sql.category_cost(category, level.name, config))
     def build(t):
@@ -41,6 +45,7 @@ def _category(key, category, level, config=WHOLE):
 
 
 _category("state_accommodation", ACCOMMODATION, STATE)
+_category("state_accommodation_sketched", ACCOMMODATION, STATE, SKETCHED)
 _category("state_accommodation_cap", ACCOMMODATION, STATE, CAPPED)
 _category("state_attraction", ATTRACTION, STATE)
 _category("state_attraction_cap", ATTRACTION, STATE, CAPPED)
