@@ -180,8 +180,9 @@ def test_staged_bands_beyond_the_broadcast_size(spark):
     tables = spend_tables(spark, *busy_month())
     small = category_cost(tables, RETAIL, STATE, JULY.with_(stage=True))
     large = category_cost(tables, RETAIL, STATE, JULY.with_(stage=True, broadcast_rows=0))
+    lazy = category_cost(tables, RETAIL, STATE, JULY.with_(stage=False))
     drop = "calculation_timestamp"
-    assert small.drop(drop).collect() == large.drop(drop).collect()
+    assert small.drop(drop).collect() == large.drop(drop).collect() == lazy.drop(drop).collect()
 
 
 def test_configuration_is_checked():

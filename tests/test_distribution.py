@@ -13,7 +13,7 @@ from spending import between, nearest
 from triptally.config import IndexConfig
 from triptally.operators import distribution as dist
 
-CONFIG = IndexConfig(date(2025, 1, 1), date(2025, 12, 31))
+CONFIG = IndexConfig(date(2025, 1, 1), date(2025, 12, 31), stage=False)
 SHARES = {"q25": 0.25, "p35": 0.35, "p50": 0.5, "p65": 0.65, "q75": 0.75}
 SCHEMA = "place string, membccid string, trans_amount double"
 

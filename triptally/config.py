@@ -74,9 +74,10 @@ class IndexConfig:
     matches every snapshot of the merchant, so a transaction counts once per snapshot.
     ref_dates: first and last snapshot a run may read, on both sides of that join; None reads all.
     Tables stored by ref_date are then read only in part.
-    stage: write the counted purchases to the shared folder first. Later steps read that table,
-    and the trim bands, whose number of rows is then known, are broadcast when they are at most
-    `broadcast_rows`. Worth it for large runs on a cluster that may lose executors.
+    stage: write the purchases a run reads several times, and the bands they are trimmed to, to the
+    shared folder. Later steps read those tables: nothing is computed twice, a lost executor costs
+    no more than the running step, and the bands, counted by then, are broadcast when they are at
+    most `broadcast_rows`. False keeps a run one lazy plan.
     """
 
     start: date
@@ -91,7 +92,7 @@ class IndexConfig:
     accuracy: int = 10_000
     snapshot_join: bool = True
     ref_dates: tuple[date, date] | None = None
-    stage: bool = False
+    stage: bool = True
     broadcast_rows: int = 200_000
 
     def __post_init__(self) -> None:

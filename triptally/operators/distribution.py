@@ -26,6 +26,11 @@ def count_purchases(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter(present([*keys, AMOUNT])).groupBy(*keys, CARD, AMOUNT).agg(F.count("*").alias("n"))
 
 
+def single_purchases(rows: DataFrame) -> DataFrame:
+    """Rows as purchases that count once."""
+    return rows.withColumn("n", F.lit(1).cast("long"))
+
+
 def price_list(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per group and distinct amount: purchases `n` at it, `upto` at or below it, and
     `n_group` in the whole group."""
@@ -185,20 +190,39 @@ def inside_band(
     return joined.filter(F.col(AMOUNT).between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
+def staged(frame: DataFrame, name: str, config: IndexConfig) -> DataFrame:
+    return keep(frame, name) if config.stage else frame
+
+
+def prices_and_kept(
+    purchases: DataFrame,
+    keys: Sequence[str],
+    shares: Mapping[str, float],
+    config: IndexConfig,
+    sketched: bool = False,
+    few_groups: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Price points per group, and the purchases inside the bands found with them."""
+    points = sketched_price_points if sketched else price_points
+    prices = staged(points(purchases, keys, shares, config), "prices", config)
+    if config.stage:
+        few_groups = prices.count() <= config.broadcast_rows
+    return prices, inside_band(purchases, prices, keys, config, few_groups)
+
+
 def remove_outliers(
     rows: DataFrame, keys: Sequence[str], config: IndexConfig
 ) -> tuple[DataFrame, DataFrame]:
     """Rows inside their group's band, and per group how many there were and how many went."""
-    if config.stage:
-        rows = keep(rows, "rows")
-    bands = price_points(count_purchases(rows, keys), keys, {}, config)
+    rows = staged(rows.filter(present([*keys, AMOUNT])), "rows", config)
+    bands, kept = prices_and_kept(single_purchases(rows), keys, {}, config)
     removed = bands.select(
         *keys,
         F.col("n_before").alias("txn_before"),
         F.col("n_band").alias("txn_after"),
         (F.col("n_before") - F.col("n_band")).alias("txn_removed"),
     )
-    return inside_band(rows, bands, keys, config), removed
+    return kept.drop("n"), removed
 
 
 def visitors(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,9 +20,10 @@ from triptally.operators.distribution import (
     AMOUNT,
     CARD,
     count_purchases,
-    inside_band,
     price_points,
+    prices_and_kept,
     remove_outliers,
+    staged,
     visitors,
 )
 from triptally.operators.filters import present
@@ -48,10 +49,10 @@ def retail_cap_test(
     rows = visitor_rows(tables, [category], STATE, config).withColumnRenamed(
         "merch_state", "state_abbr"
     )
-    ranked = capping.rank_purchases(capping.count_daily_purchases(rows, keys), keys)
+    daily = capping.count_daily_purchases(rows, keys)
+    ranked = staged(capping.rank_purchases(daily, keys), "ranked", config)
     purchases = _present(capping.keep_dearest(ranked, config.daily_cap), keys)
-    prices = price_points(purchases, keys, MEDIAN, config)
-    trimmed = inside_band(purchases, prices, keys, config)
+    prices, trimmed = prices_and_kept(purchases, keys, MEDIAN, config)
     # Cards and card-days in one go: first per card-day, then per card.
     days = trimmed.groupBy(*keys, CARD, capping.DAY).agg(F.sum("n").alias("n"))
     cards = days.groupBy(*keys, CARD).agg(F.sum("n").alias("n"), F.count("*").alias("days"))
@@ -154,7 +155,7 @@ def cap_comparison(
     """Medians with and without the cap per state and month, both trimmed to their own band."""
     keys = [STATE.column, MONTH]
     daily = capping.count_daily_purchases(visitor_rows(tables, [category], STATE, config), keys)
-    ranked = capping.rank_purchases(daily, [STATE.column])
+    ranked = staged(capping.rank_purchases(daily, [STATE.column]), "ranked", config)
     # Both sides in one distribution, told apart by a key.
     sides = [*keys, "side"]
     either = F.array(
@@ -163,9 +164,7 @@ def cap_comparison(
     )
     both_sides = ranked.select(*keys, CARD, AMOUNT, F.inline(either)).filter(F.col("n") > 0)
     purchases = _present(both_sides, keys)
-    prices = price_points(purchases, sides, MEDIAN, config)
-    counts = visitors(inside_band(purchases, prices, sides, config), sides)
-    priced = prices.join(counts, sides)
+    priced = price_points(purchases, sides, MEDIAN, config)
 
     def of(side: str, value: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(value)))
@@ -173,8 +172,8 @@ def cap_comparison(
     both = priced.groupBy(*keys).agg(
         of("uncapped", "median").alias("median_uncapped"),
         of("capped", "median").alias("median_capped"),
-        of("uncapped", "transaction_count").alias("txn_count_uncapped"),
-        of("capped", "transaction_count").alias("txn_count_capped"),
+        of("uncapped", "n_band").alias("txn_count_uncapped"),
+        of("capped", "n_band").alias("txn_count_capped"),
     )
     compared = both.filter(
         F.col("median_uncapped").isNotNull() & F.col("median_capped").isNotNull()
@@ -195,7 +194,7 @@ def medians_in_global_band(
     in which the band comes from an uncorrelated subquery."""
     keys = [STATE.column, MONTH]
     rows = visitor_rows(tables, [category], STATE, config.with_(daily_cap=None))
-    purchases = rows.groupBy(*keys, CARD, AMOUNT).agg(F.count("*").alias("n"))
+    purchases = rows.groupBy(*keys, AMOUNT).agg(F.count("*").alias("n"))
     overall = price_points(purchases.withColumn("all", F.lit(1)), ["all"], {}, config)
     band = overall.select(F.struct("low", "high")).scalar()
     banded = purchases.filter(F.col(AMOUNT).between(band["low"], band["high"]))
@@ -214,7 +213,7 @@ def cap_sensitivity(
     daily = capping.count_daily_purchases(
         visitor_rows(tables, [category], STATE, config), [STATE.column]
     )
-    ranked = capping.rank_purchases(daily, [STATE.column])
+    ranked = staged(capping.rank_purchases(daily, [STATE.column]), "ranked", config)
     each = ranked.withColumn("daily_cap", F.explode(F.array(*[F.lit(c) for c in caps])))
     each = each.withColumn("n_kept", capping.kept(F.col("daily_cap")))
     purchases = _present(capping.keep_dearest(each, F.col("daily_cap")), [STATE.column])

@@ -19,15 +19,15 @@ from triptally.operators import capping, filters, joins
 from triptally.operators.distribution import (
     AMOUNT,
     CARD,
-    count_purchases,
-    inside_band,
     price_points,
+    prices_and_kept,
+    single_purchases,
     sketched_price_points,
+    staged,
     visitors,
 )
 from triptally.operators.joins import Level
 from triptally.sources.tables import SpendTables
-from triptally.sources.writers import keep
 
 MONTH = "month_date"
 SPREAD = {"q25": 0.25, "q75": 0.75}
@@ -150,26 +150,23 @@ def purchases_of(
     within: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame | None]:
     """Weighted purchases after the cap, and those ranked for it when there is a cap."""
+    known = filters.present([*keys, AMOUNT])
     if config.daily_cap is None:
-        if config.method == "approx":
-            return rows.withColumn("n", F.lit(1).cast("long")), None
-        return _staged(count_purchases(rows, keys), config), None
+        return single_purchases(rows.filter(known).select(*keys, CARD, AMOUNT)), None
     daily = capping.count_daily_purchases(rows, keys)
-    ranked = _staged(capping.rank_purchases(daily, [place], within), config)
-    kept = capping.keep_dearest(ranked, config.daily_cap)
-    return kept.filter(filters.present([*keys, AMOUNT])), ranked
+    ranked = staged(capping.rank_purchases(daily, [place], within), "ranked", config)
+    return capping.keep_dearest(ranked, config.daily_cap).filter(known), ranked
 
 
-def _staged(purchases: DataFrame, config: IndexConfig) -> DataFrame:
-    return keep(purchases, "purchases") if config.stage else purchases
+def _sketched(config: IndexConfig) -> bool:
+    return config.method == "approx" and config.daily_cap is None
 
 
 def _points(
     purchases: DataFrame, keys: Sequence[str], categories: Sequence[Category], config: IndexConfig
 ) -> DataFrame:
-    if config.method == "approx" and config.daily_cap is None:
-        return sketched_price_points(purchases, keys, _shares(categories), config)
-    return price_points(purchases, keys, _shares(categories), config)
+    points = sketched_price_points if _sketched(config) else price_points
+    return points(purchases, keys, _shares(categories), config)
 
 
 def _priced(
@@ -178,15 +175,18 @@ def _priced(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Price points joined with visitor counts, plus the purchases ranked for the cap."""
     purchases, ranked = purchases_of(rows, keys, place, config, within)
-    prices = _points(purchases, keys, categories, config)
+    if ranked is None and config.stage:
+        purchases = staged(purchases, "purchases", config)
+    elif ranked is None and not _sketched(config):
+        # One lazy plan: prices and visitor counts share the shuffle of these counts.
+        purchases = purchases.groupBy(*keys, CARD, AMOUNT).agg(F.sum("n").alias("n"))
     # The nation has one band per category and month of the period; other levels are measured.
     months = 12 * (config.end.year - config.start.year + 1)
-    small = place == joins.NATIONAL.column and months * len(categories) <= config.broadcast_rows
-    if config.stage:
-        prices = keep(prices, "prices")
-        small = prices.count() <= config.broadcast_rows
-    counts = visitors(inside_band(purchases, prices, keys, config, small), keys)
-    return prices.join(counts, keys), ranked
+    few = place == joins.NATIONAL.column and months * len(categories) <= config.broadcast_rows
+    prices, kept = prices_and_kept(
+        purchases, keys, _shares(categories), config, _sketched(config), few
+    )
+    return prices.join(visitors(kept, keys), keys), ranked
 
 
 def category_cost(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triptally.config import ATTRACTION, RESTAURANT, RETAIL_NO_MINIMUM, CountyConfig
 from triptally.functions.scalars import month_start, months_between, normalize_dc_county
 from triptally.operators import capping, filters, joins
-from triptally.operators.distribution import AMOUNT, inside_band, price_points
+from triptally.operators.distribution import AMOUNT, price_points, prices_and_kept, staged
 from triptally.operators.joins import COUNTY
 from triptally.plans.category import MONTH, visitor_rows
 from triptally.sources.tables import SpendTables
@@ -61,8 +61,7 @@ def card_prices(tables: SpendTables, config: CountyConfig) -> DataFrame:
     groups = ["category", *KEYS]
     rows = visitor_rows(tables, CATEGORIES, COUNTY, index, us_only=False)
     daily = capping.count_daily_purchases(rows.filter(filters.present([*groups, AMOUNT])), groups)
-    bands = price_points(daily, groups, {}, index)
-    bought = inside_band(daily, bands, groups, index)
+    bands, bought = prices_and_kept(staged(daily, "purchases", index), groups, {}, index)
     if index.daily_cap is not None:
         ranked = capping.rank_purchases(bought, [COUNTY.column], ["category"])
         retail = F.col("category") == RETAIL_NO_MINIMUM.name
