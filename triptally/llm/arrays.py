@@ -79,9 +79,12 @@ class Chunk:
 
 
 def chunks(column: pa.Array, budget: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The rows of a string column (null: empty) in runs of about `budget` bytes, so that working
+    """The rows of a string or binary column (null: empty) in runs of about `budget` bytes, so that working
     arrays stay small whatever the size of a batch. A longer text is a run of its own."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    else:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     n = len(column)
     if n == 0:
@@ -134,7 +137,7 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(len(hashes) - n + 1, U64)
     for j in range(n):
         total += hashes[j : len(hashes) - n + 1 + j] * step[j]
-    return mix(total + U64(n) * _ODD)
+    return mix(total + np.array([n], U64) * _ODD)
 
 
 def sequence_hash(hashes: np.ndarray) -> np.ndarray:

@@ -14,8 +14,10 @@ from triptally.llm.arrays import U64, chunks, distinct, lists, mix, shingles, si
 from triptally.llm.components import components
 from triptally.llm.tables import Steps
 
-BAND_RATIO = 4  # a band holds sizes from its lower end to this many times it
+BAND_RATIO = 2  # a band holds sizes from its lower end to this many times it
 PER_PART = 3  # shingles per part of the domain, for the largest sets of a band
+CROWD = 16  # a signature of more sets is crowded: a passage of many texts, or a group of copies
+BUCKETS = 128  # of the counts that bound a difference from below
 ROWS_PER_TASK = 2_000_000  # signatures one task sorts; more of them get more tasks
 
 
@@ -32,27 +34,37 @@ class Similarity:
 
         With sizes a and b, the difference is at most (a + b)(1 - t)/(1 + t), and b <= a/t.
         """
-        t_num, t_den = self.num, self.den
-        return size * (t_den - t_num) // t_num
+        return size * (self.den - self.num) // self.num
+
+    def spare(self, size: np.ndarray | int) -> np.ndarray | int:
+        """How many more signatures than needed a set gives, so that crowded ones can go."""
+        return size // 10
+
+    def crowded(self, size: str) -> str:
+        """The number of crowded signatures (SQL) that a set can do without: what the smallest set
+        that it can link with has to spare."""
+        return f"({size} * {self.num} div {self.den}) div 10"
 
 
 def _signatures(
     rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, rule: Similarity
-) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every set, given its sorted distinct (row, hash) pairs.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) of every set, given its sorted distinct (row, hash) pairs, and whether a set
+    has fewer signatures than it should.
 
     A band covers sizes of one range; a set whose partner may be in the band below also signs there.
     In a band the domain of shingles is cut into a fixed number of parts by a hash. Sets that link
-    differ in at most `furthest` parts, so of the first furthest + 1 parts that are not empty, in
-    one order for all sets, at least one is the same in both: its content is the signature. A set
-    with too few non-empty parts signs all of them, and also its first furthest + 1 shingles, each
-    as a part of its own: two such sets meet there.
+    differ in at most `furthest` parts, so of the first furthest + 1 + spare parts that are not
+    empty, in one order for all sets, at least 1 + spare are the same in both: their contents are
+    the signatures. A set with fewer non-empty parts signs all of them; with no more than furthest,
+    also its first furthest + 1 shingles, each as a part of its own: two such sets meet there.
     """
     edges = BAND_RATIO ** np.arange(30, dtype=np.int64)
     band = np.maximum(np.searchsorted(edges, sizes, "right") - 1, 0)
     # The smallest partner has ceil(size * t) elements.
     smallest = -(-sizes * rule.num // rule.den)
     out_rows, out = [], []
+    short = np.zeros(len(sizes), bool)
     for step in (0, 1):
         # All sets sign in their own band; those with partners in the band below sign there too.
         chosen = (sizes > 0) if step == 0 else (sizes > 0) & (smallest < edges[band])
@@ -63,8 +75,8 @@ def _signatures(
         own_band = (band - step)[r]
         parts = (edges[own_band + 1] // PER_PART).astype(U64)
         with np.errstate(over="ignore"):
-            part = mix(h ^ (own_band.astype(U64) + U64(77))) % parts
-            part = np.where(own_band <= 1, h, part)  # small sets: every shingle is a part
+            part = mix(h ^ (own_band.astype(U64) + U64(77))) % np.maximum(parts, U64(1))
+            part = np.where(own_band <= 3, h, part)  # small sets: every shingle is a part
             order = np.lexsort((part, r))
             r, h, part, own_band = r[order], h[order], part[order], own_band[order]
             new = np.ones(len(r), bool)
@@ -78,10 +90,12 @@ def _signatures(
         begin = np.flatnonzero(first)
         rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
         need = rule.furthest(sizes) + 1
-        take = rank < need[owner]
+        wanted = need + rule.spare(sizes)
+        take = rank < wanted[owner]
         out_rows.append(owner[take])
         out.append(key[take])
         filled = np.bincount(owner, minlength=len(sizes))
+        short |= chosen & (filled < wanted)
         few = chosen & (filled < need)
         if few.any():
             mine = few[r]
@@ -96,8 +110,8 @@ def _signatures(
             out_rows.append(rr[take])
             out.append(mix(hh[take] ^ (bb[take].astype(U64) + U64(0xFE0000))))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(out_rows), np.concatenate(out)
+        return np.zeros(0, np.int64), np.zeros(0, U64), short
+    return np.concatenate(out_rows), np.concatenate(out), short
 
 
 def _sets(chunk, rule: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +128,8 @@ def _sets(chunk, rule: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, cls, sigs): cls names a set, equal sets share it; sigs only where a task
-    meets the set for the first time."""
+    """(key, n_shingles, cls, firm, sigs): cls names a set, equal sets share it; sigs only where a
+    task meets the set for the first time. A firm set can do without none of its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -129,59 +143,56 @@ def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataF
                         seen.add(name)
                         fresh[i] = True
                 mine = fresh[rows]
-                owner, sigs = _signatures(rows[mine], hashes[mine], sizes * fresh, rule)
+                owner, sigs, short = _signatures(rows[mine], hashes[mine], sizes * fresh, rule)
                 order = np.argsort(owner, kind="stable")
                 counts = np.bincount(owner, minlength=len(chunk))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(chunk)), pa.array(sizes),
-                     signed(whole), lists(sigs[order].view(np.int64), counts)],
-                    names=["key", "n_shingles", "cls", "sigs"],
+                     signed(whole), pa.array(short), lists(sigs[order].view(np.int64), counts)],
+                    names=["key", "n_shingles", "cls", "firm", "sigs"],
                 )
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(
-        run, f"key {kind}, n_shingles long, cls long, sigs array<long>"
+        run, f"key {kind}, n_shingles long, cls long, firm boolean, sigs array<long>"
     )
 
 
 def shared_signatures(signatures: DataFrame, tasks: int) -> DataFrame:
-    """(sig, cls, pivot) of every signature that several sets have; pivot is its smallest set.
-
-    Only links to the pivot are told, so a signature of n sets gives n rows, not n * n.
-    """
+    """(sig, cls, tag, pivot, crowd) of every signature that several sets have; pivot is its smallest
+    set."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        sigs, sets = [], []
-        for batch in batches:
-            sigs.append(batch.column(0).to_numpy())
-            sets.append(batch.column(1).to_numpy())
-        if not sigs:
+        columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not columns:
             return
-        sig, cls = np.concatenate(sigs), np.concatenate(sets)
-        del sigs, sets
+        sig, cls, tag = (np.concatenate(c) for c in zip(*columns, strict=True))
+        del columns
         order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
+        sig, cls, tag = sig[order], cls[order], tag[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
+        sig, cls, tag = sig[new], cls[new], tag[new]
         start = np.ones(len(sig), bool)
         start[1:] = sig[1:] != sig[:-1]
         begin = np.flatnonzero(start)
         sizes = np.diff(np.append(begin, len(sig)))
-        pivot = np.repeat(cls[begin], sizes)
         several = np.repeat(sizes > 1, sizes)
-        sig, cls, pivot = sig[several], cls[several], pivot[several]
-        for i in range(0, len(sig), 1 << 16):
-            part = slice(i, i + (1 << 16))
+        columns = (sig, cls, tag, np.repeat(cls[begin], sizes), np.repeat(sizes > CROWD, sizes))
+        columns = [c[several] for c in columns]
+        for i in range(0, len(columns[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[part]), pa.array(cls[part]), pa.array(pivot[part])],
-                names=["sig", "cls", "pivot"],
+                [pa.array(c[i : i + (1 << 16)]) for c in columns],
+                names=["sig", "cls", "tag", "pivot", "crowd"],
             )
 
-    return signatures.repartition(tasks, "sig").mapInArrow(run, "sig long, cls long, pivot long")
+    return signatures.repartition(tasks, "sig").mapInArrow(
+        run, "sig long, cls long, tag long, pivot long, crowd boolean"
+    )
 
 
 def set_table(docs: DataFrame, rule: Similarity, text: str, cls: str) -> DataFrame:
-    """(cls, elements): the sorted shingle hashes of each set as bytes."""
+    """(cls, counts, elements): the sorted shingle hashes of each set as bytes, and how many fall in
+    each bucket of a hash, 255 for more."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,17 +200,51 @@ def set_table(docs: DataFrame, rule: Similarity, text: str, cls: str) -> DataFra
                 rows, hashes, sizes, _ = _sets(chunk, rule)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 elements = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                bucket = rows * BUCKETS + (mix(hashes) % U64(BUCKETS)).astype(np.int64)
+                counts = np.bincount(bucket, minlength=len(chunk) * BUCKETS).reshape(-1, BUCKETS)
+                counts = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(chunk)),
+                     pa.array(sizes), pa.array(counts, pa.binary()),
                      pa.array(elements, pa.binary())],
-                    names=["cls", "elements"],
+                    names=["cls", "n", "counts", "elements"],
                 )
 
-    return docs.select(F.col(cls), F.col(text)).mapInArrow(run, "cls long, elements binary")
+    return docs.select(F.col(cls), F.col(text)).mapInArrow(
+        run, "cls long, n long, counts binary, elements binary"
+    )
+
+
+def possible(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs that may link by the counts of their buckets: two sets differ in at least as many
+    elements as the counts differ in sum."""
+    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("c1"))
+    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("c2"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)
+                .reshape(-1, BUCKETS).astype(np.int16)
+                for c in (4, 5)
+            )
+            apart = np.abs(x - y).sum(1, dtype=np.int64)
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            # With intersection (both - apart) / 2 and union (both + apart) / 2 at best.
+            keep = rule.den * (both - apart) >= rule.num * (both + apart)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    sized = pairs.join(one, "a").join(two, "b").where(
+        F.least("n1", "n2") * rule.den >= F.greatest("n1", "n2") * rule.num
+    )
+    return sized.select("a", "b", "n1", "n2", "c1", "c2").mapInArrow(run, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough, each compared in full."""
+    """The pairs (a, b) of sets that are similar enough, each that may be compared in full."""
+    pairs = possible(pairs, sets, rule)
     one = sets.select(F.col("cls").alias("a"), F.col("elements").alias("one"))
     two = sets.select(F.col("cls").alias("b"), F.col("elements").alias("two"))
 
@@ -229,62 +274,83 @@ def similar_documents(
     """(key, n_shingles, component): every row of `docs` with the smallest key reachable by links.
 
     Equal sets are one class, named by a 64-bit hash. Classes that share a PartEnum signature are
-    candidates. First each is compared with the smallest class of the signature only; that joins
-    the members of large groups of copies with few comparisons. Then every pair of classes that
-    share a signature and are not yet in one component is compared, so no link is lost. Null and
-    empty texts have no shingles and link with nothing; repeated rows are returned as they are; rows
-    without a key take part, but never give a component its name.
+    candidates. A class with few crowded signatures does without them, for it shares others with
+    whatever it links with. First each class is compared with the smallest of every signature only;
+    that joins the members of large groups of copies with few comparisons. Then every pair of
+    classes that share a signature and are not yet in one component is compared, so no link is lost.
+    Null and empty texts have no shingles and link with nothing; repeated rows are returned as they
+    are; rows without a key take part, but never give a component its name.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "similar")
-    found = steps.keep(signed_sets(docs, rule, key, text), "sets")
-    filled = found.where("n_shingles > 0")
-    signatures = found.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cls")
+    found = steps.keep(signed_sets(docs, rule, key, text), "signed")
+    tag = (F.col("n_shingles") * 2 + F.col("firm").cast("long")).alias("tag")
+    signatures = found.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cls", tag)
     n = found.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_TASK))
     shared = steps.keep(shared_signatures(signatures, tasks), "shared")
+    found = steps.keep(found.select("key", "n_shingles", "cls"), "sets")
+    filled = found.where("n_shingles > 0")
+    steps.drop("signed")
+    steps.release()
+
+    # Crowded signatures stay only for the classes that need them.
+    crowded = shared.where("crowd").select("sig", "cls", "tag")
+    loose = (
+        crowded.groupBy("cls", "tag").agg(F.count("*").alias("c"))
+        .where("tag % 2 = 0").where(f"c <= {rule.crowded('(tag div 2)')}").select("cls")
+    )
+    needed = crowded.join(loose, "cls", "left_anti")
+    least = needed.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"))
+    needed = needed.join(least.where("pivot < last"), "sig").select("sig", "cls", "tag", "pivot")
+    told = steps.keep(
+        shared.where("not crowd").select("sig", "cls", "tag", "pivot").unionByName(needed), "told"
+    )
 
     # One text of every class that has a candidate.
-    wanted = shared.select("cls").distinct()
+    wanted = told.select("cls").distinct()
     first = filled.where("key is not null").groupBy("cls").agg(F.min("key").alias("key"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(
         F.col(key).isNotNull()
     )
-    chosen = first.join(wanted, "cls", "left_semi")
-    sets = steps.keep(
-        set_table(
-            texts.join(chosen.withColumnRenamed("key", "own"), F.col("key") == F.col("own"))
-            .select("cls", "text").dropDuplicates(["cls"]), rule, "text", "cls",
-        ),
-        "elements",
-    )
-    near = shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    links = steps.keep(linked(near.distinct(), sets, rule), "links-1")
+    chosen = first.join(wanted, "cls", "left_semi").select("cls", F.col("key").alias("own"))
+    own = texts.join(chosen, F.col("key") == F.col("own")).select("cls", "text")
+    sets = steps.keep(set_table(own, rule, "text", "cls").dropDuplicates(["cls"]), "elements")
+    steps.release()
+    near = told.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    near = steps.keep(near.distinct(), "near")
+    links = steps.keep(linked(near, sets, rule), "links-1")
+    steps.release()
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
-    placed = shared.select("sig", "cls").join(
+    placed = told.select("sig", "cls", (F.col("tag") / 2).cast("long").alias("n")).join(
         groups.withColumnRenamed("node", "cls"), "cls", "left"
-    ).select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+    ).withColumn("comp", F.coalesce("comp", "cls"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = mixed.where("lo <> hi").select("sig")
     open_ = steps.keep(placed.join(mixed, "sig", "left_semi"), "open")
-    x = open_.select("sig", F.col("cls").alias("a"), F.col("comp").alias("ca"))
-    y = open_.select("sig", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    across = x.join(y, "sig").where("ca <> cb and a < b").select("a", "b").distinct()
-    across = across.join(near.distinct(), ["a", "b"], "left_anti")
+    x = open_.select("sig", *[F.col(c).alias(f"{c}1") for c in ("cls", "comp", "n")])
+    y = open_.select(F.col("sig").alias("sig2"), *[F.col(c).alias(f"{c}2") for c in ("cls", "comp", "n")])
+    across = x.join(
+        y,
+        (F.col("sig") == F.col("sig2")) & (F.col("comp1") != F.col("comp2"))
+        & (F.col("cls1") < F.col("cls2"))
+        & (F.least("n1", "n2") * rule.den >= F.greatest("n1", "n2") * rule.num),
+    ).select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()
+    across = across.join(near, ["a", "b"], "left_anti")
     more = steps.keep(linked(across, sets, rule), "links-2")
-    everything = links.unionByName(more)
-    whole = steps.keep(components(everything, steps, "classes"), "classes")
+    steps.release()
+    whole = steps.keep(components(links.unionByName(more), steps, "classes"), "classes")
 
     named = (
         first.join(whole.withColumnRenamed("node", "cls"), "cls", "left")
         .select("cls", "key", F.coalesce("comp", "cls").alias("comp"))
     )
     names = named.groupBy("comp").agg(F.min("key").alias("component"))
-    lookup = named.join(names, "comp").select("cls", "component")
+    lookup = named.join(names, "comp").select(F.col("cls").alias("of"), "component")
     result = found.select("key", "n_shingles", "cls").join(
-        lookup, (found.cls == lookup.cls) & (found.n_shingles > 0), "left"
+        lookup, (F.col("cls") == F.col("of")) & (F.col("n_shingles") > 0), "left"
     )
     return result.select(
         F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component")

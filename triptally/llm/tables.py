@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from triptally.session import fresh_folder
@@ -30,3 +32,9 @@ class Steps:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark delete shuffle files of finished steps: it does so when the driver collects
+        its garbage, which a driver with free memory would not do for a long time."""
+        gc.collect()
+        self.spark._jvm.System.gc()
