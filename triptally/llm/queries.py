@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triptally.llm import compression, language_id, ngram_join, toxicity
+from triptally.llm import compression, decontaminate, language_id, ngram_join, suffix_dedup, toxicity
 from triptally.llm.shipping import ship
 from triptally.llm.tables import table
 
@@ -50,3 +50,17 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = ngram_join.similar_documents(table(spark, folder, "documents"))
     return found.withColumnRenamed("component", "component_id")
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = suffix_dedup.remove_repeats(docs)
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
