@@ -38,12 +38,12 @@ class Similarity:
 
     def spare(self, size: np.ndarray | int) -> np.ndarray | int:
         """How many more signatures than needed a set gives, so that crowded ones can go."""
-        return size // 10
+        return size // 16
 
     def crowded(self, size: str) -> str:
         """The number of crowded signatures (SQL) that a set can do without: what the smallest set
         that it can link with has to spare."""
-        return f"({size} * {self.num} div {self.den}) div 10"
+        return f"({size} * {self.num} div {self.den}) div 16"
 
 
 def _signatures(
@@ -127,9 +127,19 @@ def _sets(chunk, rule: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return rows, hashes, sizes, whole
 
 
+def _bucket_counts(rows: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
+    """How many elements of each set fall in each bucket of a hash, 255 for more."""
+    bucket = rows * BUCKETS + (mix(hashes) % U64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(bucket, minlength=n * BUCKETS)
+    flat = np.minimum(counts, 255).astype(np.uint8)
+    bounds = pa.array(np.arange(n + 1, dtype=np.int32) * BUCKETS)
+    return pa.Array.from_buffers(pa.binary(), n, [None, bounds.buffers()[1], pa.py_buffer(flat)])
+
+
 def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, cls, firm, sigs): cls names a set, equal sets share it; sigs only where a
-    task meets the set for the first time. A firm set can do without none of its signatures."""
+    """(key, n_shingles, cls, firm, counts, sigs): cls names a set, equal sets share it; counts are
+    those of its buckets; sigs only where a task meets the set for the first time. A firm set can do
+    without none of its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -148,12 +158,14 @@ def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataF
                 counts = np.bincount(owner, minlength=len(chunk))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(chunk)), pa.array(sizes),
-                     signed(whole), pa.array(short), lists(sigs[order].view(np.int64), counts)],
-                    names=["key", "n_shingles", "cls", "firm", "sigs"],
+                     signed(whole), pa.array(short),
+                     _bucket_counts(rows, hashes, len(chunk)),
+                     lists(sigs[order].view(np.int64), counts)],
+                    names=["key", "n_shingles", "cls", "firm", "counts", "sigs"],
                 )
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(
-        run, f"key {kind}, n_shingles long, cls long, firm boolean, sigs array<long>"
+        run, f"key {kind}, n_shingles long, cls long, firm boolean, counts binary, sigs array<long>"
     )
 
 
@@ -190,29 +202,20 @@ def shared_signatures(signatures: DataFrame, tasks: int) -> DataFrame:
     )
 
 
-def set_table(docs: DataFrame, rule: Similarity, text: str, cls: str) -> DataFrame:
-    """(cls, counts, elements): the sorted shingle hashes of each set as bytes, and how many fall in
-    each bucket of a hash, 255 for more."""
+def set_table(docs: DataFrame, rule: Similarity, text: str) -> DataFrame:
+    """(cls, elements): the sorted shingle hashes of the set of each text as bytes."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                rows, hashes, sizes, _ = _sets(chunk, rule)
+            for chunk in chunks(batch.column(0)):
+                _, hashes, sizes, whole = _sets(chunk, rule)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 elements = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-                bucket = rows * BUCKETS + (mix(hashes) % U64(BUCKETS)).astype(np.int64)
-                counts = np.bincount(bucket, minlength=len(chunk) * BUCKETS).reshape(-1, BUCKETS)
-                counts = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, len(chunk)),
-                     pa.array(sizes), pa.array(counts, pa.binary()),
-                     pa.array(elements, pa.binary())],
-                    names=["cls", "n", "counts", "elements"],
+                    [signed(whole), pa.array(elements, pa.binary())], names=["cls", "elements"]
                 )
 
-    return docs.select(F.col(cls), F.col(text)).mapInArrow(
-        run, "cls long, n long, counts binary, elements binary"
-    )
+    return docs.select(text).mapInArrow(run, "cls long, elements binary")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
@@ -243,8 +246,7 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough, each that may be compared in full."""
-    pairs = possible(pairs, sets, rule)
+    """The pairs (a, b) of sets that are similar enough, each compared in full."""
     one = sets.select(F.col("cls").alias("a"), F.col("elements").alias("one"))
     two = sets.select(F.col("cls").alias("b"), F.col("elements").alias("two"))
 
@@ -289,8 +291,7 @@ def similar_documents(
     n = found.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_TASK))
     shared = steps.keep(shared_signatures(signatures, tasks), "shared")
-    found = steps.keep(found.select("key", "n_shingles", "cls"), "sets")
-    filled = found.where("n_shingles > 0")
+    found = steps.keep(found.drop("firm", "sigs"), "sets")
     steps.drop("signed")
     steps.release()
 
@@ -307,20 +308,35 @@ def similar_documents(
         shared.where("not crowd").select("sig", "cls", "tag", "pivot").unionByName(needed), "told"
     )
 
-    # One text of every class that has a candidate.
-    wanted = told.select("cls").distinct()
+    filled = found.where("n_shingles > 0")
+    told_classes = told.select("cls").distinct()
+    bounds = steps.keep(
+        filled.join(told_classes, "cls", "left_semi").groupBy("cls").agg(
+            F.min("n_shingles").alias("n"), F.min("counts").alias("counts")
+        ),
+        "bounds",
+    )
     first = filled.where("key is not null").groupBy("cls").agg(F.min("key").alias("key"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(
         F.col(key).isNotNull()
     )
-    chosen = first.join(wanted, "cls", "left_semi").select("cls", F.col("key").alias("own"))
-    own = texts.join(chosen, F.col("key") == F.col("own")).select("cls", "text")
-    sets = steps.keep(set_table(own, rule, "text", "cls").dropDuplicates(["cls"]), "elements")
-    steps.release()
+
+    def compare(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, written; one text of each class is read that may have a link."""
+        open_pairs = steps.keep(possible(pairs, bounds, rule), f"open-{name}")
+        classes = open_pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        chosen = first.join(classes, "cls", "left_semi").select(F.col("key").alias("own")).distinct()
+        own = texts.join(chosen, F.col("key") == F.col("own")).dropDuplicates(["key"])
+        sets = steps.keep(set_table(own, rule, "text"), f"elements-{name}")
+        steps.release()
+        links = steps.keep(linked(open_pairs, sets, rule), f"links-{name}")
+        steps.drop(f"elements-{name}", f"open-{name}")
+        steps.release()
+        return links
+
     near = told.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     near = steps.keep(near.distinct(), "near")
-    links = steps.keep(linked(near, sets, rule), "links-1")
-    steps.release()
+    links = compare(near, "1")
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
@@ -339,8 +355,7 @@ def similar_documents(
         & (F.least("n1", "n2") * rule.den >= F.greatest("n1", "n2") * rule.num),
     ).select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()
     across = across.join(near, ["a", "b"], "left_anti")
-    more = steps.keep(linked(across, sets, rule), "links-2")
-    steps.release()
+    more = compare(across, "2")
     whole = steps.keep(components(links.unionByName(more), steps, "classes"), "classes")
 
     named = (
