@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triptally.llm import compression, decontaminate, language_id, ngram_join, suffix_dedup, toxicity
+from triptally.llm import (
+    chat_format,
+    compression,
+    cover_tree,
+    decontaminate,
+    language_id,
+    ngram_join,
+    packing,
+    pii,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from triptally.llm.shipping import ship
 from triptally.llm.tables import table
 
+PSEUDONYM_KEY = "registered query"  # a real run has a secret one
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -64,3 +78,56 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return chat_format.chat_digests(chat_format.format_chats(turns.unionByName(more)))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, token_counts.read_vocabulary())
+    return counted.select("doc_id", "n_tokens")
+
+
+@query("op5_top_k")
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return cover_tree.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, key=PSEUDONYM_KEY, count="n_replaced")
+
+
+ORACLES["op5_top_k"] = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
