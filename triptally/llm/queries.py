@@ -117,10 +117,10 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op5_top_k"] = """
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
@@ -131,3 +131,57 @@ WITH good AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+ORACLES["op3_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, n, ['user', 'assistant'][n + 1], '\### Assistant: </turn> ok' FROM range(2) r(n)
+), sized AS (
+  SELECT *, len(list_filter(range(1, length(text) + 1), lambda i:
+           substr(text, i, 1) = '\' OR substr(text, i, 3) = '###' OR substr(text, i, 7) = '</turn>'
+         )) AS escapes,
+         len(list_filter(range(1, length(role) + 1), lambda i:
+           substr(role, i, 1) IN ('\', ':') OR substr(role, i, 3) = '###'
+           OR substr(role, i, 7) = '</turn>')) AS role_escapes
+  FROM turns
+), said AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                  FILTER (WHERE role = 'assistant'), '') AS learnt,
+         CAST(sum(length(role) + role_escapes + length(text) + escapes + 14) AS BIGINT) AS chars
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(learnt) AS loss_chars,
+       sha256(learnt) AS loss_sha256, chars AS formatted_chars
+FROM said
+"""
+
+ORACLES["op7_ngram_join"] = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
+    WHEN len(w) > 0 THEN [w] ELSE [] END) AS s
+  FROM cut
+), sizes AS (SELECT doc_id, len(s) AS n FROM shingled),
+one AS (SELECT doc_id, unnest(s) AS g FROM shingled),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 80 * (p.n + q.n - c)
+), edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON edges.x = reach.other
+)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id
+FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
+"""
