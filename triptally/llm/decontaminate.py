@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triptally.llm.arrays import SPACE, U64, Chunk, Words, chunks, gram_hashes, words
+from triptally.llm.arrays import U64, Chunk, Words, chunks, gram_hashes, words
+from triptally.llm.tables import fields
 
 MATCH, MISMATCH, GAP = 2, -1, -1  # alignment scores per word
 
@@ -62,7 +63,6 @@ def content_words(chunk: Chunk) -> Words:
 _PLAIN = np.arange(256, dtype=np.uint8)
 for _mark in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _PLAIN[_mark] = 0x20
-assert SPACE[0x20]
 
 
 def _postings(ids, hashes, firsts, gram: int, allowed: np.ndarray | None) -> Items:
@@ -279,7 +279,7 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of `docs` that hold no passage of a test item; columns stay as they are."""
     at = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = fields(docs)
     for items in _prepared(docs, benchmark, text, item, item_text, rule):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from triptally.llm.arrays import chunks
 from triptally.llm.compression import Lengths, fast, held_out, sample_by_class, thorough
+from triptally.llm.tables import fields
 
 UNKNOWN = "und"
 NARROW = 0.02  # below this margin a text is compressed again, more thoroughly
@@ -65,10 +66,14 @@ def identify(
     the smallest total wins, ties go to the first by name. `margin` is how much longer the second
     best is, as a share of the best; `score` turns it into 0 to 1. A text is rejected if it is
     null or has no letter (`und`, score and margin 0), or if the margin is below `min_margin`.
-    Without a learned language every text is `und`. Clashing column names: choose a `prefix`.
+    Without a learned language every text is `und`. Columns of these names in `docs` are
+    replaced; a `prefix` keeps them.
     """
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "margin", "rejected")]
-    schema = _extended(docs, zip(names, ("string", "double", "double", "boolean"), strict=True))
+    docs = docs.drop(*names)
+    schema = fields(docs) + "".join(
+        f", `{n}` {t}" for n, t in zip(names, ("string", "double", "double", "boolean"), strict=True)
+    )
     at = docs.columns.index(text)
 
     def run(batches):
@@ -104,18 +109,11 @@ def identify(
     return docs.mapInArrow(run, schema)
 
 
-def _extended(docs: DataFrame, more) -> str:
-    """The schema of `docs` with further columns; a clash of names is an error."""
-    more = list(more)
-    if clash := {n for n, _ in more} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already; choose a prefix")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return ", ".join([*fields, *(f"`{n}` {t}" for n, t in more)])
-
-
 def known_languages(docs: DataFrame, model: LanguageModel, min_margin: float = 0.002) -> DataFrame:
     """The documents whose language is told; the others go. Columns stay as they are."""
     prefix = "__language_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
     told = identify(docs, model, min_margin=min_margin, prefix=prefix)
     return told.where(~F.col(f"{prefix}rejected")).select(*docs.columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triptally.llm.arrays import chunks
-from triptally.llm.tables import Steps
+from triptally.llm.tables import Steps, fields
 from triptally.llm.tokens import Encoder, as_bytes
 
 GROUP = 16_000  # pieces packed together in one task
@@ -133,7 +133,7 @@ def pack(pieces_: DataFrame, steps: Steps, capacity: int, key: str = "doc_id") -
     dealt = pieces_.where(~whole).withColumn(
         "__group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups))
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_.schema)
+    schema = fields(pieces_)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([key, "piece", "ids_crc32"], kind="stable").reset_index(drop=True)

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triptally.llm.tables import unused
+
 ROUNDS = 8
 
 # The formats. No letter or digit may touch a value.
@@ -254,27 +256,26 @@ def pseudonymize(
     Found are e-mail addresses, dates (year-month-day, month/day/year, day.month.year), numbers of
     the form of US social security numbers, IPv4 addresses, telephone numbers and card numbers that
     pass the Luhn rule. Null and empty texts stay, their count is 0. Nothing is shuffled; a row
-    depends on no other. Dates of other forms or years stay, as do numbers that fail their check.
+    depends on no other. A column named as `count` is replaced. Dates of other forms or years stay, as do numbers that fail their check.
     """
+    docs = docs.drop(count) if count else docs
     columns = docs.columns
-    names = ("__values", "__new")
-    if clash := {*names, *([count] if count else [])} & set(columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    values, new = unused(columns, "__values"), unused(columns, "__new")
     none = F.array().cast("array<string>")
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     marked = docs.withColumn(
-        "__values", F.when(F.col(text).rlike("[0-9@]"), found).otherwise(none)
-    ).withColumn("__new", F.transform("__values", lambda v: pseudonym(v, key)))
+        values, F.when(F.col(text).rlike("[0-9@]"), found).otherwise(none)
+    ).withColumn(new, F.transform(values, lambda v: pseudonym(v, key)))
     woven = F.array_join(
         F.zip_with(
-            F.split(F.col(text), ANY, -1), F.col("__new"),
-            lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))),
+            F.split(F.col(text), ANY, -1), F.col(new),
+            lambda gap, other: F.concat(gap, F.coalesce(other, F.lit(""))),
         ),
         "",
     )
-    replaced = F.when(F.size("__values") > 0, woven).otherwise(F.col(text))
+    replaced = F.when(F.size(values) > 0, woven).otherwise(F.col(text))
     changed = F.size(F.filter(
-        F.zip_with("__values", "__new", lambda a, b: a != b), lambda different: different
+        F.zip_with(values, new, lambda a, b: a != b), lambda different: different
     ))
     more = [changed.cast("long").alias(count)] if count else []
     return marked.select(*[replaced.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *more)

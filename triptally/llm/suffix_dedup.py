@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from triptally.llm.arrays import chunks, running, signed
 from triptally.llm.suffix_runs import find_runs, fixed_ranges
-from triptally.llm.tables import Steps
+from triptally.llm.tables import Steps, fields, unused
 
 ROW = "__row"
 SMALL_GROUP = 64  # larger groups of one anchor are compared window by window across tasks
@@ -255,19 +255,20 @@ def remove_repeats(
     text or another; matches never cross texts and are judged on the input. Null is empty. Rows are
     told apart by `row`, a column of longs that no two different texts share; equal texts in two rows
     remove each other. A row without that number takes part, but nothing is removed from it.
-    `kept` is binary: a cut may divide a character.
+    `kept` is binary: a cut may divide a character. Columns of these names in `docs` are replaced.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept")
-    if clash := {*names, ROW, "__spans"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    own_row = F.col(row) if isinstance(row, str) else row
+    row_name, at_name, spans_name = (unused(docs.columns, n) for n in (ROW, "__at", "__spans"))
+    columns = [c for c in docs.columns if c.lower() not in names]
+    marked = docs.select(*[F.col(f"`{c}`") for c in columns], own_row.cast("long").alias(row_name))
+    schema = fields(marked.drop(row_name))
     steps = Steps(docs.sparkSession, "repeats")
-    marked = docs.withColumn(ROW, F.col(row) if isinstance(row, str) else row)
-    spans = repeated_spans(marked.select(ROW, text), steps, text, length, gram, batches)
-    spans = spans.select(F.col("row").alias("__at"), F.col("spans").alias("__spans"))
-    columns = docs.columns
-    both = marked.join(spans, F.col(ROW) == F.col("__at"), "left").drop(ROW, "__at")
-    at, where = both.columns.index(text), both.columns.index("__spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    texts = marked.select(F.col(row_name).alias(ROW), F.col(text).alias("__text"))
+    spans = repeated_spans(texts, steps, "__text", length, gram, batches)
+    spans = spans.select(F.col("row").alias(at_name), F.col("spans").alias(spans_name))
+    both = marked.join(spans, F.col(row_name) == F.col(at_name), "left").drop(row_name, at_name)
+    at, where = both.columns.index(text), both.columns.index(spans_name)
 
     def run(parts) -> Iterator[pa.RecordBatch]:
         for part in parts:

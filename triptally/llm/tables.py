@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from triptally.session import fresh_folder
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fields(frame: DataFrame) -> str:
+    """The columns of a frame as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

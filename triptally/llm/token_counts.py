@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from triptally.llm.arrays import chunks
+from triptally.llm.tables import fields
 
 BLANK = "▁"
 PENALTY = 10.0  # by which an unknown character is worse than the worst piece (the library's value)
@@ -144,12 +145,12 @@ def count_tokens(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", column: str = "n_tokens"
 ) -> DataFrame:
     """All columns of `docs` and the number of tokens of each whole text; null and empty texts have
-    none. The vocabulary, a file of fixed size, goes to every task."""
-    if column in docs.columns:
-        raise ValueError(f"column {column} exists already")
+    none. A column of that name is replaced. The vocabulary, a file of fixed size, goes to every task.
+    """
+    docs = docs.drop(column)
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = fields(docs)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         counter = Counter(sent.value)

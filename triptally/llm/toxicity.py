@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from triptally.llm.arrays import chunks
 from triptally.llm.compression import Lengths, fast, sample_by_class
+from triptally.llm.tables import fields
 
 _WORD = re.compile(rb"[^\s.,!?;:\"'()]+")
 GRAMS = (5, 6, 7, 8, 10, 12)  # bytes of the strings a dictionary is made of
@@ -150,10 +151,9 @@ def score_toxicity(
 
     Whole texts are cut into windows, each compressed with both dictionaries. Null and empty texts
     get the score of a text without any toxic string. Without a model (no labels) the score is 0.
+    Columns of these names in `docs` are replaced; an empty table gives no rows.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    if clash := {"score", "predicted"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.drop("score", "predicted")
     if model is None:
         return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     at = docs.columns.index(text)
@@ -176,4 +176,4 @@ def score_toxicity(
                 names=[*batch.schema.names, "score", "predicted"],
             )
 
-    return docs.mapInArrow(run, schema + ", score double, predicted int")
+    return docs.mapInArrow(run, fields(docs) + ", score double, predicted int")
