@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from triptally.llm import decontaminate, language_id, ngram_join, packing, pii
 from triptally.llm.shipping import ship
-from triptally.llm.tables import Steps, table
+from triptally.llm.tables import Steps, table, unused
 
 KEY = "corpus pipeline"  # a real run has a secret one
 
@@ -42,8 +42,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents, with pseudonyms for personal data; n_chars follows the text."""
     ship(spark)
-    told = pii.pseudonymize(docs, KEY, count="__replaced")
-    chars = F.when(F.col("__replaced") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    replaced = unused(docs.columns, "__replaced")
+    told = pii.pseudonymize(docs, KEY, count=replaced)
+    chars = F.when(F.col(replaced) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return told.withColumn("n_chars", chars.cast("long")).select(*docs.columns)
 
 
