@@ -16,7 +16,8 @@ from triptally.llm.tables import Steps
 
 BAND_RATIO = 2  # a band holds sizes from its lower end to this many times it
 PER_PART = 3  # shingles per part of the domain, for the largest sets of a band
-CROWD = 16  # a signature of more sets is crowded: a passage of many texts, or a group of copies
+CROWD = 8  # a signature of more sets is crowded: a passage of many texts, or a group of copies
+FAMILY_BLOCK = 64  # sets of a family are compared in pairs of blocks of this many
 BUCKETS = 128  # of the counts that bound a difference from below
 ROWS_PER_TASK = 2_000_000  # signatures one task sorts; more of them get more tasks
 
@@ -245,6 +246,18 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     return sized.select("a", "b", "n1", "n2", "c1", "c2").mapInArrow(run, "a long, b long")
 
 
+def _link(x: np.ndarray, y: np.ndarray, rule: Similarity) -> bool:
+    """Whether two sets, sorted arrays, are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if rule.den * len(x) < rule.num * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return rule.den * common >= rule.num * (len(x) + len(y) - common)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough, each compared in full."""
     one = sets.select(F.col("cls").alias("a"), F.col("elements").alias("one"))
@@ -256,20 +269,94 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
             for i in range(batch.num_rows):
                 x = np.frombuffer(batch.column(2)[i].as_buffer(), U64)
                 y = np.frombuffer(batch.column(3)[i].as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if rule.den * len(x) < rule.num * len(y):
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                keep[i] = rule.den * common >= rule.num * (len(x) + len(y) - common)
+                keep[i] = _link(x, y, rule)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
     return both.mapInArrow(run, "a long, b long")
 
 
+def _by_key(batches, n_keys: int) -> Iterator[pa.Table]:
+    """The rows of sorted batches, key by key; keys are the first columns."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        keys = list(zip(*[batch.column(c).to_pylist() for c in range(n_keys)], strict=True))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if now is not None and keys[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
+    """Links (a, b) that join whatever links within families; members are (fam, cls, n, counts,
+    elements).
+
+    All sets of a family are compared, but no pair is written: a family is dealt into blocks, each
+    pair of blocks meets in one group of bounded size, and a group tells only links that join sets
+    it has not joined yet.
+    """
+    sizes = members.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
+    block = F.lit(FAMILY_BLOCK) * F.ceil(F.col("m") / (64 * FAMILY_BLOCK))
+    dealt = (
+        members.join(sizes, "fam")
+        .withColumn("n_blocks", F.ceil(F.col("m") / block).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select(
+            "fam", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+            "block", "cls", "n", "counts", "elements",
+        )
+    )
+    keys = ("fam", "lo", "hi")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for group in _by_key(batches, 3):
+            size = group.column("n").to_numpy()
+            order = np.argsort(size, kind="stable")
+            size, cls = size[order], group.column("cls").to_numpy()[order]
+            side = group.column("block").to_numpy()[order]
+            alone = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+            counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8)
+            counts = counts.reshape(-1, BUCKETS).astype(np.int16)[order]
+            elements = group.column("elements").to_pylist()
+            root = np.arange(len(cls))
+            told = []
+            for i in range(len(cls) - 1):
+                # Partners of at most size / t elements, not in one component with this set.
+                last = np.searchsorted(size * rule.num, size[i] * rule.den, "right")
+                j = np.arange(i + 1, last)
+                j = j[(root[j] != root[i]) & (alone | (side[j] != side[i]))]
+                if len(j) == 0:
+                    continue
+                apart = np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64)
+                both = size[j] + size[i]
+                j = j[rule.den * (both - apart) >= rule.num * (both + apart)]
+                if len(j) == 0:
+                    continue
+                x = np.frombuffer(elements[order[i]], U64)
+                for k in j.tolist():
+                    y = np.frombuffer(elements[order[k]], U64)
+                    if root[k] != root[i] and _link(x, y, rule):
+                        root[root == root[k]] = root[i]
+                        told.append((int(cls[i]), int(cls[k])))
+            if told:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in zip(*told, strict=True)], names=["a", "b"]
+                )
+
+    return (
+        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    )
+
+
 def similar_documents(
     docs: DataFrame, rule: Similarity = Similarity(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -277,9 +364,10 @@ def similar_documents(
 
     Equal sets are one class, named by a 64-bit hash. Classes that share a PartEnum signature are
     candidates. A class with few crowded signatures does without them, for it shares others with
-    whatever it links with. First each class is compared with the smallest of every signature only;
-    that joins the members of large groups of copies with few comparisons. Then every pair of
-    classes that share a signature and are not yet in one component is compared, so no link is lost.
+    whatever it links with; the other classes of crowded signatures are families, compared block by
+    block. Of signatures that are not crowded, each class is first compared with the smallest only;
+    then every pair of classes that share one and are not yet in one component is compared, so no
+    link is lost.
     Null and empty texts have no shingles and link with nothing; repeated rows are returned as they
     are; rows without a key take part, but never give a component its name.
     """
@@ -303,15 +391,15 @@ def similar_documents(
     )
     needed = crowded.join(loose, "cls", "left_anti")
     least = needed.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"))
-    needed = needed.join(least.where("pivot < last"), "sig").select("sig", "cls", "tag", "pivot")
-    told = steps.keep(
-        shared.where("not crowd").select("sig", "cls", "tag", "pivot").unionByName(needed), "told"
-    )
+    ties = needed.join(least.where("pivot < last"), "sig").where("cls <> pivot")
+    ties = ties.select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    families = steps.keep(components(ties, steps, "families"), "families")
+    told = shared.where("not crowd")
 
     filled = found.where("n_shingles > 0")
-    told_classes = told.select("cls").distinct()
+    told_classes = told.select("cls").unionByName(families.select(F.col("node").alias("cls")))
     bounds = steps.keep(
-        filled.join(told_classes, "cls", "left_semi").groupBy("cls").agg(
+        filled.join(told_classes.distinct(), "cls", "left_semi").groupBy("cls").agg(
             F.min("n_shingles").alias("n"), F.min("counts").alias("counts")
         ),
         "bounds",
@@ -321,22 +409,29 @@ def similar_documents(
         F.col(key).isNotNull()
     )
 
-    def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link, written; one text of each class is read that may have a link."""
+    def compare(pairs: DataFrame, name: str, members: DataFrame | None = None) -> DataFrame:
+        """Links of pairs and families, written; one text of each class is read that may have any."""
         open_pairs = steps.keep(possible(pairs, bounds, rule), f"open-{name}")
-        classes = open_pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        chosen = first.join(classes, "cls", "left_semi").select(F.col("key").alias("own")).distinct()
+        classes = open_pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+        if members is not None:
+            classes = classes.unionByName(members.select("cls"))
+        chosen = first.join(classes.distinct(), "cls", "left_semi")
+        chosen = chosen.select(F.col("key").alias("own")).distinct()
         own = texts.join(chosen, F.col("key") == F.col("own")).dropDuplicates(["key"])
         sets = steps.keep(set_table(own, rule, "text"), f"elements-{name}")
         steps.release()
-        links = steps.keep(linked(open_pairs, sets, rule), f"links-{name}")
+        links = linked(open_pairs, sets, rule)
+        if members is not None:
+            links = links.unionByName(family_links(members.join(sets, "cls"), rule))
+        links = steps.keep(links, f"links-{name}")
         steps.drop(f"elements-{name}", f"open-{name}")
         steps.release()
         return links
 
     near = told.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     near = steps.keep(near.distinct(), "near")
-    links = compare(near, "1")
+    members = families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
+    links = compare(near, "1", members.join(bounds, "cls"))
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
