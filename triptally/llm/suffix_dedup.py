@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triptally.llm.arrays import chunks, running, signed
+from triptally.llm.arrays import chunks, mix, running, signed
 from triptally.llm.suffix_runs import find_runs, fixed_ranges
 from triptally.llm.tables import Steps, fields, unused
 
 ROW = "__row"
+CELL = np.uint64(16)  # windows of a cell on average
 SMALL_GROUP = 64  # larger groups of one anchor are compared window by window across tasks
 
 
@@ -175,8 +176,44 @@ def _compare_groups(cut: DataFrame, length: int) -> DataFrame:
     return cut.mapInArrow(run, "row long, lo int, hi int")
 
 
+def _cells(cut: DataFrame, length: int) -> DataFrame:
+    """(cell, row, first, single, bytes): the windows of each entry in stretches that end where a
+    window's hash says so, so that entries which share a stretch share its cells but the outermost;
+    cell is the hash of a stretch's bytes."""
+
+    def run(parts) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows == 0:
+                continue
+            entry, offset, hashes = _windows(part, length)
+            new = np.ones(len(entry), bool)
+            new[1:] = (entry[1:] != entry[:-1]) | (hashes[:-1] % CELL == 0)
+            begin = np.flatnonzero(new)
+            last = np.append(begin[1:], len(entry)) - 1
+            with np.errstate(over="ignore"):
+                nth = np.arange(len(entry)) - np.repeat(begin, last - begin + 1)
+                cell = mix(np.add.reduceat(hashes * mix(nth.astype(np.uint64)), begin))
+            whole = part.column("bytes").to_pylist()
+            pieces = [
+                whole[e][a : b + length]
+                for e, a, b in zip(entry[begin], offset[begin], offset[last], strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [signed(cell), pa.array(part.column("row").to_numpy()[entry[begin]]),
+                 pa.array((part.column("first").to_numpy()[entry[begin]] + offset[begin]).astype(np.int32)),
+                 pa.array(part.column("times").to_numpy()[entry[begin]] == 1),
+                 pa.array(pieces, pa.binary())],
+                names=["cell", "row", "first", "single", "bytes"],
+            )
+
+    return cut.select("row", "first", "times", "bytes").mapInArrow(
+        run, "cell long, row long, first int, single boolean, bytes binary"
+    )
+
+
 def _compare_windows(cut: DataFrame, length: int) -> DataFrame:
-    """The same for entries of large groups: equal windows meet, whatever task they are in."""
+    """The same for entries of large groups: equal cells meet, and of cells that differ equal
+    windows, whatever task they are in."""
 
     def run(parts) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -186,18 +223,22 @@ def _compare_windows(cut: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [signed(hashes), pa.array(part.column("row").to_numpy()[entry]),
                  pa.array((part.column("first").to_numpy()[entry] + offset).astype(np.int32)),
-                 pa.array(part.column("times").to_numpy()[entry] == 1)],
-                names=["hash", "row", "lo", "single"],
+                 pa.array(part.column("own").to_numpy(zero_copy_only=False)[entry])],
+                names=["hash", "row", "lo", "own"],
             )
 
-    windows = cut.select("row", "first", "times", "bytes").mapInArrow(
-        run, "hash long, row long, lo int, single boolean"
+    cells = _cells(cut, length)
+    place = F.struct("row", "first", "single", "bytes")
+    kinds = cells.groupBy("cell").agg(F.count("*").alias("c"), F.min(place).alias("r"))
+    met = kinds.where("c > 1").select("cell")
+    whole = cells.where("single").join(met, "cell", "left_semi").select(
+        "row", F.col("first").alias("lo"), (F.col("first") + F.length("bytes")).alias("hi")
     )
+    one = kinds.select("r.row", "r.first", (F.col("r.single") & (F.col("c") == 1)).alias("own"), "r.bytes")
+    windows = one.mapInArrow(run, "hash long, row long, lo int, own boolean")
     repeated = windows.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    return (
-        windows.where("single").join(repeated, "hash", "left_semi")
-        .select("row", "lo", (F.col("lo") + length).alias("hi"))
-    )
+    some = windows.where("own").join(repeated, "hash", "left_semi")
+    return whole.unionByName(some.select("row", "lo", (F.col("lo") + length).alias("hi")))
 
 
 def repeated_spans(
