@@ -39,12 +39,12 @@ class Similarity:
 
     def spare(self, size: np.ndarray | int) -> np.ndarray | int:
         """How many more signatures than needed a set gives, so that crowded ones can go."""
-        return size // 16
+        return size // 16 + 3
 
     def crowded(self, size: str) -> str:
         """The number of crowded signatures (SQL) that a set can do without: what the smallest set
         that it can link with has to spare."""
-        return f"({size} * {self.num} div {self.den}) div 16"
+        return f"({size} * {self.num} div {self.den}) div 16 + 3"
 
 
 def _signatures(
@@ -295,50 +295,89 @@ def _by_key(batches, n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
-    """Links (a, b) that join whatever links within families; members are (fam, cls, n, counts,
-    elements).
-
-    All sets of a family are compared, but no pair is written: a family is dealt into blocks, each
-    pair of blocks meets in one group of bounded size, and a group tells only links that join sets
-    it has not joined yet.
-    """
+def _block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """Members (fam, cls, n, counts, ...) dealt into blocks, once for each pair of blocks (lo, hi) of
+    their family, sorted by these; families of one set are left out."""
     sizes = members.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
-    block = F.lit(FAMILY_BLOCK) * F.ceil(F.col("m") / (64 * FAMILY_BLOCK))
-    dealt = (
+    more = [c for c in members.columns if c not in ("fam", "cls", "n", "counts")]
+    size = F.lit(block) * F.ceil(F.col("m") / (64 * block))
+    keys = ("fam", "lo", "hi")
+    return (
         members.join(sizes, "fam")
-        .withColumn("n_blocks", F.ceil(F.col("m") / block).cast("int"))
+        .withColumn("n_blocks", F.ceil(F.col("m") / size).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
             "fam", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-            "block", "cls", "n", "counts", "elements",
+            "block", "cls", "n", "counts", *more,
         )
+        .repartition(*keys).sortWithinPartitions(*keys)
     )
-    keys = ("fam", "lo", "hi")
+
+
+class _Group:
+    """One pair of blocks, its sets by size."""
+
+    def __init__(self, group: pa.Table, rule: Similarity):
+        self.rule = rule
+        size = group.column("n").to_numpy()
+        self.order = np.argsort(size, kind="stable")
+        self.size, self.cls = size[self.order], group.column("cls").to_numpy()[self.order]
+        self.side = group.column("block").to_numpy()[self.order]
+        self.alone = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8)
+        self.counts = counts.reshape(-1, BUCKETS).astype(np.int16)[self.order]
+
+    def partners(self, i: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Sets of the other block, at least as large, that may link with set i by their counts."""
+        rule, size = self.rule, self.size
+        last = np.searchsorted(size * rule.num, size[i] * rule.den, "right")
+        j = np.arange(i + 1, last)
+        if wanted is not None:
+            j = j[wanted[j]]
+        if not self.alone:
+            j = j[self.side[j] != self.side[i]]
+        apart = np.abs(self.counts[j] - self.counts[i]).sum(1, dtype=np.int64)
+        both = size[j] + size[i]
+        return j[rule.den * (both - apart) >= rule.num * (both + apart)]
+
+
+def close_members(members: DataFrame, rule: Similarity) -> DataFrame:
+    """The sets (cls) that may link with any of their family by their counts."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for group in _by_key(batches, 3):
-            size = group.column("n").to_numpy()
-            order = np.argsort(size, kind="stable")
-            size, cls = size[order], group.column("cls").to_numpy()[order]
-            side = group.column("block").to_numpy()[order]
-            alone = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
-            counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8)
-            counts = counts.reshape(-1, BUCKETS).astype(np.int16)[order]
-            elements = group.column("elements").to_pylist()
+        for table_ in _by_key(batches, 3):
+            group = _Group(table_, rule)
+            close = np.zeros(len(group.cls), bool)
+            for i in range(len(group.cls) - 1):
+                j = group.partners(i)
+                if len(j):
+                    close[i] = True
+                    close[j] = True
+            if close.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group.cls[close])], names=["cls"])
+
+    return _block_pairs(members, FAMILY_BLOCK).mapInArrow(run, "cls long").distinct()
+
+
+def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
+    """Links (a, b) that join whatever links within families; members are (fam, cls, n, counts,
+    elements).
+
+    All sets of a family are compared, but no pair is written: a family is dealt into blocks, each
+    pair of blocks meets in one group of bounded size, and a group tells only links that join sets
+    it has not joined yet.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for table_ in _by_key(batches, 3):
+            group = _Group(table_, rule)
+            order, cls = group.order, group.cls
+            elements = table_.column("elements").to_pylist()
             root = np.arange(len(cls))
             told = []
             for i in range(len(cls) - 1):
-                # Partners of at most size / t elements, not in one component with this set.
-                last = np.searchsorted(size * rule.num, size[i] * rule.den, "right")
-                j = np.arange(i + 1, last)
-                j = j[(root[j] != root[i]) & (alone | (side[j] != side[i]))]
-                if len(j) == 0:
-                    continue
-                apart = np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64)
-                both = size[j] + size[i]
-                j = j[rule.den * (both - apart) >= rule.num * (both + apart)]
+                j = group.partners(i, root != root[i])
                 if len(j) == 0:
                     continue
                 x = np.frombuffer(elements[order[i]], U64)
@@ -352,9 +391,7 @@ def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in zip(*told, strict=True)], names=["a", "b"]
                 )
 
-    return (
-        dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
-    )
+    return _block_pairs(members, 4 * FAMILY_BLOCK).mapInArrow(run, "a long, b long")
 
 
 def similar_documents(
@@ -431,7 +468,10 @@ def similar_documents(
     near = told.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     near = steps.keep(near.distinct(), "near")
     members = families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
-    links = compare(near, "1", members.join(bounds, "cls"))
+    members = members.join(bounds, "cls").select("fam", "cls", "n", "counts")
+    close = steps.keep(close_members(members, rule), "close")
+    steps.release()
+    links = compare(near, "1", members.join(close, "cls", "left_semi"))
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
