@@ -24,13 +24,32 @@ def sample_by_class(
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not sizes:
         return []
+    picked = _draw(rows, label, key, sizes, per_class)
+    picked = picked.select(label, F.substring(F.col(text), 1, max_chars)).collect()
+    return sorted((r[0], r[1]) for r in picked)
+
+
+def _draw(rows: DataFrame, label: str, key: str, sizes: dict, per_class: int) -> DataFrame:
     scale = 1 << 30
     shares = F.create_map(
         *[F.lit(x) for k, n in sizes.items() for x in (k, min(scale, scale * per_class // n + 1))]
     )
-    drawn = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(scale)) < shares[F.col(label)])
-    picked = drawn.select(label, F.substring(F.col(text), 1, max_chars)).collect()
-    return sorted((r[0], r[1]) for r in picked)
+    return rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(scale)) < shares[F.col(label)])
+
+
+def sample_by_label(
+    docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, per_class: int, max_chars: int
+) -> tuple[dict, list[tuple]]:
+    """The sizes of the classes of `labels`, and a sample as above of texts that lie in `docs`. Only
+    the keys drawn, about `per_class` of each class, are broadcast; no text is shuffled."""
+    labels = labels.select(key, label).dropDuplicates([key])
+    sizes = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
+    if not sizes:
+        return sizes, []
+    drawn = _draw(labels, label, key, sizes, per_class)
+    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(drawn), key)
+    picked = known.select(label, F.substring(F.col(text), 1, max_chars)).collect()
+    return sizes, sorted((r[0], r[1]) for r in picked)
 
 
 def fast(min_match: int) -> zstandard.ZstdCompressionParameters:

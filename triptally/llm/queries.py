@@ -44,8 +44,8 @@ def query(key: str):
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    model = toxicity.fit_toxicity(rows.where(~compression.held_out(F.col("doc_id"))))
+    learnt = labels.where(~compression.held_out(F.col("doc_id")))
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text"), learnt)
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     held = compression.held_out(F.col("doc_id"))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")

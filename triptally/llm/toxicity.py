@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triptally.llm.arrays import chunks
-from triptally.llm.compression import Lengths, fast, sample_by_class
+from triptally.llm.compression import Lengths, fast, sample_by_label
 from triptally.llm.tables import fields
 
 _WORD = re.compile(rb"[^\s.,!?;:\"'()]+")
@@ -100,18 +100,17 @@ def _ranking(score: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_toxicity(
-    rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
-    per_class: int = 3000, max_chars: int = 6000, dictionary_bytes: int = 2048,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic",
+    key: str = "doc_id", per_class: int = 3000, max_chars: int = 6000, dictionary_bytes: int = 2048,
     toxic_share: float | None = None,
 ) -> ToxicityModel | None:
-    """Learns from about `per_class` rows of each label (the bound of the sample), texts of at most
-    `max_chars`. Two thirds give the dictionaries: strings that documents of one class hold
+    """Learns from about `per_class` rows of each label (the bound of the sample; `labels` has key and
+    label, `docs` key and text), texts of at most `max_chars`. Two thirds give the dictionaries: strings that documents of one class hold
     significantly more often. The last third calibrates: it chooses the significance asked for and
     fits the score, weighted to the classes' true shares. None without rows of both labels.
     """
-    labelled = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
-    sample = sample_by_class(labelled, label, text, key, per_class, max_chars)
+    known = labels.where(F.col(label).isin(0, 1))
+    sizes, sample = sample_by_label(docs, known, label, text, key, per_class, max_chars)
     by = {k: [t.encode() for c, t in sample if c == k] for k in (0, 1)}
     if not by[0] or not by[1]:
         return None
