@@ -21,6 +21,11 @@ RETAIL_CODES = (
     "5944", "5948", "5661", "5655", "5832", "5932", "5937", "5940",
     "5941", "5945", "5946", "5949", "5970", "5972",
 )
+# Labels of price buckets and the amounts they end below; the last has no end.
+PRICE_BUCKETS = (
+    ("$0-50", 50), ("$50-100", 100), ("$100-150", 150), ("$150-200", 200), ("$200-300", 300),
+    ("$300+", None),
+)
 EXCLUDE, ROLLING, SINGLE = "EXCLUDE", "ROLLING_3MO", "SINGLE_MONTH"
 UNKNOWN_STATE = "XX"
 DC_COUNTY_FIPS = "11001"
@@ -67,11 +72,12 @@ class IndexConfig:
     """Parameters of one run.
 
     method: "disc" and "cont" are exact (an observed value, or linear interpolation between
-    two); "approx" uses Spark's percentile sketch with `accuracy`. Capped purchases are counted per
-    price anyway, so there "approx" is exact as well.
+    two); "approx" uses Spark's percentile sketch with `accuracy`. The sketch has no weights, so it
+    is refused with a daily cap and by the reports that count purchases per price.
     flag_basis: what the sample-size limits count, "visitors" or "transactions".
     snapshot_join: match a transaction to the merchant snapshot of its own ref_date; False
-    matches every snapshot of the merchant, so a transaction counts once per snapshot.
+    matches every snapshot of the merchant, so a transaction counts once per snapshot: its rows then
+    carry that number as `snapshots`.
     ref_dates: first and last snapshot a run may read, on both sides of that join; None reads all.
     Tables stored by ref_date are then read only in part.
     stage: write the purchases a run reads several times, and the bands they are trimmed to, to the
@@ -104,6 +110,10 @@ class IndexConfig:
             raise ValueError(f"unknown flag basis {self.flag_basis!r}")
         if self.daily_cap is not None and self.daily_cap < 1:
             raise ValueError("daily_cap must be at least 1")
+        if self.method == "approx" and not (self.daily_cap is None and self.snapshot_join):
+            raise ValueError("the percentile sketch has no weights: no daily cap, no counted snapshots")
+        if any(round(share, 6) != share or not 0 <= share <= 1 for share in self.trim or ()):
+            raise ValueError("trim takes shares from 0 to 1 with at most six decimals")
 
     def with_(self, **changes) -> IndexConfig:
         return replace(self, **changes)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from triptally.config import (
     DC_COUNTY_FIPS,
     EXCLUDE,
+    PRICE_BUCKETS,
     ROLLING,
     SINGLE,
     BasketWeights,
@@ -86,19 +87,15 @@ def card_day_key(card: Column, day: Column) -> Column:
 
 
 def price_bucket(price: Column) -> Column:
-    return (
-        F.when(price < 50, "$0-50")
-        .when(price < 100, "$50-100")
-        .when(price < 150, "$100-150")
-        .when(price < 200, "$150-200")
-        .when(price < 300, "$200-300")
-        .otherwise("$300+")
-    )
+    *bounded, (rest, _) = PRICE_BUCKETS
+    label = F.when(F.lit(False), rest)
+    for name, top in bounded:
+        label = label.when(price < top, name)
+    return label.otherwise(rest)
 
 
 def price_bucket_order(bucket: Column) -> Column:
-    labels = ("$0-50", "$50-100", "$100-150", "$150-200", "$200-300", "$300+")
-    return F.array_position(F.array(*map(F.lit, labels)), bucket)
+    return F.array_position(F.array(*[F.lit(label) for label, _ in PRICE_BUCKETS]), bucket)
 
 
 def normalize_dc_county(county: Column, state: Column) -> Column:

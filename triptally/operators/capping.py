@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from triptally.functions.scalars import percent_of
 from triptally.operators.distribution import AMOUNT, CARD
 from triptally.operators.filters import present
+from triptally.operators.joins import purchases_in
 
 DAY = "trans_date"
 
 
 def count_daily_purchases(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Purchases as (keys, day, card, amount, n); missing places and amounts are kept."""
-    return rows.groupBy(*keys, DAY, CARD, AMOUNT).agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, DAY, CARD, AMOUNT).agg(purchases_in(rows).alias("n"))
 
 
 def _dearest_first(within: Sequence[str], place: Sequence[str]) -> Window:

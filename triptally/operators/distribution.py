@@ -2,9 +2,8 @@
 
 A purchase table here has one row per (group, card, amount) and a count `n`. Percentiles come
 from the histogram of amounts: one row per distinct price of the group, combined on the map side.
-What is ranked in one task is therefore the price list of a group, at most one row per cent of its
-price range, and never the group's purchases; a group holding a third of all rows is no larger
-than any other. Distinct cards are counted apart from it, spread over (group, card).
+What is ranked in one task is one range of a group's prices, about a percent wide, never a group; a
+group holding a third of all rows, or with nearly as many prices as rows, is spread over many. Distinct cards are counted apart from it, spread over (group, card).
 """
 
 from __future__ import annotations
@@ -15,30 +14,57 @@ from pyspark.sql import functions as F
 
 from triptally.config import IndexConfig
 from triptally.operators.filters import present
+from triptally.operators.joins import SNAPSHOTS, purchases_in
 from triptally.sources.writers import keep
 
 AMOUNT, CARD = "trans_amount", "membccid"
 _SCALE = 1_000_000
+RANGE, RANGES_PER_DOUBLING = "price_range", 64
 
 
 def count_purchases(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Purchases as (keys, card, amount, n). Rows without a key or amount belong to no group."""
-    return rows.filter(present([*keys, AMOUNT])).groupBy(*keys, CARD, AMOUNT).agg(F.count("*").alias("n"))
+    known = rows.filter(present([*keys, AMOUNT]))
+    return known.groupBy(*keys, CARD, AMOUNT).agg(purchases_in(rows).alias("n"))
 
 
 def single_purchases(rows: DataFrame) -> DataFrame:
-    """Rows as purchases that count once."""
-    return rows.withColumn("n", F.lit(1).cast("long"))
+    """Rows as purchases that count once, or once per snapshot."""
+    once = F.lit(1).cast("long")
+    return rows.withColumn("n", F.col(SNAPSHOTS) if SNAPSHOTS in rows.columns else once)
+
+
+def price_range(amount: Column) -> Column:
+    """A number that never falls as the amount rises, equal for amounts within about one percent."""
+    size = F.floor(F.log2(F.abs(amount)) * RANGES_PER_DOUBLING) + (1 << 20)
+    return F.when(amount > 0, size).when(amount < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
 def price_list(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per group and distinct amount: purchases `n` at it, `upto` at or below it, and
-    `n_group` in the whole group."""
+    `n_group` in the whole group.
+
+    No task ranks a whole group: a group's list is cut into ranges of prices, the totals of the
+    ranges (a few hundred rows) give what lies below each, and amounts are ranked within a range.
+    """
     histogram = purchases.groupBy(*keys, AMOUNT).agg(F.sum("n").alias("n"))
+    ranged = histogram.withColumn(RANGE, price_range(F.col(AMOUNT)))
+    totals = ranged.groupBy(*keys, RANGE).agg(F.sum("n").alias("n_range"))
     group = Window.partitionBy(*keys)
-    climbing = group.orderBy(AMOUNT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return histogram.withColumn("upto", F.sum("n").over(climbing)).withColumn(
-        "n_group", F.sum("n").over(group)
+    below = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.select(
+        *keys,
+        RANGE,
+        F.coalesce(F.sum("n_range").over(below), F.lit(0)).alias("below"),
+        F.sum("n_range").over(group).alias("n_group"),
+    )
+    climbing = (
+        Window.partitionBy(*keys, RANGE).orderBy(AMOUNT)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = ranged.withColumn("within", F.sum("n").over(climbing))
+    return ranked.join(placed, [*keys, RANGE]).select(
+        *keys, AMOUNT, "n", (F.col("below") + F.col("within")).alias("upto"), "n_group"
     )
 
 
@@ -71,29 +97,58 @@ def percentile_columns(
     return aggregates, between
 
 
+def _edge(name: str, share: float, method: str, lowest: bool) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Aggregates over a price list, and from them one end of the band: its value `name`, and
+    `{name}_rank`, how many purchases lie before the band or up to its end."""
+    total, upto = F.col("n_group"), F.col("upto")
+
+    def outside(rank: Column) -> Column:
+        if lowest:  # purchases at amounts before the one at this rank
+            return F.coalesce(F.max(F.when(upto < rank, upto)), F.lit(0))
+        return F.min(F.when(upto >= rank, upto))
+
+    parts, value = percentile_columns(name, share, total, upto, method)
+    if method == "disc":
+        parts[f"{name}_at"] = outside(_nearest_rank(total, share))
+        return parts, {name: value, f"{name}_rank": F.col(f"{name}_at")}
+    position = (total - 1) * F.lit(float(share))
+    parts[f"{name}_at"] = outside(F.floor(position) + 1)
+    parts[f"{name}_next"] = outside(F.ceil(position) + 1)
+    # Between two amounts the band begins at the upper and ends at the lower one.
+    if lowest:
+        inside = value <= F.col(f"_{name}_lower")
+        rank = F.when(inside, F.col(f"{name}_at")).otherwise(F.col(f"{name}_next"))
+    else:
+        inside = value >= F.col(f"_{name}_upper")
+        rank = F.when(inside, F.col(f"{name}_next")).otherwise(F.col(f"{name}_at"))
+    return parts, {name: value, f"{name}_rank": rank}
+
+
+def bands(prices: DataFrame, keys: Sequence[str], low: float, high: float, method: str) -> DataFrame:
+    """One row per group: the band `low`..`high`, purchases before it (`low_rank`) and up to its end
+    (`high_rank`), and `n_before` in all."""
+    low_parts, low_value = _edge("low", low, method, True)
+    high_parts, high_value = _edge("high", high, method, False)
+    found = prices.groupBy(*keys).agg(
+        *[part.alias(name) for name, part in (low_parts | high_parts).items()],
+        F.max("n_group").alias("n_before"),
+    )
+    values = [value.alias(name) for name, value in (low_value | high_value).items()]
+    return found.select(*keys, *values, "n_before")
+
+
 def trim(prices: DataFrame, keys: Sequence[str], low: float, high: float, method: str) -> DataFrame:
     """The price list within the group's band [low, high]. Adds the band, `n_before`, and `upto`
     and `n_group` become ranks and size of what is left."""
-    group = Window.partitionBy(*keys)
-    total, upto = F.col("n_group"), F.col("upto")
-    low_parts, low_value = percentile_columns("low", low, total, upto, method)
-    high_parts, high_value = percentile_columns("high", high, total, upto, method)
-    found = prices.withColumns(
-        {name: part.over(group) for name, part in {**low_parts, **high_parts}.items()}
-    )
-    banded = found.withColumns({"low": low_value, "high": high_value}).filter(
-        F.col(AMOUNT).between(F.col("low"), F.col("high"))
-    )
-    first_rank = F.min(F.col("upto") - F.col("n")).over(group)
-    last_rank = F.max("upto").over(group)
-    left = banded.withColumns({"cut": first_rank, "last": last_rank})
-    return left.select(
+    found = bands(prices, keys, low, high, method)
+    banded = prices.drop("n_group").join(found, list(keys))
+    return banded.filter(F.col(AMOUNT).between(F.col("low"), F.col("high"))).select(
         *keys,
         AMOUNT,
         "n",
-        (F.col("upto") - F.col("cut")).alias("upto"),
-        (F.col("last") - F.col("cut")).alias("n_group"),
-        F.col("n_group").alias("n_before"),
+        (F.col("upto") - F.col("low_rank")).alias("upto"),
+        (F.col("high_rank") - F.col("low_rank")).alias("n_group"),
+        "n_before",
         "low",
         "high",
     )
@@ -107,7 +162,9 @@ def price_points(
     Columns: keys, one per share, min_cost, max_cost, total_amount, purchases before (`n_before`)
     and within (`n_band`) the band, and the band `low`/`high`, null without trimming.
     """
-    method = "cont" if config.method == "cont" else "disc"
+    if config.method == "approx":
+        raise ValueError("prices of counted purchases are exact: use method disc or cont")
+    method = config.method
     prices = price_list(purchases, keys)
     if config.trim is None:
         prices = prices.withColumns({"n_before": F.col("n_group"), **_no_band()})

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SNAPSHOTS = "snapshots"
+
+
 @dataclass(frozen=True)
 class Level:
     """A geography level and the column its results carry."""
@@ -26,10 +29,20 @@ LEVELS = {level.name: level for level in (STATE, DIVISION, NATIONAL, COUNTY)}
 def with_merchants(
     transactions: DataFrame, merchants: DataFrame, snapshot: bool = True
 ) -> DataFrame:
-    """Inner join on the merchant, by default on its snapshot of the same ref_date."""
+    """Inner join on the merchant, by default on its snapshot of the same ref_date.
+
+    Otherwise every snapshot counts. Snapshots that look alike are one row with their number in
+    `snapshots` before they meet the transactions, so a purchase is not copied once per snapshot.
+    """
     if snapshot:
         return transactions.join(merchants, ["mtid", "ref_date"])
-    return transactions.join(merchants.drop("ref_date"), "mtid")
+    alike = [c for c in merchants.columns if c != "ref_date"]
+    return transactions.join(merchants.groupBy(*alike).agg(F.count("*").alias(SNAPSHOTS)), "mtid")
+
+
+def purchases_in(rows: DataFrame) -> Column:
+    """Aggregate for the number of purchases in rows that may stand for several snapshots."""
+    return F.sum(SNAPSHOTS) if SNAPSHOTS in rows.columns else F.count("*")
 
 
 def with_division(rows: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ from triptally.operators import capping
 from triptally.operators.distribution import (
     AMOUNT,
     CARD,
+    bands,
     count_purchases,
+    price_list,
     price_points,
     prices_and_kept,
-    remove_outliers,
     staged,
     visitors,
 )
@@ -155,16 +156,17 @@ def cap_comparison(
     """Medians with and without the cap per state and month, both trimmed to their own band."""
     keys = [STATE.column, MONTH]
     daily = capping.count_daily_purchases(visitor_rows(tables, [category], STATE, config), keys)
-    ranked = staged(capping.rank_purchases(daily, [STATE.column]), "ranked", config)
-    # Both sides in one distribution, told apart by a key.
+    ranked = capping.rank_purchases(daily, [STATE.column])
+    # One row per price with both counts; only then both sides in one distribution, told by a key.
+    counted = _present(ranked, keys).groupBy(*keys, AMOUNT).agg(
+        F.sum("n").alias("uncapped"), F.sum(capping.kept(config.daily_cap)).alias("capped")
+    )
     sides = [*keys, "side"]
     either = F.array(
-        F.struct(F.lit("uncapped").alias("side"), F.col("n")),
-        F.struct(F.lit("capped").alias("side"), capping.kept(config.daily_cap).alias("n")),
+        *[F.struct(F.lit(s).alias("side"), F.col(s).alias("n")) for s in ("uncapped", "capped")]
     )
-    both_sides = ranked.select(*keys, CARD, AMOUNT, F.inline(either)).filter(F.col("n") > 0)
-    purchases = _present(both_sides, keys)
-    priced = price_points(purchases, sides, MEDIAN, config)
+    both_sides = counted.select(*keys, AMOUNT, F.inline(either)).filter(F.col("n") > 0)
+    priced = price_points(both_sides, sides, MEDIAN, config)
 
     def of(side: str, value: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(value)))
@@ -195,7 +197,7 @@ def medians_in_global_band(
     keys = [STATE.column, MONTH]
     rows = visitor_rows(tables, [category], STATE, config.with_(daily_cap=None))
     purchases = rows.groupBy(*keys, AMOUNT).agg(F.count("*").alias("n"))
-    overall = price_points(purchases.withColumn("all", F.lit(1)), ["all"], {}, config)
+    overall = bands(price_list(purchases, []), [], *config.trim, config.method)
     band = overall.select(F.struct("low", "high")).scalar()
     banded = purchases.filter(F.col(AMOUNT).between(band["low"], band["high"]))
     return price_points(banded, keys, MEDIAN, config.with_(trim=None)).select(
@@ -213,13 +215,20 @@ def cap_sensitivity(
     daily = capping.count_daily_purchases(
         visitor_rows(tables, [category], STATE, config), [STATE.column]
     )
-    ranked = staged(capping.rank_purchases(daily, [STATE.column]), "ranked", config)
-    each = ranked.withColumn("daily_cap", F.explode(F.array(*[F.lit(c) for c in caps])))
-    each = each.withColumn("n_kept", capping.kept(F.col("daily_cap")))
-    purchases = _present(capping.keep_dearest(each, F.col("daily_cap")), [STATE.column])
+    ranked = capping.rank_purchases(daily, [STATE.column])
+    # One row per price with a count for each cap, small; the caps are told apart only then.
+    counted = ranked.groupBy(STATE.column, AMOUNT).agg(
+        F.sum("n").alias("n_all"), *[F.sum(capping.kept(c)).alias(f"cap_{c}") for c in caps]
+    )
+    counted = staged(counted, "counted", config)
+    per_cap = F.array(
+        *[F.struct(F.lit(c).alias("daily_cap"), F.col(f"cap_{c}").alias("n")) for c in caps]
+    )
+    each = counted.select(STATE.column, AMOUNT, "n_all", F.inline(per_cap))
+    purchases = _present(each.filter(F.col("n") > 0), [STATE.column])
     prices = price_points(purchases, keys, MEDIAN, config)
     counts = each.groupBy(*keys).agg(
-        F.sum("n").alias("txn_before_cap"), F.sum("n_kept").alias("txn_after_cap")
+        F.sum("n_all").alias("txn_before_cap"), F.sum("n").alias("txn_after_cap")
     )
     return (
         prices.join(counts, keys)
@@ -254,7 +263,9 @@ def card_day_median(
     """The older retail measure: spending per card and day, and the median of that per state."""
     keys = [STATE.column]
     rows = visitor_rows(tables, [category], STATE, config).filter(present(keys))
-    days = rows.groupBy(*keys, CARD, "trans_date").agg(F.sum(AMOUNT).alias(AMOUNT))
+    # Sums of decimals do not depend on the order in which tasks add them up.
+    exact = F.sum(F.col(AMOUNT).cast("decimal(24,6)")).cast("double")
+    days = rows.groupBy(*keys, CARD, "trans_date").agg(exact.alias(AMOUNT))
     spent = count_purchases(days, keys)
     prices = price_points(spent, keys, {"retail_cost": 0.5}, config.with_(trim=None))
     return prices.select(*keys, "retail_cost").join(
@@ -267,6 +278,13 @@ def outlier_report(
 ) -> DataFrame:
     """Per category, state and month: purchases before and after trimming and the share removed."""
     keys = ["category", STATE.column, MONTH]
-    _, removed = remove_outliers(visitor_rows(tables, categories, STATE, config), keys, config)
+    purchases = count_purchases(visitor_rows(tables, categories, STATE, config), keys)
+    found = price_points(purchases, keys, {}, config)
+    removed = found.select(
+        *keys,
+        F.col("n_before").alias("txn_before"),
+        F.col("n_band").alias("txn_after"),
+        (F.col("n_before") - F.col("n_band")).alias("txn_removed"),
+    )
     share = percent_of(F.col("txn_removed"), F.col("txn_before"))
     return removed.withColumn("pct_removed", share)

@@ -89,8 +89,10 @@ def _purchase_rows(
         merchants.select("mtid", "ref_date", "category", place),
         config.snapshot_join,
     )
+    weight = [] if config.snapshot_join else [joins.SNAPSHOTS]
     return joined.filter(above_minimum(F.col(AMOUNT), F.col("category"), categories)).select(
-        "category", place, month_start(F.col("trans_date")).alias(MONTH), "trans_date", CARD, AMOUNT
+        "category", place, month_start(F.col("trans_date")).alias(MONTH), "trans_date", CARD, AMOUNT,
+        *weight,
     )
 
 

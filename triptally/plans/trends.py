@@ -87,9 +87,9 @@ def volume_trend(
 
 
 def cost_extremes(index: DataFrame, n: int = 10, cost: str = "cost_per_trip") -> DataFrame:
-    """The n dearest and n cheapest states of the latest month. Reads `index` more than once:
+    """The n dearest and n cheapest states of the latest month with whole baskets. Reads `index` more than once:
     pass a written table."""
-    latest = latest_month(index).filter(F.col(cost).isNotNull())
+    latest = latest_month(index.filter(F.col(cost).isNotNull()))
     top = latest.orderBy(F.col(cost).desc(), "merch_state").limit(n)
     bottom = latest.orderBy(F.col(cost), "merch_state").limit(n)
     columns = ["month_date", "merch_state", cost]

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from triptally.config import CountyConfig, IndexConfig
 from triptally.sources.spend_view import SpendView
 
-# The whole period of the tables; limits and caps fit their small groups.
-WHOLE = IndexConfig(date(1995, 1, 1), date(2001, 12, 31), sample_exclude=2, sample_rolling=5)
+# A century that holds whatever dates the tables have; limits and caps fit their small groups.
+FIRST, LAST = date(1970, 1, 1), date(2069, 12, 31)
+WHOLE = IndexConfig(FIRST, LAST, sample_exclude=2, sample_rolling=5)
 BY_TRANSACTIONS = WHOLE.with_(flag_basis="transactions")
 CAPPED = WHOLE.with_(daily_cap=2)
 CAP_TEST = WHOLE.with_(daily_cap=6, snapshot_join=False)
@@ -20,7 +21,7 @@ COUNTY = CountyConfig(
     min_lodging=5, min_restaurant=5, min_attraction=2, min_retail=2,
 )
 SENSITIVITY_CAPS = (1, 2, 3, 4)
-PERIODS = ((date(1995, 1, 1), date(1997, 12, 31)), (date(1998, 1, 1), date(2001, 12, 31)))
+PERIODS = ((FIRST, date(1997, 12, 31)), (date(1998, 1, 1), LAST))
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from triptally.config import (
     ACCOMMODATION,
     ATTRACTION,
@@ -85,8 +83,6 @@ def county_basket_index(t):
     return county_index(t, COUNTY).drop("created_at")
 
 
-LONG = WHOLE.with_(start=date(1996, 1, 1))
-
 
 def _all_sql(config, key_columns: str = "merch_state") -> str:
     keys = f"category, {key_columns}, month_date"
@@ -98,10 +94,10 @@ SELECT {keys}, {", ".join(_one_pass_column(name) for name in ONE_PASS)},
 FROM kept GROUP BY {keys}"""
 
 
-@query("backfill_months", sql.on_spend(_all_sql(LONG)))
+@query("backfill_months", sql.on_spend(_all_sql(WHOLE)))
 def backfill_months(t):
     """All months since a start in one job."""
-    return category_costs(t, CATEGORIES, STATE, LONG)
+    return category_costs(t, CATEGORIES, STATE, WHOLE)
 
 
 def _sensitivity_sql() -> str:

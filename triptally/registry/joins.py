@@ -37,9 +37,10 @@ def join_txn_merchant(t):
     ),
 )
 def join_txn_merchant_mtid(t):
-    rows = joins.with_merchants(t.transactions.drop("ref_date"), t.merchants, snapshot=False)
+    merchants = t.merchants.select("mtid", "ref_date", "merch_state", "mcc")
+    rows = joins.with_merchants(t.transactions.drop("ref_date"), merchants, snapshot=False)
     return rows.groupBy("merch_state", "mcc", "trans_date").agg(
-        F.count("*").alias("n"),
+        joins.purchases_in(rows).alias("n"),
         F.min("trans_amount").alias("lowest"),
         F.max("trans_amount").alias("highest"),
     )

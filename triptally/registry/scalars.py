@@ -206,10 +206,7 @@ def fn_duplicate_alias(t):
 @query(
     "fn_price_bucket",
     sql.on_spend(
-        """SELECT CASE WHEN trans_amount < 50 THEN '$0-50' WHEN trans_amount < 100 THEN '$50-100'
-  WHEN trans_amount < 150 THEN '$100-150' WHEN trans_amount < 200 THEN '$150-200'
-  WHEN trans_amount < 300 THEN '$200-300' ELSE '$300+' END AS bucket, count(*) AS n
-FROM txn GROUP BY ALL"""
+        f"SELECT {sql.price_bucket('trans_amount')} AS bucket, count(*) AS n FROM txn GROUP BY ALL"
     ),
 )
 def fn_price_bucket(t):

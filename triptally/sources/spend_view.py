@@ -25,8 +25,6 @@ SCHEMAS = {
     "l_extendedprice double",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
 }
-FIRST_YEAR, LAST_YEAR = 1995, 2001
-LARGEST_PART = 50
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,10 +48,16 @@ def _merchant_code(kind: Column, size: Column) -> Column:
     )
 
 
-def _possible_codes() -> list[str]:
-    hotels = [str(3501 + 6 * size) for size in range(1, LARGEST_PART + 1)]
-    fixed = ["5812", "5814", "7011", "3500", "3839", "5411"]
-    return sorted({*ATTRACTION_CODES, *RETAIL_CODES, *hotels, *fixed})
+def _possible_codes(spark: SparkSession, folder: str) -> Column:
+    """The codes that any part gives, as an array: a handful, as a scalar subquery."""
+    code = _merchant_code(F.col("p_type"), F.col("p_size"))
+    return _read(spark, folder, "part").select(F.collect_set(code)).scalar()
+
+
+def _snapshot_days(spark: SparkSession, folder: str) -> Column:
+    """The first days of the years with orders, as an array."""
+    year = F.trunc(F.col("o_orderdate").cast("date"), "year")
+    return _read(spark, folder, "orders").select(F.collect_set(year)).scalar()
 
 
 def _state(nation: Column, name: Column) -> Column:
@@ -95,22 +99,15 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merchants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every supplier under every code it can trade under, with one snapshot per year."""
+    """Every supplier under every code that parts give, with one snapshot per year of orders."""
     nations = _read(spark, folder, "nation").select("n_nationkey", "n_name")
     suppliers = _read(spark, folder, "supplier")
     key, nation = F.col("s_suppkey"), F.col("s_nationkey")
     city = F.when(nation == 22, "11001").otherwise((nation + 1000).cast("string"))
     return (
         suppliers.join(nations, nation == F.col("n_nationkey"))
-        .withColumn("mcc", F.explode(_strings(_possible_codes())))
-        .withColumn(
-            "ref_date",
-            F.explode(
-                F.expr(
-                    f"sequence(date'{FIRST_YEAR}-01-01', date'{LAST_YEAR}-01-01', interval 1 year)"
-                )
-            ),
-        )
+        .withColumn("mcc", F.explode(_possible_codes(spark, folder)))
+        .withColumn("ref_date", F.explode(_snapshot_days(spark, folder)))
         .select(
             F.concat_ws("-", "s_suppkey", "mcc").alias("mtid"),
             F.col("s_name").alias("merch_desc"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,22 @@ def keep(result: DataFrame, name: str) -> DataFrame:
     return result.sparkSession.read.schema(result.schema).parquet(folder)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file_system(spark, path)
+    return system.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever the tables lie."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def export_name(category: str, level: str, start: date, end: date) -> str:
     return f"{category}_{level}_results_{start:%Y%m%d}_{end:%Y%m%d}.csv"
 
@@ -61,9 +77,21 @@ def append_table(frame: DataFrame, path: str, schema: T.StructType) -> None:
 
 def replace_months(
     frame: DataFrame, path: str, schema: T.StructType, month: str = "month_date",
-    further: Sequence[str] = (),
+    further: Sequence[str] = (), period: tuple[date, date] | None = None,
 ) -> None:
-    """Writes months, replacing those already present and leaving all others alone."""
+    """Writes months, replacing those already present and leaving all others alone.
+
+    `period` says from which to which month was processed: months in it that have no rows now lose
+    those they had.
+    """
+    spark = frame.sparkSession
+    if period is not None and path_exists(spark, path):
+        stored = spark.read.parquet(path).select(F.col(month).cast("date").alias("m")).distinct()
+        inside = F.col("m").between(*[F.lit(day.replace(day=1)) for day in period])
+        now = frame.select(F.col(month).cast("date").alias("m")).distinct()
+        gone = [row.m for row in stored.filter(inside).join(now, "m", "left_anti").collect()]
+    else:
+        gone = []
     (
         conform(frame, schema)
         .write.mode("overwrite")
@@ -71,6 +99,8 @@ def replace_months(
         .partitionBy(month, *further)
         .parquet(path)
     )
+    for day in gone:
+        delete(spark, f"{path}/{month}={day}")
 
 
 def write_merchants(merchants: DataFrame, path: str) -> None:
