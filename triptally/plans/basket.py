@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triptally.config import CATEGORIES, COUPLE_WEEKEND, EXCLUDE, ROLLING, BasketWeights, IndexConfig
 from triptally.functions.scalars import basket_cost
 from triptally.operators import filters
-from triptally.operators.joins import STATE
+from triptally.operators.joins import STATE, Level
 from triptally.plans.category import category_prices
 from triptally.sources.tables import SpendTables
 
@@ -19,12 +19,14 @@ COMPONENTS = (
 )
 
 
-def _index(components: DataFrame, weights: BasketWeights, drop_unknown: bool) -> DataFrame:
+def _index(
+    components: DataFrame, weights: BasketWeights, drop_unknown: bool, level: Level = STATE
+) -> DataFrame:
     priced = components.select(
-        "month_date", "merch_state", *COMPONENTS, basket_cost(weights).alias("cost_per_trip")
+        "month_date", level.column, *COMPONENTS, basket_cost(weights).alias("cost_per_trip")
     )
-    kept = priced.filter(filters.known_state()) if drop_unknown else priced
-    return kept.orderBy("merch_state", "month_date")
+    kept = priced.filter(filters.known_state()) if drop_unknown and level == STATE else priced
+    return kept.orderBy(level.column, "month_date")
 
 
 def basket_index(
@@ -32,18 +34,20 @@ def basket_index(
     config: IndexConfig,
     weights: BasketWeights = COUPLE_WEEKEND,
     drop_unknown: bool = True,
+    level: Level = STATE,
 ) -> DataFrame:
-    """All components from one pass over the transactions, then one row per state and month.
+    """All components from one pass over the transactions, then one row per geography of the level
+    and month.
 
-    A state-month without accommodation has no row, and retail counts only beside restaurants:
-    the outcome of left joins from accommodation and from restaurants.
+    A month without accommodation has no row, and retail counts only beside restaurants: the outcome
+    of left joins from accommodation and from restaurants.
     """
-    costs = category_prices(tables, CATEGORIES, STATE, config)
-    wide = costs.groupBy(*KEYS).agg(*[F.max(name).alias(name) for name in COMPONENTS])
+    costs = category_prices(tables, CATEGORIES, level, config)
+    wide = costs.groupBy(level.column, "month_date").agg(*[F.max(name).alias(name) for name in COMPONENTS])
     anchored = wide.filter(F.col("accommodation_cost").isNotNull()).withColumn(
         "retail_cost", F.when(F.col("median_meal_cost").isNotNull(), F.col("retail_cost"))
     )
-    return _index(anchored, weights, drop_unknown)
+    return _index(anchored, weights, drop_unknown, level)
 
 
 def latest_exports(exports: DataFrame) -> DataFrame:

@@ -96,15 +96,19 @@ def _purchase_rows(
     )
 
 
-def rows_at_all_levels(
+def prices_at_all_levels(
     tables: SpendTables, categories: Sequence[Category], config: IndexConfig
 ) -> DataFrame:
-    """The base set once per geography level, from one pass: columns `level` and `geography`."""
+    """Purchases `n` per level, geography, category, month and amount, from one pass. Purchases are
+    counted per state and price first; only these counts are told apart by level."""
     merchants = joins.with_all_places(
         category_merchants(tables, categories, config), tables.bridge
     )
     rows = _purchase_rows(tables, merchants, categories, config, "places")
-    return rows.select("*", F.inline("places")).drop("places")
+    counted = rows.groupBy("category", "places", MONTH, AMOUNT).agg(
+        joins.purchases_in(rows).alias("n")
+    )
+    return counted.select("*", F.inline("places")).drop("places")
 
 
 def _shares(categories: Sequence[Category]) -> dict[str, float]:
@@ -276,11 +280,12 @@ def category_costs(
 def level_prices(
     tables: SpendTables, categories: Sequence[Category], config: IndexConfig
 ) -> DataFrame:
-    """Prices of all categories at state, division and national level from one pass. Percentiles
-    do not roll up, so each row counts once per level; there is no daily cap here."""
+    """Prices of all categories at state, division and national level from one pass. Price lists
+    roll up, so those of divisions and the nation are sums of the states'; there is no daily cap here.
+    """
     keys = ["level", "geography", "category", MONTH]
     uncapped = config.with_(daily_cap=None)
-    rows = rows_at_all_levels(tables, categories, uncapped)
-    purchases, _ = purchases_of(rows, keys, "geography", uncapped)
-    prices = _points(purchases, keys, categories, uncapped)
+    purchases = prices_at_all_levels(tables, categories, uncapped)
+    purchases = purchases.filter(filters.present([*keys, AMOUNT]))
+    prices = price_points(purchases, keys, _shares(categories), uncapped)
     return prices.select(*keys, *_prices_by_category(categories), "n_before", "n_band")

@@ -63,10 +63,10 @@ def card_prices(tables: SpendTables, config: CountyConfig) -> DataFrame:
     daily = capping.count_daily_purchases(rows.filter(filters.present([*groups, AMOUNT])), groups)
     bands, bought = prices_and_kept(staged(daily, "purchases", index), groups, {}, index)
     if index.daily_cap is not None:
-        ranked = capping.rank_purchases(bought, [COUNTY.column], ["category"])
         retail = F.col("category") == RETAIL_NO_MINIMUM.name
-        left = F.when(retail, capping.kept(index.daily_cap)).otherwise(F.col("n"))
-        bought = ranked.withColumn("n", left).filter(F.col("n") > 0)
+        ranked = capping.rank_purchases(bought.filter(retail), [COUNTY.column], ["category"])
+        capped = capping.keep_dearest(ranked, index.daily_cap)
+        bought = bought.filter(~retail).unionByName(capped)
     shares = {"p35": 0.35, "p50": 0.5, "p65": 0.65}
     prices = price_points(bought, groups, shares, index.with_(trim=None))
     removed = F.col("n_before") - F.col("n_band")

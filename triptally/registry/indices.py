@@ -78,6 +78,16 @@ def state_basket_index(t):
     return basket_index(t, WHOLE)
 
 
+@query("division_basket_index", sql.level_basket("division", WHOLE))
+def division_basket_index(t):
+    return basket_index(t, WHOLE, level=DIVISION)
+
+
+@query("national_basket_index", sql.level_basket("national", WHOLE))
+def national_basket_index(t):
+    return basket_index(t, WHOLE, level=NATIONAL)
+
+
 @query("county_basket_index", sql.county("SELECT * FROM county", COUNTY, COUNTY_CATEGORIES))
 def county_basket_index(t):
     return county_index(t, COUNTY).drop("created_at")
