@@ -60,7 +60,12 @@ def test_snapshots_join_once_or_fan_out(spark):
     shops = [shop("m", "5812", ref=week) for week in weeks]
     tables = spend_tables(spark, Till().buy("m", "a", 10.0).buy("m", "b", 20.0).rows, shops)
     assert amounts(tables, RESTAURANT) == [10.0, 20.0]
-    assert amounts(tables, RESTAURANT, JULY.with_(snapshot_join=False)) == [10.0, 10.0, 20.0, 20.0]
+    every = JULY.with_(snapshot_join=False)
+    rows = visitor_rows(tables, [RESTAURANT], STATE, every).collect()
+    # One row per purchase, whatever the number of snapshots; that number is a weight.
+    assert sorted((r.trans_amount, r.snapshots) for r in rows) == [(10.0, 2), (20.0, 2)]
+    result = category_cost(tables, RESTAURANT, STATE, every.with_(trim=None)).collect()
+    assert [(r.transaction_count, r.unique_visitors) for r in result] == [(4, 2)]
     assert amounts(tables, RESTAURANT, JULY.with_(ref_dates=(weeks[1], weeks[1]))) == []
 
 

@@ -127,3 +127,38 @@ def test_removal_counts_add_up(spark):
     for row in removed.collect():
         assert row.txn_before == row.txn_after + row.txn_removed
         assert left[row.place] == row.txn_after
+
+
+@pytest.mark.parametrize("method, percentile", [("disc", nearest), ("cont", between)])
+def test_one_group_of_all_distinct_amounts(spark, method, percentile):
+    rng = random.Random(8)
+    amounts = list({round(rng.lognormvariate(3, 2), 6) for _ in range(4000)}) + [0.0, -1.5, -70.25, -1.5001]
+    rows = [("p", f"c{i % 900}", a) for i, a in enumerate(amounts)]
+    found = priced(spark, rows, CONFIG.with_(method=method))["p"]
+    low, high = percentile(amounts, 0.05), percentile(amounts, 0.98)
+    kept = [a for a in amounts if low <= a <= high]
+    assert (found.low, found.high) == pytest.approx((low, high), rel=1e-12)
+    assert found.n_before == len(amounts) and found.n_band == len(kept) == found.transaction_count
+    for name, share in SHARES.items():
+        assert found[name] == pytest.approx(percentile(kept, share), rel=1e-12)
+
+
+def test_no_task_ranks_a_group(spark):
+    frame = spark.createDataFrame([("p", "c", 1.0)], SCHEMA)
+    prices = dist.price_list(dist.count_purchases(frame, ["place"]), ["place"])
+    plan = prices._jdf.queryExecution().executedPlan().toString()
+    ranking = [line for line in plan.splitlines() if " Window [" in line and "trans_amount" in line]
+    assert ranking and all("price_range" in line for line in ranking)
+
+
+def test_price_ranges_never_fall():
+    steps = [-1e9, -100.0, -1.01, -1.0, -1e-9, 0.0, 1e-9, 0.01, 0.999, 1.0, 1.02, 99.99, 1e9]
+    ranges = [0 if x == 0 else int(np.sign(x) * (np.floor(np.log2(abs(x)) * 64) + (1 << 20))) for x in steps]
+    assert ranges == sorted(ranges)
+
+
+def test_refused_settings():
+    for changes in ({"method": "approx", "daily_cap": 2}, {"method": "approx", "snapshot_join": False},
+                    {"trim": (0.0500000001, 0.98)}, {"trim": (-0.1, 0.98)}):
+        with pytest.raises(ValueError):
+            CONFIG.with_(**changes)

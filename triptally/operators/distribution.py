@@ -31,13 +31,16 @@ def count_purchases(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def single_purchases(rows: DataFrame) -> DataFrame:
     """Rows as purchases that count once, or once per snapshot."""
     once = F.lit(1).cast("long")
-    return rows.withColumn("n", F.col(SNAPSHOTS) if SNAPSHOTS in rows.columns else once)
+    weight = F.col(SNAPSHOTS) if SNAPSHOTS in rows.columns else once
+    return rows.withColumn("n", weight).drop(SNAPSHOTS)
 
 
 def price_range(amount: Column) -> Column:
     """A number that never falls as the amount rises, equal for amounts within about one percent."""
     size = F.floor(F.log2(F.abs(amount)) * RANGES_PER_DOUBLING) + (1 << 20)
-    return F.when(amount > 0, size).when(amount < 0, -size).otherwise(F.lit(0).cast("long"))
+    side = F.when(amount > 0, size).when(amount < 0, -size)
+    # Never null, so that joins on it filter nothing and share the shuffle below them.
+    return F.coalesce(side, F.lit(0).cast("long"))
 
 
 def price_list(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -183,8 +186,12 @@ def price_points(
         F.max(AMOUNT).alias("max_cost"),
         F.sum(F.col("n") * F.col(AMOUNT)).alias("total_amount"),
         F.max("n_group").alias("n_band"),
+        F.max("upto").alias("_reach"),
         *[F.max(name).alias(name) for name in ("n_before", "low", "high")],
     )
+    # Always holds. Keeps ranks and counts needed where a caller reads only the band, so that the
+    # histogram stays the same shuffle everywhere.
+    result = result.filter(F.col("_reach") > 0)
     return result.select(*keys, *outputs, *_SUMMARY)
 
 

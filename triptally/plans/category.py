@@ -158,7 +158,8 @@ def purchases_of(
     """Weighted purchases after the cap, and those ranked for it when there is a cap."""
     known = filters.present([*keys, AMOUNT])
     if config.daily_cap is None:
-        return single_purchases(rows.filter(known).select(*keys, CARD, AMOUNT)), None
+        weight = [joins.SNAPSHOTS] if joins.SNAPSHOTS in rows.columns else []
+        return single_purchases(rows.filter(known).select(*keys, CARD, AMOUNT, *weight)), None
     daily = capping.count_daily_purchases(rows, keys)
     ranked = staged(capping.rank_purchases(daily, [place], within), "ranked", config)
     return capping.keep_dearest(ranked, config.daily_cap).filter(known), ranked

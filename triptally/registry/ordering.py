@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from triptally.config import ACCOMMODATION, ATTRACTION, RETAIL, RETAIL_NO_MINIMUM
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test
