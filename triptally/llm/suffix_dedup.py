@@ -192,7 +192,7 @@ def _cells(cut: DataFrame, length: int) -> DataFrame:
             last = np.append(begin[1:], len(entry)) - 1
             with np.errstate(over="ignore"):
                 nth = np.arange(len(entry)) - np.repeat(begin, last - begin + 1)
-                cell = mix(np.add.reduceat(hashes * mix(nth.astype(np.uint64)), begin))
+                cell = mix(np.add.reduceat(hashes * mix(nth.astype(np.uint64) + np.uint64(1)), begin))
             whole = part.column("bytes").to_pylist()
             pieces = [
                 whole[e][a : b + length]
