@@ -67,8 +67,11 @@ def test_toxic_texts_score_higher(spark):
     assert sorted(found.columns) == sorted(frame.columns)
     result = found.withColumn("held", compression.held_out(F.col("doc_id"))).collect()
     held = [r for r in result if r.held and r.toxic is not None]
-    right = sum(r.predicted == r.toxic for r in held)
-    assert len(held) > 150 and right >= 0.95 * len(held)
+    bad = [r.score for r in held if r.toxic]
+    good = [r.score for r in held if not r.toxic]
+    pairs = sum((a > b) + (a == b) / 2 for a in bad for b in good)
+    assert len(held) > 150 and pairs >= 0.97 * len(bad) * len(good)
+    assert sum(r.predicted == r.toxic for r in held) >= 0.93 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in result)
     assert all(r.predicted == 0 for r in result if r.doc_id in (5000, 5001, 5002))
     assert toxicity.fit_toxicity(frame, learnt.where("toxic = 0")) is None

@@ -47,7 +47,8 @@ def sample_by_label(
     if not sizes:
         return sizes, []
     drawn = _draw(labels, label, key, sizes, per_class)
-    known = docs.where(F.col(text).isNotNull()).join(F.broadcast(drawn), key)
+    texts = docs.select(key, text).where(F.col(text).isNotNull())
+    known = texts.join(F.broadcast(drawn), key)
     picked = known.select(label, F.substring(F.col(text), 1, max_chars)).collect()
     return sizes, sorted((r[0], r[1]) for r in picked)
 

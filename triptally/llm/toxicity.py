@@ -128,10 +128,11 @@ def fit_toxicity(
     y = np.array([k for _, k in check], float)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     best = None
-    for least in SIGNIFICANCE:
+    for least, ordinary_least in [(z, low) for z in SIGNIFICANCE for low in (0.0, z)]:
         one = _dictionary(toxic, least, dictionary_bytes) or b"".join(g for _, g in toxic[:4][::-1])
         one = one or b" " * 8
-        two = _dictionary(ordinary, 0.0, len(one)) or b" " * 8
+        # The strings ordinary text has most of, or only those it has significantly more of.
+        two = _dictionary(ordinary, ordinary_least, len(one)).ljust(max(8, len(one)))
         lengths = Lengths((one, two), ToxicityModel.window, fast(ToxicityModel.min_match))
         x = np.array([_text_features(lengths, t) for t, _ in check])
         center, scale = x.mean(0), x.std(0) + 1e-6
