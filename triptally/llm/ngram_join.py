@@ -342,22 +342,28 @@ class _Group:
         return j[rule.den * (both - apart) >= rule.num * (both + apart)]
 
 
-def close_members(members: DataFrame, rule: Similarity) -> DataFrame:
-    """The sets (cls) that may link with any of their family by their counts."""
+def close_ties(members: DataFrame, rule: Similarity) -> DataFrame:
+    """Ties (a, b) between sets of a family that may link by their counts; only those that join sets
+    which a group has not joined yet, so fewer than sets."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for table_ in _by_key(batches, 3):
             group = _Group(table_, rule)
-            close = np.zeros(len(group.cls), bool)
-            for i in range(len(group.cls) - 1):
-                j = group.partners(i)
+            root = np.arange(len(group.cls))
+            one, two = [], []
+            for i in range(len(root) - 1):
+                j = group.partners(i, root != root[i])
                 if len(j):
-                    close[i] = True
-                    close[j] = True
-            if close.any():
-                yield pa.RecordBatch.from_arrays([pa.array(group.cls[close])], names=["cls"])
+                    joined, first = np.unique(root[j], return_index=True)
+                    root[np.isin(root, joined)] = root[i]
+                    one.append(np.full(len(first), group.cls[i]))
+                    two.append(group.cls[j[first]])
+            if one:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"]
+                )
 
-    return _block_pairs(members, FAMILY_BLOCK).mapInArrow(run, "cls long").distinct()
+    return _block_pairs(members, FAMILY_BLOCK).mapInArrow(run, "a long, b long")
 
 
 def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
@@ -402,7 +408,7 @@ def similar_documents(
     Equal sets are one class, named by a 64-bit hash. Classes that share a PartEnum signature are
     candidates. A class with few crowded signatures does without them, for it shares others with
     whatever it links with; the other classes of crowded signatures are families, compared block by
-    block. Of signatures that are not crowded, each class is first compared with the smallest only;
+    block, by bucket counts first and then in full within what those leave together. Of signatures that are not crowded, each class is first compared with the smallest only;
     then every pair of classes that share one and are not yet in one component is compared, so no
     link is lost.
     Null and empty texts have no shingles and link with nothing; repeated rows are returned as they
@@ -469,9 +475,11 @@ def similar_documents(
     near = steps.keep(near.distinct(), "near")
     members = families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
     members = members.join(bounds, "cls").select("fam", "cls", "n", "counts")
-    close = steps.keep(close_members(members, rule), "close")
+    near_families = components(close_ties(members, rule), steps, "close")
+    members = near_families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
+    members = steps.keep(members.join(bounds, "cls").select("fam", "cls", "n", "counts"), "members")
     steps.release()
-    links = compare(near, "1", members.join(close, "cls", "left_semi"))
+    links = compare(near, "1", members)
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
