@@ -295,14 +295,15 @@ def remove_repeats(
     Removed is every byte of a string of `length` bytes that also starts anywhere else, in the same
     text or another; matches never cross texts and are judged on the input. Null is empty. Rows are
     told apart by `row`, a column of longs that no two different texts share; equal texts in two rows
-    remove each other. A row without that number takes part, but nothing is removed from it.
+    remove each other. A row without that number is told by a 64-bit hash of its text.
     `kept` is binary: a cut may divide a character. Columns of these names in `docs` are replaced.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept")
     own_row = F.col(row) if isinstance(row, str) else row
     row_name, at_name, spans_name = (unused(docs.columns, n) for n in (ROW, "__at", "__spans"))
     columns = [c for c in docs.columns if c.lower() not in names]
-    marked = docs.select(*[F.col(f"`{c}`") for c in columns], own_row.cast("long").alias(row_name))
+    number = F.coalesce(own_row.cast("long"), F.xxhash64(F.lit("no row"), F.col(text)))
+    marked = docs.select(*[F.col(f"`{c}`") for c in columns], number.alias(row_name))
     schema = fields(marked.drop(row_name))
     steps = Steps(docs.sparkSession, "repeats")
     texts = marked.select(F.col(row_name).alias(ROW), F.col(text).alias("__text"))
