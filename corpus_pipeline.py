@@ -24,13 +24,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest doc_id; of rows
-    with one doc_id, one. Rows without doc_id stay."""
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id; of equal
+    rows with one doc_id, one. Rows without doc_id stay."""
     ship(spark)
-    found = ngram_join.similar_documents(docs.select("doc_id", "text"))
-    first = found.where(F.col("component") == F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return ngram_join.without_near_copies(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

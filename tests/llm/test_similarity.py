@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from corpora import documents, linked_components, prose, repeated_ranges, texts
+from corpora import documents, linked_components, prose, repeated_ranges, shingle_set, texts
 
 from triptally.llm import ngram_join, suffix_dedup
 from triptally.llm.arrays import U64
@@ -23,6 +23,40 @@ def test_join_equals_brute_force(spark):
     assert expected[30][1] == 25 and expected[55][1] == 25 and expected[60] == (0, 60)
 
 
+def _bridged(shared: bool) -> list[tuple[int | None, str]]:
+    """Two texts that link only through a third, which has no id or, if `shared`, that of another
+    text; and two unlike texts of one id."""
+    rng = random.Random(5)
+    word = [f"{w}{i}" for i, w in enumerate(prose(rng, 200).split())]
+    one, two, three = list(word), list(word), list(word)
+    for i in (10, 40, 70):
+        two[i] = three[i] = f"edit{i}"
+    for i in (100, 130, 160):
+        three[i] = f"edit{i}"
+    rows = [(3, " ".join(one)), (2 if shared else None, " ".join(two)), (4, " ".join(three))]
+    return [*rows, (2, prose(rng, 90)), (9, prose(rng, 60)), (9, prose(rng, 70))]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_join_through_texts_without_own_id(spark, shared):
+    rows = _bridged(shared)
+    one, two, three = (shingle_set(t) for _, t in rows[:3])
+    for x, y, link in ((one, two, True), (two, three, True), (one, three, False)):
+        assert (100 * len(x & y) >= 80 * len(x | y)) == link
+    found = ngram_join.similar_documents(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    size = len(one)
+    # The smallest key reachable; the text without a key is named by its component too.
+    first = 2 if shared else 3
+    chain = [(r.doc_id, r.component) for r in found if r.n_shingles == size]
+    assert sorted(chain, key=str) == sorted([(3, first), (2 if shared else None, first), (4, first)], key=str)
+
+    kept = ngram_join.without_near_copies(documents(spark, rows)).collect()
+    told = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    chosen = [rows[1], *rows[3:]] if shared else [rows[0], rows[1], *rows[3:]]
+    assert told == sorted(chosen, key=str)
+
+
 def test_join_without_spare_crowds(spark, monkeypatch):
     """Crowded signatures of one set and more: the same result by the other path."""
     monkeypatch.setattr(ngram_join, "CROWD", 1)

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triptally.llm.arrays import U64, chunks, distinct, lists, mix, shingles, signed, words
 from triptally.llm.components import components
-from triptally.llm.tables import Steps
+from triptally.llm.tables import Steps, unused
 
 BAND_RATIO = 2  # a band holds sizes from its lower end to this many times it
 PER_PART = 3  # shingles per part of the domain, for the largest sets of a band
@@ -137,10 +137,15 @@ def _bucket_counts(rows: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, bounds.buffers()[1], pa.py_buffer(flat)])
 
 
+def text_mark(text: str) -> Column:
+    """Tells apart texts of one key, and those without a key."""
+    return F.xxhash64(F.col(text))
+
+
 def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, cls, firm, counts, sigs): cls names a set, equal sets share it; counts are
-    those of its buckets; sigs only where a task meets the set for the first time. A firm set can do
-    without none of its signatures."""
+    """(key, mark, n_shingles, cls, firm, counts, sigs): mark is a hash of the text; cls names a set,
+    equal sets share it; counts are those of its buckets; sigs only where a task meets the set for the
+    first time. A firm set can do without none of its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -158,15 +163,18 @@ def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataF
                 order = np.argsort(owner, kind="stable")
                 counts = np.bincount(owner, minlength=len(chunk))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, len(chunk)), pa.array(sizes),
+                    [batch.column(0).slice(chunk.first, len(chunk)),
+                     batch.column(2).slice(chunk.first, len(chunk)), pa.array(sizes),
                      signed(whole), pa.array(short),
                      _bucket_counts(rows, hashes, len(chunk)),
                      lists(sigs[order].view(np.int64), counts)],
-                    names=["key", "n_shingles", "cls", "firm", "counts", "sigs"],
+                    names=["key", "mark", "n_shingles", "cls", "firm", "counts", "sigs"],
                 )
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(
-        run, f"key {kind}, n_shingles long, cls long, firm boolean, counts binary, sigs array<long>"
+    return docs.select(F.col(key), F.col(text), text_mark(text)).mapInArrow(
+        run,
+        f"key {kind}, mark long, n_shingles long, cls long, firm boolean, counts binary, "
+        "sigs array<long>",
     )
 
 
@@ -400,19 +408,19 @@ def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
     return _block_pairs(members, 4 * FAMILY_BLOCK).mapInArrow(run, "a long, b long")
 
 
-def similar_documents(
-    docs: DataFrame, rule: Similarity = Similarity(), key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(key, n_shingles, component): every row of `docs` with the smallest key reachable by links.
+def linked_classes(
+    docs: DataFrame, rule: Similarity, key: str, text: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, mark, n_shingles, cls, ...) of `docs`, and (cls, key, mark, comp) of every class
+    that has shingles: the smallest key and mark of its rows, and what is reachable by links.
 
     Equal sets are one class, named by a 64-bit hash. Classes that share a PartEnum signature are
     candidates. A class with few crowded signatures does without them, for it shares others with
     whatever it links with; the other classes of crowded signatures are families, compared block by
     block, by bucket counts first and then in full within what those leave together. Of signatures that are not crowded, each class is first compared with the smallest only;
     then every pair of classes that share one and are not yet in one component is compared, so no
-    link is lost.
-    Null and empty texts have no shingles and link with nothing; repeated rows are returned as they
-    are; rows without a key take part, but never give a component its name.
+    link is lost. Elements of a class are read from one text, found by key and mark, so classes whose
+    rows have no key, or share one with other texts, are compared like any other.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "similar")
@@ -447,9 +455,10 @@ def similar_documents(
         ),
         "bounds",
     )
-    first = filled.where("key is not null").groupBy("cls").agg(F.min("key").alias("key"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(
-        F.col(key).isNotNull()
+    least_row = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "mark")).alias("row")
+    first = filled.groupBy("cls").agg(least_row).select("cls", "row.key", "row.mark")
+    texts = docs.select(
+        F.col(key).alias("key"), F.col(text).alias("text"), text_mark(text).alias("mark")
     )
 
     def compare(pairs: DataFrame, name: str, members: DataFrame | None = None) -> DataFrame:
@@ -459,8 +468,10 @@ def similar_documents(
         if members is not None:
             classes = classes.unionByName(members.select("cls"))
         chosen = first.join(classes.distinct(), "cls", "left_semi")
-        chosen = chosen.select(F.col("key").alias("own")).distinct()
-        own = texts.join(chosen, F.col("key") == F.col("own")).dropDuplicates(["key"])
+        chosen = chosen.select(F.col("key").alias("own"), F.col("mark").alias("own_mark"))
+        own = texts.join(
+            chosen, (F.col("mark") == F.col("own_mark")) & F.col("key").eqNullSafe(F.col("own"))
+        ).dropDuplicates(["key", "mark"])
         sets = steps.keep(set_table(own, rule, "text"), f"elements-{name}")
         steps.release()
         links = linked(open_pairs, sets, rule)
@@ -501,10 +512,21 @@ def similar_documents(
     more = compare(across, "2")
     whole = steps.keep(components(links.unionByName(more), steps, "classes"), "classes")
 
-    named = (
+    return found, (
         first.join(whole.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("cls", "key", F.coalesce("comp", "cls").alias("comp"))
+        .select("cls", "key", "mark", F.coalesce("comp", "cls").alias("comp"))
     )
+
+
+def similar_documents(
+    docs: DataFrame, rule: Similarity = Similarity(), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, n_shingles, component): every row of `docs` with the smallest key reachable by links.
+
+    Null and empty texts have no shingles and link with nothing; repeated rows are returned as they
+    are; rows without a key take part, but never give a component its name.
+    """
+    found, named = linked_classes(docs, rule, key, text)
     names = named.groupBy("comp").agg(F.min("key").alias("component"))
     lookup = named.join(names, "comp").select(F.col("cls").alias("of"), "component")
     result = found.select("key", "n_shingles", "cls").join(
@@ -513,3 +535,22 @@ def similar_documents(
     return result.select(
         F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component")
     )
+
+
+def without_near_copies(
+    docs: DataFrame, rule: Similarity = Similarity(), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of `docs` without near copies: of linked rows the one with the smallest key, of equal
+    rows one. Rows without a key stay, but link others; different texts of one key are judged each
+    for itself."""
+    found, named = linked_classes(docs, rule, key, text)
+    least = F.min(F.struct("key", "mark")).alias("row")
+    heads = named.where(F.col("key").isNotNull()).groupBy("comp").agg(least)
+    blank = found.where((F.col("n_shingles") == 0) & F.col("key").isNotNull())
+    kept = heads.select("row.key", "row.mark").unionByName(blank.select("key", "mark").distinct())
+    key_name, mark_name, own = (unused(docs.columns, n) for n in ("__key", "__mark", "__own"))
+    kept = kept.select(F.col("key").alias(key_name), F.col("mark").alias(mark_name))
+    marked = docs.withColumn(own, text_mark(text))
+    same = (F.col(own) == F.col(mark_name)) & (F.col(key) == F.col(key_name))
+    rows = marked.join(kept, same, "left_semi").dropDuplicates([key, own])
+    return rows.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
