@@ -1,11 +1,10 @@
-"""Repeated strings of a corpus, found with a logarithmic family of sampled suffix arrays.
-
-A level of the family is a suffix array: the distinct sampled suffixes of some batches, ordered by
-the fingerprint of their anchor and then of their run (`suffix_runs`), each with the number of its
-occurrences and one place. A new batch gets an array of its own. Whenever the two smallest levels
-are equal in size they are merged by one merge scan, which brings equal suffixes of both together
-and so tells the long matches between them; every entry is rewritten once per doubling. A match
-needs only equality of strings of a known length, so fingerprints order the entries, not letters.
+"""Repeated strings of a corpus, found by grouping sampled suffixes by fingerprint.
+
+A level holds the distinct sampled suffixes of some batches, grouped by the fingerprint of their
+anchor and of their run (`suffix_runs`), each with the number of its occurrences and one place. A
+new batch gets a level of its own. Whenever the two smallest levels are equal in size they are
+united and grouped again. Grouping stands in for suffix arrays and merge scans: a match needs only
+equality of strings of a known length. Matches are told when all batches are merged.
 """
 
 from __future__ import annotations
@@ -80,7 +79,7 @@ class SuffixIndex:
         self.levels.append((rank, name, array))
 
     def merged(self) -> DataFrame:
-        """The array over all batches; levels left over are merge-scanned together."""
+        """The array over all batches; levels left over are united and grouped once more."""
         if len(self.levels) == 1:
             return self.levels[0][2]
         whole = self.levels[0][2]
