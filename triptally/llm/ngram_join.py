@@ -137,13 +137,14 @@ def _bucket_counts(rows: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, bounds.buffers()[1], pa.py_buffer(flat)])
 
 
-def text_mark(text: str) -> Column:
-    """Tells apart texts of one key, and those without a key."""
-    return F.xxhash64(F.col(text))
+def row_mark(key: str, text: str) -> Column:
+    """Tells apart texts of one key, and those without a key. One column to join by, so that what is
+    joined already lies as dropping repeated rows needs it, and no text is shuffled twice."""
+    return F.xxhash64(F.col(key), F.col(text))
 
 
 def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(key, mark, n_shingles, cls, firm, counts, sigs): mark is a hash of the text; cls names a set,
+    """(key, mark, n_shingles, cls, firm, counts, sigs): mark is a hash of key and text; cls names a set,
     equal sets share it; counts are those of its buckets; sigs only where a task meets the set for the
     first time. A firm set can do without none of its signatures."""
     kind = docs.schema[key].dataType.simpleString()
@@ -171,7 +172,7 @@ def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataF
                     names=["key", "mark", "n_shingles", "cls", "firm", "counts", "sigs"],
                 )
 
-    return docs.select(F.col(key), F.col(text), text_mark(text)).mapInArrow(
+    return docs.select(F.col(key), F.col(text), row_mark(key, text)).mapInArrow(
         run,
         f"key {kind}, mark long, n_shingles long, cls long, firm boolean, counts binary, "
         "sigs array<long>",
@@ -419,7 +420,7 @@ def linked_classes(
     whatever it links with; the other classes of crowded signatures are families, compared block by
     block, by bucket counts first and then in full within what those leave together. Of signatures that are not crowded, each class is first compared with the smallest only;
     then every pair of classes that share one and are not yet in one component is compared, so no
-    link is lost. Elements of a class are read from one text, found by key and mark, so classes whose
+    link is lost. Elements of a class are read from one text, found by its mark, so classes whose
     rows have no key, or share one with other texts, are compared like any other.
     """
     spark = docs.sparkSession
@@ -457,9 +458,7 @@ def linked_classes(
     )
     least_row = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "mark")).alias("row")
     first = filled.groupBy("cls").agg(least_row).select("cls", "row.key", "row.mark")
-    texts = docs.select(
-        F.col(key).alias("key"), F.col(text).alias("text"), text_mark(text).alias("mark")
-    )
+    texts = docs.select(row_mark(key, text).alias("mark"), F.col(text).alias("text"))
 
     def compare(pairs: DataFrame, name: str, members: DataFrame | None = None) -> DataFrame:
         """Links of pairs and families, written; one text of each class is read that may have any."""
@@ -468,10 +467,8 @@ def linked_classes(
         if members is not None:
             classes = classes.unionByName(members.select("cls"))
         chosen = first.join(classes.distinct(), "cls", "left_semi")
-        chosen = chosen.select(F.col("key").alias("own"), F.col("mark").alias("own_mark"))
-        own = texts.join(
-            chosen, (F.col("mark") == F.col("own_mark")) & F.col("key").eqNullSafe(F.col("own"))
-        ).dropDuplicates(["key", "mark"])
+        chosen = chosen.select(F.col("mark").alias("own"))
+        own = texts.join(chosen, F.col("mark") == F.col("own")).dropDuplicates(["mark"])
         sets = steps.keep(set_table(own, rule, "text"), f"elements-{name}")
         steps.release()
         links = linked(open_pairs, sets, rule)
@@ -547,10 +544,9 @@ def without_near_copies(
     least = F.min(F.struct("key", "mark")).alias("row")
     heads = named.where(F.col("key").isNotNull()).groupBy("comp").agg(least)
     blank = found.where((F.col("n_shingles") == 0) & F.col("key").isNotNull())
-    kept = heads.select("row.key", "row.mark").unionByName(blank.select("key", "mark").distinct())
-    key_name, mark_name, own = (unused(docs.columns, n) for n in ("__key", "__mark", "__own"))
-    kept = kept.select(F.col("key").alias(key_name), F.col("mark").alias(mark_name))
-    marked = docs.withColumn(own, text_mark(text))
-    same = (F.col(own) == F.col(mark_name)) & (F.col(key) == F.col(key_name))
-    rows = marked.join(kept, same, "left_semi").dropDuplicates([key, own])
+    kept = heads.select("row.mark").unionByName(blank.select("mark").distinct())
+    mark_name, own = (unused(docs.columns, n) for n in ("__mark", "__own"))
+    kept = kept.select(F.col("mark").alias(mark_name))
+    marked = docs.withColumn(own, row_mark(key, text))
+    rows = marked.join(kept, F.col(own) == F.col(mark_name), "left_semi").dropDuplicates([own])
     return rows.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
