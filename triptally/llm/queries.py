@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triptally.llm import (
+    bpe,
     chat_format,
     compression,
     cover_tree,
     decontaminate,
+    fill_middle,
     language_id,
     ngram_join,
     packing,
+    phrases,
     pii,
     suffix_dedup,
     token_counts,
@@ -115,6 +118,34 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymize(docs, key=PSEUDONYM_KEY, count="n_replaced")
 
 
+@query("op11_bpe")
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, packed=True).drop("text")
+    told = bpe.decode(coded, into="decoded")
+    return told.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op12_collocations")
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return phrases.collocations(docs).drop("example_doc", "example_place")
+
+
+@query("op13_fill_middle")
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = fill_middle.fill_in_middle(docs).drop("text")
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 ORACLES["op5_top_k"] = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -185,3 +216,74 @@ reach(doc_id, other) AS (
 SELECT doc_id, n AS n_shingles, min(other) AS component_id
 FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
 """
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), counted AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM worded, range(1, 6) s(m), unnest(range(1, len(w) - m + 2)) p(i)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE m = 1 GROUP BY lang
+), frequent AS (SELECT * FROM counted WHERE f >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, string_split(c.phrase, ' ') AS w, c.m
+  FROM frequent c, unnest(range(1, c.m)) u(k) WHERE c.m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, k,
+         CAST((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), within AS (
+  SELECT q.lang, array_to_string(string_split(q.phrase, ' ')[i:i + len - 1], ' ') AS phrase,
+         max(q.f) AS most
+  FROM frequent q, unnest(range(2, q.m)) u(len), unnest(range(1, q.m - len + 2)) v(i)
+  WHERE q.m > 2 GROUP BY ALL
+), ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank
+  FROM lowest l LEFT JOIN within i ON i.lang = l.lang AND i.phrase = l.phrase
+  WHERE i.most IS NULL OR 100 * i.most < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES["op13_fill_middle"] = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''),
+           '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+         list_transform(range(4), lambda i: CAST('0x' || substr(
+           sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * i + 1, 8) AS BIGINT)) AS h
+  FROM documents
+), formed AS (
+  SELECT *, len(t) AS n, least(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS x,
+         greatest(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS y,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>')
+                   OR contains(body, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), cut AS (
+  SELECT *, array_to_string(t[1:x], '') AS p, array_to_string(t[x + 1:y], '') AS m,
+         array_to_string(t[y + 1:], '') AS s
+  FROM formed
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body
+                        WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM cut
+"""

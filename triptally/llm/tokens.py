@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from triptally.llm.arrays import U64, Chunk, mix, powers
 
@@ -28,12 +28,22 @@ MOST_KNOWN = 400_000  # pretokens a task remembers; beyond that it begins anew
 def _classes() -> np.ndarray:
     """The class of every code point: letter, number, white space or other."""
     table = np.full(0x110000, OTHER, np.uint8)
+    unknown = []
     for code in range(0x110000):
-        kind = unicodedata.category(chr(code))[0]
-        if kind == "L":
+        kind = unicodedata.category(chr(code))
+        if kind[0] == "L":
             table[code] = LETTER
-        elif kind == "N":
+        elif kind[0] == "N":
             table[code] = NUMBER
+        elif kind == "Cn" and code < 0x40000:
+            unknown.append(code)
+    # Code points newer than Python's tables: the tokenizers library says what joins a letter or number.
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    for kind, probe in ((LETTER, "a"), (NUMBER, "1")):
+        found = cut.pre_tokenize_str("".join(f"{probe}{chr(c)}#" for c in unknown))
+        starts = np.array([span[0] for _, span in found])
+        joined = ~np.isin(np.arange(len(unknown)) * 3 + 1, starts)
+        table[np.array(unknown)[joined]] = kind
     spaces = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
     table[spaces] = SPACE
