@@ -22,6 +22,7 @@ from triptally.llm.tables import Steps
 LONGEST = 5
 FILTER_BITS = 1 << 27  # at most; 16 MB whatever the number of frequent phrases
 HELD = 1 << 22  # fingerprints a task gathers before it counts them
+HELD_PHRASES = 300_000  # phrases it gathers before it hands on their counts
 SALTS = 64  # parts of a language that are ranked apart before the last ranking
 _ODD = U64(0x9E3779B97F4A7C15)
 _STEP = 0xA24BAED4963EE407
@@ -170,39 +171,55 @@ def _phrases(docs: DataFrame, known, width: int) -> DataFrame:
     m is its number of words; m = 0 counts all words of a language."""
     kind = docs.schema["__key"].dataType.simpleString()
 
+    names = ["lang", "phrase", "m", "c", "doc", "place"]
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         has = Known(known.value)
+        held: dict[tuple[str, bytes], list] = {}  # [m, count, no key, key, place]
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            rows = list(held.values())
+            arrays = [
+                pa.array([lang for lang, _ in held], pa.string()),
+                pa.array([phrase for _, phrase in held], pa.binary()).cast(pa.string()),
+                pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([None if r[2] else r[3] for r in rows], kind),
+                pa.array([r[4] for r in rows], pa.int64()),
+            ]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        column = None
         for batch in batches:
+            column = batch.column(2).type
             for chunk in chunks(batch.column(0), 4 * CHUNK_BYTES):
                 salts, langs = _salts(batch, chunk)
                 grams = Grams(chunk, salts, width)
-                told: list[tuple[str, bytes, int, int, int, int]] = []
-                words = np.bincount(grams.row, minlength=len(chunk))
-                sums: dict[str, int] = {}
-                for name, count in zip(langs, words.tolist(), strict=True):
-                    sums[name] = sums.get(name, 0) + count
-                told += [(name, b"", 0, count, -1, 0) for name, count in sums.items() if count]
-                lowered = LOWER[chunk.data].tobytes()
-                same = _word_numbers(lowered, grams)
                 keys = batch.column(2).slice(chunk.first, len(chunk))
                 rank = np.argsort(pa.compute.sort_indices(keys).to_numpy())  # null keys last
+                values = keys.to_pylist()
+                words = np.bincount(grams.row, minlength=len(chunk)).tolist()
+                told = [(name, b"", 0, n, r, 0) for r, (name, n) in enumerate(zip(langs, words, strict=True)) if n]
+                lowered = LOWER[chunk.data].tobytes()
+                same = _word_numbers(lowered, grams)
                 for n in range(1, LONGEST + 1):
                     at = grams.places(n)
                     at = at[has(grams.prints(at, n))]
                     at = at[np.argsort(rank[grams.row[at]], kind="stable")]
                     told += _by_text(at, grams.prints(at, n), n, grams, same, lowered, langs)
-                if not told:
-                    continue
-                columns = list(zip(*told, strict=True))
-                rows = pa.array([None if r < 0 else chunk.first + r for r in columns[4]], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()).cast(pa.string()),
-                        pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()),
-                        batch.column(2).take(rows), pa.array(columns[5], pa.int64()),
-                    ],
-                    names=["lang", "phrase", "m", "c", "doc", "place"],
-                )
+                for lang, phrase, m, count, row, place in told:
+                    entry = held.get((lang, phrase))
+                    where = [values[row] is None, values[row], place]
+                    if entry is None:
+                        held[lang, phrase] = [m, count, *where]
+                    else:
+                        entry[1] += count
+                        if not where[0] and (entry[2] or where[1:] < entry[3:]):
+                            entry[2:] = where
+                if len(held) >= HELD_PHRASES:
+                    yield flush(column)
+        if held:
+            yield flush(column)
 
     found = docs.mapInArrow(
         run, f"lang string, phrase string, m int, c long, doc {kind}, place long"
