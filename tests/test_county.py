@@ -10,7 +10,8 @@ from triptally.config import CountyConfig, IndexConfig
 from triptally.plans import reports
 from triptally.plans.county import county_index, lodging_rates
 from triptally.schemas import COUNTY_INDEX
-from triptally.sources.writers import append_table, conform, replace_months
+from triptally.sources.publish import PublishedTable
+from triptally.sources.writers import conform
 
 INDEX = IndexConfig(date(2025, 7, 1), date(2025, 8, 31), daily_cap=2, method="cont")
 CONFIG = CountyConfig(INDEX, min_lodging=2, min_restaurant=3, min_attraction=3, min_retail=3)
@@ -108,19 +109,18 @@ def test_rates_weighted_by_occupancy(tables):
 
 def test_append_replace_and_verify(spark, tables, tmp_path):
     result = county_index(tables[1], CONFIG)
-    path = str(tmp_path / "county")
-    append_table(result, path, COUNTY_INDEX)
-    append_table(result, path, COUNTY_INDEX)
-    stored = spark.read.schema(COUNTY_INDEX).parquet(path)
+    table = PublishedTable(spark, str(tmp_path / "county"), COUNTY_INDEX)
+    for run in ("one", "two", "two"):
+        assert table.append(result, run, reports.county_metrics())["meeting"] == 1
+    stored = table.read()
     checks = {r.month_date.month: r for r in reports.write_verification(stored).collect()}
     assert (checks[7].total_records, checks[7].unique_counties, checks[7].duplicate_keys) == (6, 3, 3)
     assert checks[7].counties_meeting_threshold == 2
 
-    monthly = str(tmp_path / "monthly")
-    replace_months(result, monthly, COUNTY_INDEX)
+    table.replace_months(result)
     july = CountyConfig(INDEX.with_(end=date(2025, 7, 31)), min_lodging=100)
-    replace_months(county_index(tables[1], july), monthly, COUNTY_INDEX)
-    stored = spark.read.schema(COUNTY_INDEX).parquet(monthly)
+    table.replace_months(county_index(tables[1], july))
+    stored = table.read()
     assert stored.count() == 6
     assert stored.filter("meets_threshold").count() == 0
     report = reports.validation_report(stored).first()

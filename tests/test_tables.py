@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from triptally.config import PRICE_BUCKETS
 from triptally.functions.scalars import price_bucket, price_bucket_order
 from triptally.plans.cap_test import price_distribution
 from triptally.registry import QUERIES
-from triptally.sources import writers
 from triptally.sources.spend_view import SCHEMAS, SpendView
 
 DATA = "/root/testdata/sf0.001"
@@ -32,30 +29,6 @@ def test_years_and_codes_come_from_the_tables(spark, tmp_path):
     assert joined.agg(F.max("trans_date")).first()[0].year >= 2004
 
 
-SCHEMA = "place string, month_date date, cost double"
-
-
-def test_months_that_become_empty_are_removed(spark, tmp_path):
-    from pyspark.sql import types as T
-
-    path = str(tmp_path / "monthly")
-    schema = T.StructType.fromDDL(SCHEMA)
-    months = [date(2025, m, 1) for m in (1, 2, 3)]
-
-    def write(rows, **options):
-        writers.replace_months(spark.createDataFrame(rows, SCHEMA), path, schema, **options)
-
-    def stored():
-        return sorted(map(tuple, spark.read.schema(schema).parquet(path).select("place", "month_date", "cost").collect()))
-
-    write([("a", m, 1.0) for m in months], period=(months[0], months[2]))
-    assert len(stored()) == 3
-    write([("a", months[0], 2.0)], period=(months[0], date(2025, 2, 28)))
-    assert stored() == [("a", months[0], 2.0), ("a", months[2], 1.0)]
-    write([], period=(months[0], months[0]))
-    assert stored() == [("a", months[2], 1.0)]
-
-
 def test_price_buckets_and_their_order(spark):
     prices = [10.0, 49.99, 50.0, 99.0, 100.0, 150.0, 199.99, 200.0, 299.0, 300.0, 5000.0]
     report = spark.createDataFrame([(p, 1.0) for p in reversed(prices)], "median_retail_txn double, pct_txn_capped double")

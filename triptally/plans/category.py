@@ -19,6 +19,7 @@ from triptally.operators import capping, filters, joins
 from triptally.operators.distribution import (
     AMOUNT,
     CARD,
+    count_purchases,
     price_points,
     prices_and_kept,
     single_purchases,
@@ -187,13 +188,20 @@ def _priced(
     elif ranked is None and not _sketched(config):
         # One lazy plan: prices and visitor counts share the shuffle of these counts.
         purchases = purchases.groupBy(*keys, CARD, AMOUNT).agg(F.sum("n").alias("n"))
+    return _points_and_visitors(purchases, keys, place, categories, config), ranked
+
+
+def _points_and_visitors(
+    purchases: DataFrame, keys: list[str], place: str, categories: Sequence[Category],
+    config: IndexConfig,
+) -> DataFrame:
     # The nation has one band per category and month of the period; other levels are measured.
     months = 12 * (config.end.year - config.start.year + 1)
     few = place == joins.NATIONAL.column and months * len(categories) <= config.broadcast_rows
     prices, kept = prices_and_kept(
         purchases, keys, _shares(categories), config, _sketched(config), few
     )
-    return prices.join(visitors(kept, keys), keys), ranked
+    return prices.join(visitors(kept, keys), keys)
 
 
 def category_cost(
@@ -268,6 +276,39 @@ def category_costs(
     keys = ["category", level.column, MONTH]
     rows = visitor_rows(tables, categories, level, config)
     priced, _ = _priced(rows, keys, level.column, categories, config, ["category"])
+    return _costs(priced, keys, categories, config)
+
+
+def countable_purchases(
+    tables: SpendTables, categories: Sequence[Category], level: Level, config: IndexConfig
+) -> DataFrame:
+    """What `costs_of_purchases` needs of a delivery: counts per group, card and amount, and per day
+    where a cap will rank them. Counts of several deliveries add up."""
+    keys = ["category", level.column, MONTH]
+    rows = visitor_rows(tables, categories, level, config)
+    if config.daily_cap is None:
+        return count_purchases(rows, keys)
+    return capping.count_daily_purchases(rows, keys)
+
+
+def costs_of_purchases(
+    purchases: DataFrame, categories: Sequence[Category], level: Level, config: IndexConfig
+) -> DataFrame:
+    """`category_costs` from the counts of one or several deliveries."""
+    keys = ["category", level.column, MONTH]
+    one = [c for c in purchases.columns if c != "n"]
+    merged = purchases.groupBy(*one).agg(F.sum("n").alias("n"))
+    if config.daily_cap is not None:
+        ranked = capping.rank_purchases(merged, [level.column], ["category"])
+        merged = capping.keep_dearest(ranked, config.daily_cap).filter(filters.present([*keys, AMOUNT]))
+    merged = staged(merged, "purchases", config)
+    priced = _points_and_visitors(merged, keys, level.column, categories, config)
+    return _costs(priced, keys, categories, config)
+
+
+def _costs(
+    priced: DataFrame, keys: Sequence[str], categories: Sequence[Category], config: IndexConfig
+) -> DataFrame:
     return priced.select(
         *keys,
         *_prices_by_category(categories),

@@ -79,8 +79,19 @@ def month_sets(costs: DataFrame) -> DataFrame:
     )
 
 
+def county_metrics() -> dict[str, Column]:
+    """What the job that writes a county result counts on the way."""
+    return {
+        "meeting": F.count_if("meets_threshold"),
+        "incomplete": F.count_if(F.col("total_basket_cost").isNull()),
+        "first_month": F.min("month_date"),
+        "last_month": F.max("month_date"),
+    }
+
+
 def write_verification(table: DataFrame, keys: Sequence[str] = ("county_fips", "month_date")) -> DataFrame:
-    """Rows, counties, counties meeting the limits and keys present more than once, per month."""
+    """Rows, counties, counties meeting the limits and keys present more than once, per month of a
+    written table."""
     per_key = table.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if("meets_threshold").alias("meeting")
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
+
 from triptally.config import (
     ACCOMMODATION,
     ATTRACTION,
@@ -13,6 +17,7 @@ from triptally.config import (
 )
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test
+from triptally.plans.backfill import MonthlyPrices
 from triptally.plans.basket import basket_index
 from triptally.plans.category import category_cost, category_costs, level_prices
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
@@ -30,6 +35,8 @@ from triptally.registry.base import (
     query,
 )
 from triptally.registry.scalars import comparison_sql
+from triptally.session import fresh_folder
+from triptally.sources.tables import SpendTables
 
 
 # Groups are far below the sketch's accuracy here, so it finds the exact percentiles.
@@ -104,10 +111,28 @@ SELECT {keys}, {", ".join(_one_pass_column(name) for name in ONE_PASS)},
 FROM kept GROUP BY {keys}"""
 
 
+LATE = (date(1997, 3, 1), date(1997, 3, 31))
+
+
 @query("backfill_months", sql.on_spend(_all_sql(WHOLE)))
 def backfill_months(t):
-    """All months since a start in one job."""
-    return category_costs(t, CATEGORIES, STATE, WHOLE)
+    """All months but one, then that one from a delivery of its own."""
+    prices = MonthlyPrices(t.spark, fresh_folder(t.spark, "backfill"), WHOLE)
+    prices.add(t, "before", (WHOLE.start, LATE[0] - timedelta(days=1)))
+    prices.deliver(t, "after", (LATE[1] + timedelta(days=1), WHOLE.end))
+    prices.deliver(t, "late", LATE)
+    return prices.read()
+
+
+@query("backfill_late_rows", sql.on_spend(_all_sql(WHOLE)))
+def backfill_late_rows(t):
+    """Each month is known in part before the rest of its purchases arrives."""
+    prices = MonthlyPrices(t.spark, fresh_folder(t.spark, "backfill"), WHOLE)
+    late = F.xxhash64("mtid", "membccid") % 4 == 0
+    for run, keep in (("first", ~late), ("rest", late)):
+        delivered = SpendTables(t.transactions.filter(keep), t.merchants)
+        prices.deliver(delivered, run)
+    return prices.read()
 
 
 def _sensitivity_sql() -> str:

@@ -20,6 +20,7 @@ from triptally.schemas import BASKET, COUNTY_INDEX, category_export
 from triptally.session import fresh_folder
 from triptally.sources import tables as readers
 from triptally.sources import writers
+from triptally.sources.publish import PublishedTable, append_to_catalog
 
 RUN = ("calculation_timestamp",)
 
@@ -141,10 +142,13 @@ COUNTY_SQL = sql.county("SELECT * FROM county", COUNTY, CATEGORIES)
 
 @query("sink_append_schema", COUNTY_SQL)
 def sink_append_schema(t):
+    """Two runs append to a catalog table, one of them twice; the table is read by its name."""
     folder = fresh_folder(t.spark, "county-index")
-    for start, end in PERIODS:
-        writers.append_table(county_index(t, _county_of(start, end)), folder, COUNTY_INDEX)
-    return t.spark.read.schema(COUNTY_INDEX).parquet(folder).drop("created_at")
+    name = f"county_index_{folder.rsplit('-', 1)[-1]}"
+    for start, end in (*PERIODS, PERIODS[1]):
+        result = county_index(t, _county_of(start, end))
+        append_to_catalog(result, name, COUNTY_INDEX, f"{start}_{end}", folder)
+    return t.spark.table(name).drop("created_at", "run_id")
 
 
 @query(
@@ -153,19 +157,36 @@ def sink_append_schema(t):
 FROM ({sql.category_cost(ATTRACTION, 'state', WHOLE)}) WHERE month_date <> DATE '2000-05-01'""",
 )
 def sink_replace_month(t):
-    folder = fresh_folder(t.spark, "monthly")
+    """The last months are first published from an incomplete delivery, then processed again; one of
+    them has no purchases any more."""
     schema = category_export(ATTRACTION)
+    table = PublishedTable(t.spark, fresh_folder(t.spark, "monthly"), schema)
     late = date(2000, 1, 1)
-    # The last months are first written from an incomplete delivery, then processed again; one of
-    # them has no purchases any more.
-    early = category_cost(t, ATTRACTION, STATE, WHOLE.with_(distance=100.0, start=late))
-    before = category_cost(t, ATTRACTION, STATE, WHOLE.with_(end=date(1999, 12, 31)))
-    writers.replace_months(before, folder, schema)
-    writers.replace_months(early, folder, schema)
+    table.replace_months(category_cost(t, ATTRACTION, STATE, WHOLE.with_(end=date(1999, 12, 31))))
+    table.replace_months(category_cost(t, ATTRACTION, STATE, WHOLE.with_(distance=100.0, start=late)))
     complete = category_cost(t, ATTRACTION, STATE, WHOLE.with_(start=late))
     complete = complete.filter(F.col("month_date") != F.lit(date(2000, 5, 1)))
-    writers.replace_months(complete, folder, schema, period=(late, WHOLE.end))
-    return t.spark.read.schema(schema).parquet(folder).drop(*RUN, "period_start", "period_end")
+    table.replace_months(complete, period=(late, WHOLE.end))
+    return table.read().drop(*RUN, "period_start", "period_end")
+
+
+@query(
+    "sink_versions",
+    f"""SELECT 1 AS version, * EXCLUDE (period_start, period_end)
+FROM ({sql.category_cost(ATTRACTION, 'state', WHOLE.with_(distance=100.0))})
+UNION ALL SELECT 2, * EXCLUDE (period_start, period_end)
+FROM ({sql.category_cost(ATTRACTION, 'state', WHOLE)})""",
+)
+def sink_versions(t):
+    """What was published stays readable by its version after a later run has replaced it."""
+    schema = category_export(ATTRACTION)
+    table = PublishedTable(t.spark, fresh_folder(t.spark, "versions"), schema)
+    period = (WHOLE.start, WHOLE.end)
+    for distance in (100.0, WHOLE.distance):
+        result = category_cost(t, ATTRACTION, STATE, WHOLE.with_(distance=distance))
+        table.replace_months(result, period=period)
+    both = [table.read(v).select(F.lit(v).alias("version"), "*") for v in table.versions()]
+    return both[0].unionByName(both[1]).drop(*RUN, "period_start", "period_end")
 
 
 PRUNED = WHOLE.with_(ref_dates=(date(1996, 1, 1), date(1997, 1, 1)))

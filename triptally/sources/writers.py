@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +27,6 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target, system = _file_system(spark, path)
-    return system.exists(target)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder wherever the tables lie."""
     target, system = _file_system(spark, path)
@@ -70,39 +64,6 @@ def conform(frame: DataFrame, schema: T.StructType) -> DataFrame:
     return frame.select(*[column(field) for field in schema])
 
 
-def append_table(frame: DataFrame, path: str, schema: T.StructType) -> None:
-    """Adds rows under an explicit schema."""
-    conform(frame, schema).write.mode("append").parquet(path)
-
-
-def replace_months(
-    frame: DataFrame, path: str, schema: T.StructType, month: str = "month_date",
-    further: Sequence[str] = (), period: tuple[date, date] | None = None,
-) -> None:
-    """Writes months, replacing those already present and leaving all others alone.
-
-    `period` says from which to which month was processed: months in it that have no rows now lose
-    those they had.
-    """
-    spark = frame.sparkSession
-    if period is not None and path_exists(spark, path):
-        stored = spark.read.parquet(path).select(F.col(month).cast("date").alias("m")).distinct()
-        inside = F.col("m").between(*[F.lit(day.replace(day=1)) for day in period])
-        now = frame.select(F.col(month).cast("date").alias("m")).distinct()
-        gone = [row.m for row in stored.filter(inside).join(now, "m", "left_anti").collect()]
-    else:
-        gone = []
-    (
-        conform(frame, schema)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(month, *further)
-        .parquet(path)
-    )
-    for day in gone:
-        delete(spark, f"{path}/{month}={day}")
-
-
 def write_merchants(merchants: DataFrame, path: str) -> None:
     """Merchant snapshots, partitioned so that a run reads only the snapshots it joins. The
     rebalance gathers each snapshot into few files and splits one that is too large for a task."""
