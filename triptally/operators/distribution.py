@@ -277,7 +277,8 @@ def prices_and_kept(
 def remove_outliers(
     rows: DataFrame, keys: Sequence[str], config: IndexConfig
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows inside their group's band, and per group how many there were and how many went."""
+    """Rows inside their group's band with the purchases `n` each stands for, and per group how many
+    purchases there were and how many went."""
     rows = staged(rows.filter(present([*keys, AMOUNT])), "rows", config)
     bands, kept = prices_and_kept(single_purchases(rows), keys, {}, config)
     removed = bands.select(
@@ -286,7 +287,7 @@ def remove_outliers(
         F.col("n_band").alias("txn_after"),
         (F.col("n_before") - F.col("n_band")).alias("txn_removed"),
     )
-    return kept.drop("n"), removed
+    return kept, removed
 
 
 def visitors(purchases: DataFrame, keys: Sequence[str]) -> DataFrame:

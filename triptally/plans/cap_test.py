@@ -28,7 +28,7 @@ from triptally.operators.distribution import (
     visitors,
 )
 from triptally.operators.filters import present
-from triptally.operators.joins import STATE
+from triptally.operators.joins import SNAPSHOTS, STATE, purchases_in
 from triptally.plans.category import MONTH, visitor_rows
 from triptally.sources.tables import SpendTables
 
@@ -196,7 +196,7 @@ def medians_in_global_band(
     in which the band comes from an uncorrelated subquery."""
     keys = [STATE.column, MONTH]
     rows = visitor_rows(tables, [category], STATE, config.with_(daily_cap=None))
-    purchases = rows.groupBy(*keys, AMOUNT).agg(F.count("*").alias("n"))
+    purchases = rows.groupBy(*keys, AMOUNT).agg(purchases_in(rows).alias("n"))
     overall = bands(price_list(purchases, []), [], *config.trim, config.method)
     band = overall.select(F.struct("low", "high")).scalar()
     banded = purchases.filter(F.col(AMOUNT).between(band["low"], band["high"]))
@@ -248,7 +248,7 @@ def daily_count_distribution(
 ) -> DataFrame:
     """How many card-days have 1, 2, 3 ... purchases, and whether that exceeds the cap."""
     rows = visitor_rows(tables, [category], STATE, config)
-    days = rows.groupBy(CARD, "trans_date").agg(F.count("*").alias("txn_per_day"))
+    days = rows.groupBy(CARD, "trans_date").agg(purchases_in(rows).alias("txn_per_day"))
     return (
         days.groupBy("txn_per_day")
         .agg(F.count("*").alias("card_days"), F.count_distinct(CARD).alias("cards"))
@@ -264,8 +264,10 @@ def card_day_median(
     keys = [STATE.column]
     rows = visitor_rows(tables, [category], STATE, config).filter(present(keys))
     # Sums of decimals do not depend on the order in which tasks add them up.
-    exact = F.sum(F.col(AMOUNT).cast("decimal(24,6)")).cast("double")
-    days = rows.groupBy(*keys, CARD, "trans_date").agg(exact.alias(AMOUNT))
+    amount = F.col(AMOUNT).cast("decimal(24,6)")
+    if SNAPSHOTS in rows.columns:  # a purchase is spent once per snapshot
+        amount = (amount * F.col(SNAPSHOTS)).cast("decimal(34,6)")
+    days = rows.groupBy(*keys, CARD, "trans_date").agg(F.sum(amount).cast("double").alias(AMOUNT))
     spent = count_purchases(days, keys)
     prices = price_points(spent, keys, {"retail_cost": 0.5}, config.with_(trim=None))
     return prices.select(*keys, "retail_cost").join(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from triptally.config import CATEGORIES, RETAIL, Category, IndexConfig
 from triptally.operators import filters
 from triptally.operators.distribution import CARD, count_purchases, percentile_vector
-from triptally.operators.joins import STATE
+from triptally.operators.joins import STATE, purchases_in
 from triptally.plans.category import visitor_rows
 from triptally.sources.tables import SpendTables
 
@@ -134,7 +134,7 @@ def review_sample(result: DataFrame, keys: Sequence[str], n: int = 20, seed: str
 def sample_sizes(tables: SpendTables, config: IndexConfig) -> DataFrame:
     """Rows per category, retail shopping days and the largest visitor count per state."""
     rows = visitor_rows(tables, CATEGORIES, STATE, config).filter(F.col(STATE.column).isNotNull())
-    days = rows.groupBy(STATE.column, "category", CARD, "trans_date").agg(F.count("*").alias("n"))
+    days = rows.groupBy(STATE.column, "category", CARD, "trans_date").agg(purchases_in(rows).alias("n"))
     cards = days.groupBy(STATE.column, "category", CARD).agg(
         F.sum("n").alias("n"), F.count("*").alias("days")
     )

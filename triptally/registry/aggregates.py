@@ -32,7 +32,7 @@ from triptally.plans.category import (
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import county_index, lodging_rates
 from triptally.registry import sql
-from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, WHOLE, query
+from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, EVERY_SNAPSHOT, WHOLE, query
 from triptally.schemas import COUNTY_INDEX
 from triptally.session import fresh_folder
 from triptally.sources.publish import PublishedTable
@@ -285,10 +285,10 @@ def agg_capping_impact_state(t):
     ).select(*IMPACT)
 
 
-def _all_categories_ctes() -> str:
+def _all_categories_ctes(config=WHOLE) -> str:
     keys = f"category, {STATE_KEYS}"
-    base = sql.rows(CATEGORIES, "state", WHOLE)
-    return f"""WITH base AS ({base}), {sql.trimmed("base", keys, WHOLE)},
+    base = sql.rows(CATEGORIES, "state", config)
+    return f"""WITH base AS ({base}), {sql.trimmed("base", keys, config)},
 after_trim AS (SELECT {keys}, any_value(n_before) AS txn_before, count(*) AS txn_after
   FROM kept GROUP BY {keys})"""
 
@@ -321,6 +321,24 @@ def agg_removal_stats(t):
     return both.select(*keys, "trans_amount", "txn_before", "txn_removed")
 
 
+@query(
+    "agg_removal_stats_every_snapshot",
+    sql.on_spend(
+        f"""{_all_categories_ctes(EVERY_SNAPSHOT)}
+SELECT category, {STATE_KEYS}, trans_amount, count(*) AS purchases, any_value(txn_before) AS txn_before,
+  any_value(txn_after) AS txn_after
+FROM kept JOIN after_trim USING (category, {STATE_KEYS}) GROUP BY category, {STATE_KEYS}, trans_amount"""
+    ),
+)
+def agg_removal_stats_every_snapshot(t):
+    """Kept rows stand for one purchase per snapshot of their merchant."""
+    keys = ["category", *KEYS]
+    rows = visitor_rows(t, CATEGORIES, STATE, EVERY_SNAPSHOT)
+    kept, removed = remove_outliers(rows, keys, EVERY_SNAPSHOT)
+    per_price = kept.groupBy(*keys, "trans_amount").agg(F.sum("n").alias("purchases"))
+    return per_price.join(removed.drop("txn_removed"), keys)
+
+
 CARRIED = ("merch_state", "month_date", "transaction_count_final", "txn_before_cap",
            "unique_cardholders_total")
 
@@ -639,19 +657,24 @@ def agg_sample_sizes(t):
     return reports.sample_sizes(t, WHOLE)
 
 
-@query(
-    "agg_cardday_median",
-    sql.on_spend(
-        f"""WITH days AS (SELECT merch_state, membccid, trans_date, sum(trans_amount) AS spent
-  FROM ({sql.rows([RETAIL], "state", WHOLE)}) GROUP BY ALL)
-SELECT merch_state, round(quantile_disc(spent, 0.5), 6) AS retail_cost,
+def _card_days(key: str, config):
+    @query(
+        key,
+        sql.on_spend(
+            f"""WITH days AS (SELECT merch_state, membccid, trans_date,
+    sum(CAST(trans_amount AS DECIMAL(24, 6))) AS spent
+  FROM ({sql.rows([RETAIL], "state", config)}) GROUP BY ALL)
+SELECT merch_state, CAST(quantile_disc(spent, 0.5) AS DOUBLE) AS retail_cost,
   count(*) AS aggregated_day_count, count(DISTINCT membccid) AS unique_visitors
 FROM days GROUP BY merch_state"""
-    ),
-)
-def agg_cardday_median(t):
-    result = cap_test.card_day_median(t, WHOLE)
-    return result.withColumn("retail_cost", F.round("retail_cost", 6))
+        ),
+    )
+    def build(t):
+        return cap_test.card_day_median(t, config)
+
+
+_card_days("agg_cardday_median", WHOLE)
+_card_days("agg_cardday_median_every_snapshot", EVERY_SNAPSHOT)
 
 
 ONE_PASS = ("accommodation_cost", "attraction_cost", "breakfast_lunch_cost", "dinner_cost",

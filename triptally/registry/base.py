@@ -15,6 +15,7 @@ FIRST, LAST = date(1970, 1, 1), date(2069, 12, 31)
 WHOLE = IndexConfig(FIRST, LAST, sample_exclude=2, sample_rolling=5)
 BY_TRANSACTIONS = WHOLE.with_(flag_basis="transactions")
 CAPPED = WHOLE.with_(daily_cap=2)
+EVERY_SNAPSHOT = WHOLE.with_(snapshot_join=False)
 CAP_TEST = WHOLE.with_(daily_cap=6, snapshot_join=False)
 COUNTY = CountyConfig(
     WHOLE.with_(daily_cap=2, method="cont"),

@@ -157,17 +157,22 @@ def cap_sensitivity(t):
     return cap_test.cap_sensitivity(t, WHOLE, SENSITIVITY_CAPS)
 
 
-@query(
-    "daily_count_distribution",
-    sql.on_spend(
-        f"""WITH days AS (SELECT membccid, trans_date, count(*) AS txn_per_day
-  FROM ({sql.rows([RETAIL], "state", WHOLE)}) GROUP BY ALL)
+def _daily_counts(key: str, config):
+    @query(
+        key,
+        sql.on_spend(
+            f"""WITH days AS (SELECT membccid, trans_date, count(*) AS txn_per_day
+  FROM ({sql.rows([RETAIL], "state", config)}) GROUP BY ALL)
 SELECT txn_per_day, count(*) AS card_days, count(DISTINCT membccid) AS cards,
   txn_per_day > 2 AS over_cap FROM days GROUP BY txn_per_day"""
-    ),
-)
-def daily_count_distribution(t):
-    return cap_test.daily_count_distribution(t, CAPPED)
+        ),
+    )
+    def build(t):
+        return cap_test.daily_count_distribution(t, config)
+
+
+_daily_counts("daily_count_distribution", CAPPED)
+_daily_counts("daily_count_every_snapshot", CAPPED.with_(snapshot_join=False))
 
 
 def _level_ctes() -> str:

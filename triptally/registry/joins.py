@@ -14,7 +14,7 @@ from triptally.plans.category import category_cost, visitor_rows
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import card_prices, county_months, lodging_rates
 from triptally.registry import sql
-from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, WHOLE, query
+from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, EVERY_SNAPSHOT, WHOLE, query
 from triptally.registry.scalars import comparison_sql
 
 KEYS = ["merch_state", "month_date"]
@@ -191,16 +191,21 @@ def join_county_anchor(t):
     )
 
 
-@query(
-    "scalar_subquery_band",
-    sql.on_spend(
-        f"""WITH base AS ({sql.rows([RETAIL], "state", WHOLE)})
+def _global_band(key: str, config):
+    @query(
+        key,
+        sql.on_spend(
+            f"""WITH base AS ({sql.rows([RETAIL], "state", config)})
 SELECT merch_state, month_date, quantile_disc(trans_amount, 0.5) AS median_uncapped,
   count(*) AS txn_count_uncapped
 FROM base WHERE trans_amount BETWEEN (SELECT quantile_disc(trans_amount, 0.05) FROM base)
   AND (SELECT quantile_disc(trans_amount, 0.98) FROM base)
 GROUP BY merch_state, month_date"""
-    ),
-)
-def scalar_subquery_band(t):
-    return medians_in_global_band(t, WHOLE)
+        ),
+    )
+    def build(t):
+        return medians_in_global_band(t, config)
+
+
+_global_band("scalar_subquery_band", WHOLE)
+_global_band("scalar_subquery_band_every_snapshot", EVERY_SNAPSHOT)
