@@ -110,3 +110,25 @@ def test_each_card_once_in_the_plain_average(spark):
     plain = capping.capping_impact(frame, KEYS, 10, weighted_average=False).first()
     assert weighted.avg_txn_per_cardholder_per_day == 2.5
     assert plain.avg_txn_per_cardholder_per_day == 2.0
+
+
+def test_missing_cards_are_spread(spark):
+    """A day with 400,000 different purchases without card: no task ranks more than a few percent."""
+    from pyspark.sql import functions as F
+
+    day = F.lit(date(2025, 7, 1))
+    rows = spark.range(0, 400_000, 1, 8).select(
+        F.lit("CA").alias("place"), F.lit("2025-07").alias("month"), day.alias("trans_date"),
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("c"), F.col("id"))).alias("membccid"),
+        ((F.col("id") * 7919 % 400_000) / 100 + 1).alias("trans_amount"),
+    )
+    daily = capping.count_daily_purchases(rows, KEYS)
+    found = capping.rank_purchases(daily, ["place"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "__part" in next(x for x in plan.splitlines() if "Exchange hashpartitioning(membccid" in x)
+    sizes = found.filter("membccid is null").withColumn("part", capping.price_range(F.col("trans_amount")))
+    assert sizes.groupBy("part").count().agg(F.max("count")).first()[0] < 0.05 * 300_000
+    # The same ranks as in one list.
+    missing = found.filter("membccid is null").orderBy(F.desc("trans_amount"))
+    assert [r.earlier for r in missing.select("earlier").collect()] == list(range(300_000))
+    assert found.filter("membccid is not null").agg(F.max("earlier")).first()[0] == 0

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triptally.functions.scalars import percent_of
-from triptally.operators.distribution import AMOUNT, CARD
+from triptally.operators.distribution import AMOUNT, CARD, price_range
 from triptally.operators.filters import present
 from triptally.operators.joins import purchases_in
 
@@ -40,15 +40,48 @@ def top_of_day(
     return rows.withColumn("daily_rank", rank).filter(F.col("daily_rank") <= cap)
 
 
+_PART, _CARRY = "__part", "__carry"
+_LAST = -(1 << 40)  # the part of missing amounts, below that of any amount
+
+
 def rank_purchases(
     daily: DataFrame, place: Sequence[str], within: Sequence[str] = ()
 ) -> DataFrame:
     """Daily purchase counts with `earlier`, how many dearer purchases the card-day has.
 
-    A card-day has one row per place and distinct amount here, however often it bought.
+    A card-day has one row per place and distinct amount here, however often it bought. Purchases
+    whose card is missing rank as one card a day, which can be most of a day: they are cut into parts
+    by ranges of price about a percent wide, and a part begins to count where the dearer parts of its
+    day end. That number comes to each part as a row of its own, so that nothing is joined.
     """
-    dearer = _dearest_first(within, place).rowsBetween(Window.unboundedPreceding, -1)
-    return daily.withColumn("earlier", F.coalesce(F.sum("n").over(dearer), F.lit(0)))
+    missing = F.col(CARD).isNull() & F.col(DAY).isNotNull()
+    part = F.when(missing, F.when(F.col(AMOUNT).isNull(), F.lit(_LAST)).otherwise(price_range(F.col(AMOUNT))))
+    parts = daily.withColumn(_PART, part)
+    # Cards that are known fall into one row a day here, told apart by a condition: a filter would
+    # reach below the counts and make them a second computation.
+    totals = parts.groupBy(*within, DAY, _PART).agg(F.sum("n").alias("n"))
+    dearer_parts = (
+        Window.partitionBy(*within, DAY).orderBy(F.col(_PART).desc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = totals.withColumn("n", F.sum("n").over(dearer_parts)).filter(
+        F.col(_PART).isNotNull() & F.col("n").isNotNull()
+    )
+    carried = carried.select(
+        *within, DAY, _PART, "n", F.lit(None).cast(daily.schema[CARD].dataType).alias(CARD)
+    )
+    rows = parts.withColumn(_CARRY, F.lit(1)).unionByName(
+        carried.withColumn(_CARRY, F.lit(0)), allowMissingColumns=True
+    )
+    dearer = (
+        Window.partitionBy(*within, CARD, DAY, _PART)
+        .orderBy(
+            _CARRY, F.col(AMOUNT).desc_nulls_last(), *[F.col(p).asc_nulls_first() for p in place]
+        )
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ranked = rows.withColumn("earlier", F.coalesce(F.sum("n").over(dearer), F.lit(0)))
+    return ranked.filter(F.col(_CARRY) == 1).drop(_PART, _CARRY)
 
 
 def kept(cap: int | Column) -> Column:

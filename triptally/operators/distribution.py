@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triptally.config import IndexConfig
+from triptally.operators import sketches
 from triptally.operators.filters import present
 from triptally.operators.joins import SNAPSHOTS, purchases_in
 from triptally.sources.writers import keep
@@ -160,14 +161,17 @@ def trim(prices: DataFrame, keys: Sequence[str], low: float, high: float, method
 def price_points(
     purchases: DataFrame, keys: Sequence[str], shares: Mapping[str, float], config: IndexConfig
 ) -> DataFrame:
-    """Trimmed prices per group. Percentiles are taken again inside the band.
+    """Trimmed prices per group. Percentiles are taken again inside the band. With method "approx"
+    the group's sketch takes the place of its price list.
 
     Columns: keys, one per share, min_cost, max_cost, total_amount, purchases before (`n_before`)
     and within (`n_band`) the band, and the band `low`/`high`, null without trimming.
     """
-    if config.method == "approx":
-        raise ValueError("prices of counted purchases are exact: use method disc or cont")
     method = config.method
+    if method == "approx":
+        # A sketch per group stands for its purchases; from its points on everything is the same.
+        found = sketches.summaries(purchases, keys, config.accuracy)
+        purchases, method = sketches.weighted_points(found, keys), "disc"
     prices = price_list(purchases, keys)
     if config.trim is None:
         prices = prices.withColumns({"n_before": F.col("n_group"), **_no_band()})
@@ -202,38 +206,6 @@ def _no_band() -> dict[str, Column]:
     return {name: F.lit(None).cast("double") for name in ("low", "high")}
 
 
-def sketched_price_points(
-    rows: DataFrame, keys: Sequence[str], shares: Mapping[str, float], config: IndexConfig
-) -> DataFrame:
-    """The same from single purchases with Spark's percentile sketch, which has no weights."""
-    accuracy = config.accuracy
-    if config.trim is None:
-        kept = rows.withColumns({"n_before": F.lit(None).cast("long"), **_no_band()})
-    else:
-        cuts = F.percentile_approx(AMOUNT, list(config.trim), accuracy)
-        band = (
-            rows.groupBy(*keys)
-            .agg(cuts.alias("cuts"), F.count("*").alias("n_before"))
-            .withColumns({"low": F.col("cuts")[0], "high": F.col("cuts")[1]})
-            .drop("cuts")
-        )
-        kept = rows.join(band, list(keys)).filter(
-            F.col(AMOUNT).between(F.col("low"), F.col("high"))
-        )
-    wanted = list(shares.values()) or [0.5]
-    result = kept.groupBy(*keys).agg(
-        F.percentile_approx(AMOUNT, wanted, accuracy).alias("points"),
-        F.min(AMOUNT).alias("min_cost"),
-        F.max(AMOUNT).alias("max_cost"),
-        F.sum(AMOUNT).alias("total_amount"),
-        F.coalesce(F.max("n_before"), F.count("*")).alias("n_before"),
-        F.count("*").alias("n_band"),
-        *[F.max(bound).alias(bound) for bound in ("low", "high")],
-    )
-    points = [F.col("points")[i].alias(name) for i, name in enumerate(shares)]
-    return result.select(*keys, *points, *_SUMMARY)
-
-
 def inside_band(
     rows: DataFrame,
     priced: DataFrame,
@@ -263,12 +235,10 @@ def prices_and_kept(
     keys: Sequence[str],
     shares: Mapping[str, float],
     config: IndexConfig,
-    sketched: bool = False,
     few_groups: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Price points per group, and the purchases inside the bands found with them."""
-    points = sketched_price_points if sketched else price_points
-    prices = staged(points(purchases, keys, shares, config), "prices", config)
+    prices = staged(price_points(purchases, keys, shares, config), "prices", config)
     if config.stage:
         few_groups = prices.count() <= config.broadcast_rows
     return prices, inside_band(purchases, prices, keys, config, few_groups)

@@ -23,7 +23,6 @@ from triptally.operators.distribution import (
     price_points,
     prices_and_kept,
     single_purchases,
-    sketched_price_points,
     staged,
     visitors,
 )
@@ -112,7 +111,7 @@ def prices_at_all_levels(
     return counted.select("*", F.inline("places")).drop("places")
 
 
-def _shares(categories: Sequence[Category]) -> dict[str, float]:
+def shares_of(categories: Sequence[Category]) -> dict[str, float]:
     """Percentiles to take, one column per distinct share."""
     shares = {}
     for category in categories:
@@ -167,14 +166,13 @@ def purchases_of(
 
 
 def _sketched(config: IndexConfig) -> bool:
-    return config.method == "approx" and config.daily_cap is None
+    return config.method == "approx"
 
 
 def _points(
     purchases: DataFrame, keys: Sequence[str], categories: Sequence[Category], config: IndexConfig
 ) -> DataFrame:
-    points = sketched_price_points if _sketched(config) else price_points
-    return points(purchases, keys, _shares(categories), config)
+    return price_points(purchases, keys, shares_of(categories), config)
 
 
 def _priced(
@@ -198,9 +196,7 @@ def _points_and_visitors(
     # The nation has one band per category and month of the period; other levels are measured.
     months = 12 * (config.end.year - config.start.year + 1)
     few = place == joins.NATIONAL.column and months * len(categories) <= config.broadcast_rows
-    prices, kept = prices_and_kept(
-        purchases, keys, _shares(categories), config, _sketched(config), few
-    )
+    prices, kept = prices_and_kept(purchases, keys, shares_of(categories), config, few)
     return prices.join(visitors(kept, keys), keys)
 
 
@@ -248,7 +244,7 @@ def _order(level: Level, count: str) -> list[Column]:
     return [F.col(MONTH), F.col(count).desc(), F.col(level.column)]
 
 
-def _prices_by_category(categories: Sequence[Category]) -> list[Column]:
+def prices_by_category(categories: Sequence[Category]) -> list[Column]:
     """Each category's price columns, null in rows of the others."""
     return [
         F.when(F.col("category") == category.name, F.col(_share_column(share))).alias(name)
@@ -266,7 +262,7 @@ def category_prices(
     rows = visitor_rows(tables, categories, level, config)
     purchases, _ = purchases_of(rows, keys, level.column, config, ["category"])
     prices = _points(purchases, keys, categories, config)
-    return prices.select(*keys, *_prices_by_category(categories))
+    return prices.select(*keys, *prices_by_category(categories))
 
 
 def category_costs(
@@ -311,7 +307,7 @@ def _costs(
 ) -> DataFrame:
     return priced.select(
         *keys,
-        *_prices_by_category(categories),
+        *prices_by_category(categories),
         "transaction_count",
         "unique_visitors",
         "n_before",
@@ -329,5 +325,5 @@ def level_prices(
     uncapped = config.with_(daily_cap=None)
     purchases = prices_at_all_levels(tables, categories, uncapped)
     purchases = purchases.filter(filters.present([*keys, AMOUNT]))
-    prices = price_points(purchases, keys, _shares(categories), uncapped)
-    return prices.select(*keys, *_prices_by_category(categories), "n_before", "n_band")
+    prices = price_points(purchases, keys, shares_of(categories), uncapped)
+    return prices.select(*keys, *prices_by_category(categories), "n_before", "n_band")

@@ -22,6 +22,7 @@ from triptally.plans.basket import basket_index
 from triptally.plans.category import category_cost, category_costs, level_prices
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import county_index
+from triptally.plans.rollup import Summaries
 from triptally.plans.trends import geo_comparison
 from triptally.registry import sql
 from triptally.registry.aggregates import ONE_PASS, _one_pass_column
@@ -51,6 +52,9 @@ def _category(key, category, level, config=WHOLE):
 
 _category("state_accommodation", ACCOMMODATION, STATE)
 _category("state_accommodation_sketched", ACCOMMODATION, STATE, SKETCHED)
+_category("state_retail_sketched_cap", RETAIL, STATE, SKETCHED.with_(daily_cap=2))
+_category("national_restaurant_sketched_every_snapshot", RESTAURANT, NATIONAL,
+          SKETCHED.with_(snapshot_join=False))
 _category("state_accommodation_cap", ACCOMMODATION, STATE, CAPPED)
 _category("state_attraction", ATTRACTION, STATE)
 _category("state_attraction_cap", ATTRACTION, STATE, CAPPED)
@@ -198,6 +202,45 @@ def all_levels(t):
     return level_prices(t, CATEGORIES, WHOLE)
 
 
+def _summaries(t):
+    """Sketches per state and month, added in two deliveries."""
+    found = Summaries(t.spark, fresh_folder(t.spark, "summaries"), SKETCHED)
+    found.add(t, "before", (WHOLE.start, LATE[1]))
+    found.add(t, "after", (LATE[1] + timedelta(days=1), WHOLE.end))
+    return found
+
+
+def _visitor_sql(period: str) -> str:
+    return f"""SELECT level, geography, category, CAST({period} AS DATE) AS period,
+  count(DISTINCT membccid) AS unique_visitors, count(*) AS n_before
+FROM leveled GROUP BY ALL"""
+
+
+@query(
+    "all_levels_summarised",
+    sql.on_spend(
+        f"""{_level_ctes()}, visitors AS ({_visitor_sql("month_date")})
+SELECT level, geography, category, month_date AS period, {", ".join(ONE_PASS)}, n_before, n_band,
+  unique_visitors
+FROM (SELECT * EXCLUDE (n_before) FROM priced) p JOIN visitors v USING (level, geography, category)
+WHERE p.month_date = v.period"""
+    ),
+)
+def all_levels_summarised(t):
+    """Prices and visitors at every level from merged sketches; small groups are exact."""
+    return _summaries(t).prices(t.bridge)
+
+
+@query(
+    "visitors_by_quarter",
+    sql.on_spend(f"{_level_ctes()} {_visitor_sql("date_trunc('quarter', month_date)")}"),
+)
+def visitors_by_quarter(t):
+    """Distinct visitors and purchases of each quarter, united from months."""
+    prices = _summaries(t).prices(t.bridge, "quarter")
+    return prices.select("level", "geography", "category", "period", "unique_visitors", "n_before")
+
+
 @query(
     "geo_comparison",
     sql.on_spend(
