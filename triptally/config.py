@@ -136,7 +136,11 @@ SINGLE_LODGING_CHARGE = BasketWeights(accommodation=1)
 
 @dataclass(frozen=True)
 class CountyConfig:
-    """The county index: its own limits, cap and quantities on top of an IndexConfig."""
+    """The county index: its own limits, cap and quantities on top of an IndexConfig.
+
+    every_month: a row for every month of the period; False ends at the first and last month that
+    any county has data for.
+    """
 
     index: IndexConfig
     weights: BasketWeights = COUPLE_WEEKEND
@@ -146,3 +150,4 @@ class CountyConfig:
     min_attraction: int = 20
     min_retail: int = 20
     country: str = "United States"
+    every_month: bool = True

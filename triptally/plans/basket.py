@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from triptally.config import CATEGORIES, COUPLE_WEEKEND, EXCLUDE, ROLLING, BasketWeights, IndexConfig
+from triptally.config import (
+    CATEGORIES,
+    COUPLE_WEEKEND,
+    EXCLUDE,
+    ROLLING,
+    SINGLE,
+    BasketWeights,
+    IndexConfig,
+)
 from triptally.functions.scalars import basket_cost
 from triptally.operators import filters
+from triptally.operators.distribution import staged
 from triptally.operators.joins import STATE, Level
-from triptally.plans.category import category_prices
+from triptally.plans.category import category_costs, category_prices
 from triptally.sources.tables import SpendTables
 
 KEYS = ["merch_state", "month_date"]
@@ -86,6 +97,58 @@ def basket_from_frames(
     return _index(joined, weights, drop_unknown)
 
 
+def basket_from_exports(
+    exports: Mapping[str, DataFrame], weights: BasketWeights = COUPLE_WEEKEND, drop_unknown: bool = True
+) -> DataFrame:
+    """The index from exported files, by category name; where exports overlap, the row calculated last
+    counts."""
+    latest = {name: latest_exports(rows) for name, rows in exports.items()}
+    return basket_from_frames(
+        latest["accommodation"], latest["attraction"], latest["restaurant"], latest["retail"],
+        weights, drop_unknown,
+    )
+
+
+def quality_basket(
+    tables: SpendTables,
+    config: IndexConfig,
+    weights: BasketWeights = COUPLE_WEEKEND,
+    drop_unknown: bool = True,
+    level: Level = STATE,
+) -> DataFrame:
+    """The basket with what its prices rest on, from one pass.
+
+    Every price follows its category's flag: the month's own price, the three-month average, or none.
+    Beside them stand each category's flag (EXCLUDE where it has no purchases) and visitors, how many
+    categories fell back (`n_rolling`) or are left out (`n_excluded`), and the lowest flag of all.
+    A basket with a category left out has no total.
+    """
+    costs = staged(category_costs(tables, CATEGORIES, level, config), "costs", config)
+    for name in COMPONENTS:
+        costs = rolling_fallback(costs, name, level.column, ("category",)).withColumn(
+            name, F.col("usable_cost")
+        )
+    flag = F.col("data_quality_flag")
+
+    def of(category: str, value: str):
+        return F.max(F.when(F.col("category") == category, F.col(value)))
+
+    names = [category.name for category in CATEGORIES]
+    wide = costs.groupBy(level.column, "month_date").agg(
+        *[F.max(name).alias(name) for name in COMPONENTS],
+        *[F.coalesce(of(c, "data_quality_flag"), F.lit(EXCLUDE)).alias(f"{c}_flag") for c in names],
+        *[F.coalesce(of(c, "unique_visitors"), F.lit(0)).alias(f"{c}_visitors") for c in names],
+        F.count_if(flag == ROLLING).alias("n_rolling"),
+        (F.lit(len(names)) - F.count_if(flag != EXCLUDE)).alias("n_excluded"),
+    )
+    quality = (
+        F.when(F.col("n_excluded") > 0, EXCLUDE).when(F.col("n_rolling") > 0, ROLLING).otherwise(SINGLE)
+    )
+    priced = wide.withColumns({"basket_flag": quality, "cost_per_trip": basket_cost(weights)})
+    kept = priced.filter(filters.known_state()) if drop_unknown and level == STATE else priced
+    return kept.orderBy(level.column, "month_date")
+
+
 def component_costs(index: DataFrame, weights: BasketWeights = COUPLE_WEEKEND) -> DataFrame:
     """What each component contributes to the trip: price times quantity."""
     return index.select(

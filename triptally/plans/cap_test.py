@@ -196,7 +196,8 @@ def medians_in_global_band(
     in which the band comes from an uncorrelated subquery."""
     keys = [STATE.column, MONTH]
     rows = visitor_rows(tables, [category], STATE, config.with_(daily_cap=None))
-    purchases = rows.groupBy(*keys, AMOUNT).agg(purchases_in(rows).alias("n"))
+    counted = rows.groupBy(*keys, AMOUNT).agg(purchases_in(rows).alias("n"))
+    purchases = staged(counted, "purchases", config)
     overall = bands(price_list(purchases, []), [], *config.trim, config.method)
     band = overall.select(F.struct("low", "high")).scalar()
     banded = purchases.filter(F.col(AMOUNT).between(band["low"], band["high"]))

@@ -28,6 +28,7 @@ from triptally.operators.distribution import (
 )
 from triptally.operators.joins import Level
 from triptally.sources.tables import SpendTables
+from triptally.sources.writers import keep
 
 MONTH = "month_date"
 SPREAD = {"q25": 0.25, "q75": 0.75}
@@ -261,10 +262,32 @@ def category_prices(
     keys = ["category", level.column, MONTH]
     rows = visitor_rows(tables, categories, level, config)
     purchases, _ = purchases_of(rows, keys, level.column, config, ["category"])
-    prices = _points(purchases, keys, categories, config)
+    prices = _points(_counted_once(purchases, keys, config), keys, categories, config)
     return prices.select(*keys, *prices_by_category(categories))
 
 
+def _counted_once(purchases: DataFrame, keys: Sequence[str], config: IndexConfig) -> DataFrame:
+    """Purchases per price, staged: bands and percentiles both go back to them. Sketches do not."""
+    if _sketched(config):
+        return purchases
+    per_price = purchases.groupBy(*keys, AMOUNT).agg(F.sum("n").alias("n"))
+    return staged(per_price, "prices", config)
+
+
+def costs_by_category(
+    tables: SpendTables, categories: Sequence[Category], level: Level, config: IndexConfig
+) -> dict[str, DataFrame]:
+    """The result of each category with its own price columns, all from one pass and one table."""
+    costs = keep(category_costs(tables, categories, level, config), "costs")
+    counts = [level.column, MONTH, "transaction_count", "unique_visitors", "data_quality_flag"]
+    return {
+        category.name: costs.filter(F.col("category") == category.name).select(
+            *counts[:2], *[name for name, _ in category.prices], *counts[2:]
+        )
+        for category in categories
+    }
+
+
 def category_costs(
     tables: SpendTables, categories: Sequence[Category], level: Level, config: IndexConfig
 ) -> DataFrame:
@@ -324,6 +347,6 @@ def level_prices(
     keys = ["level", "geography", "category", MONTH]
     uncapped = config.with_(daily_cap=None)
     purchases = prices_at_all_levels(tables, categories, uncapped)
-    purchases = purchases.filter(filters.present([*keys, AMOUNT]))
+    purchases = _counted_once(purchases.filter(filters.present([*keys, AMOUNT])), keys, uncapped)
     prices = price_points(purchases, keys, shares_of(categories), uncapped)
     return prices.select(*keys, *prices_by_category(categories), "n_before", "n_band")

@@ -37,19 +37,23 @@ def weekend_lodging(tables: SpendTables, config: CountyConfig) -> DataFrame:
 def lodging_rates(tables: SpendTables, config: CountyConfig, by_occupancy: bool = False) -> DataFrame:
     """Mean weekend rate per county and month, times the nights; optionally weighted by occupancy."""
     nights = weekend_lodging(tables, config).filter(F.col(COUNTY.column).isNotNull())
-    if by_occupancy:
-        rate = F.try_divide(F.sum(F.col("adr") * F.col("occupancy")), F.sum("occupancy"))
-    else:
-        rate = F.avg("adr")
-    rates = nights.groupBy(*KEYS).agg(
-        rate.alias("avg_adr"), F.count("adr").alias("lodging_txn_count")
+    # One row per property first: rates, counts and properties then come from one pass, and sums of
+    # decimals do not depend on the order in which tasks add them up.
+    rate, nightly = F.col("adr"), F.col("adr").isNotNull()
+    weight = F.col("occupancy") if by_occupancy else F.lit(1.0)
+    per_property = nights.groupBy(*KEYS, "property_id").agg(
+        F.sum((rate * weight).cast("decimal(28,6)")).alias("charged"),
+        F.sum((weight if by_occupancy else F.when(nightly, weight)).cast("decimal(28,6)")).alias("weight"),
+        F.count("adr").alias("lodging_txn_count"),
     )
-    properties = nights.groupBy(*KEYS).agg(
-        F.count_distinct("property_id").alias("hotel_property_count")
-    )
-    return rates.join(properties, KEYS).withColumn(
-        "lodging_cost", F.col("avg_adr") * config.weights.accommodation
+    rates = per_property.groupBy(*KEYS).agg(
+        F.try_divide(
+            F.sum("charged").cast("double"), F.sum("weight").cast("double")
+        ).alias("avg_adr"),
+        F.sum("lodging_txn_count").alias("lodging_txn_count"),
+        F.count("property_id").alias("hotel_property_count"),
     )
+    return rates.withColumn("lodging_cost", F.col("avg_adr") * config.weights.accommodation)
 
 
 def card_prices(tables: SpendTables, config: CountyConfig) -> DataFrame:
@@ -90,11 +94,18 @@ def card_prices(tables: SpendTables, config: CountyConfig) -> DataFrame:
     return counted.groupBy(*KEYS).agg(*columns)
 
 
-def county_months(tables: SpendTables, config: CountyConfig) -> DataFrame:
-    """Every county in every month of the period, whether or not it has data."""
+def county_months(
+    tables: SpendTables, config: CountyConfig, found: DataFrame | None = None
+) -> DataFrame:
+    """Every county in every month of the period, whether or not it has data. With `found`, the
+    months are those from the first to the last month of its rows."""
     known = joins.counties(tables.geo_reference, config.country).select(COUNTY.column).distinct()
-    months = months_between(config.index.start, config.index.end)
-    return known.withColumn(MONTH, F.explode(months))
+    if found is None:
+        return known.withColumn(MONTH, F.explode(months_between(config.index.start, config.index.end)))
+    span = found.agg(F.min(MONTH).alias("a"), F.max(MONTH).alias("b")).select(
+        F.when(F.col("a").isNotNull(), F.sequence("a", "b", F.expr("interval 1 month")))
+    )
+    return known.withColumn(MONTH, F.explode(span.scalar()))
 
 
 def meets_threshold(config: CountyConfig) -> Column:
@@ -108,12 +119,23 @@ def meets_threshold(config: CountyConfig) -> Column:
     )
 
 
+def anchored_sides(
+    tables: SpendTables, config: CountyConfig
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Card prices, lodging rates, and the counties and months that both are joined to."""
+    cards, rates = card_prices(tables, config), lodging_rates(tables, config)
+    if config.every_month:
+        return cards, rates, county_months(tables, config)
+    cards, rates = staged(cards, "cards", config.index), staged(rates, "rates", config.index)
+    return cards, rates, county_months(tables, config, cards.select(MONTH).unionByName(rates.select(MONTH)))
+
+
 def county_index(tables: SpendTables, config: CountyConfig) -> DataFrame:
     """One output row per county and month; missing prices stay missing, missing counts are 0."""
+    cards, rates, months = anchored_sides(tables, config)
     joined = (
-        county_months(tables, config)
-        .join(card_prices(tables, config), KEYS, "left")
-        .join(lodging_rates(tables, config), KEYS, "left")
+        months.join(cards, KEYS, "left")
+        .join(rates, KEYS, "left")
         .withColumn("lodging_txn_removed", F.lit(0).cast("long"))
     )
     total = (

@@ -19,7 +19,7 @@ EVERY_SNAPSHOT = WHOLE.with_(snapshot_join=False)
 CAP_TEST = WHOLE.with_(daily_cap=6, snapshot_join=False)
 COUNTY = CountyConfig(
     WHOLE.with_(daily_cap=2, method="cont"),
-    min_lodging=5, min_restaurant=5, min_attraction=2, min_retail=2,
+    min_lodging=5, min_restaurant=5, min_attraction=2, min_retail=2, every_month=False,
 )
 SENSITIVITY_CAPS = (1, 2, 3, 4)
 PERIODS = ((FIRST, date(1997, 12, 31)), (date(1998, 1, 1), LAST))

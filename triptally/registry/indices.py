@@ -18,7 +18,7 @@ from triptally.config import (
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test
 from triptally.plans.backfill import MonthlyPrices
-from triptally.plans.basket import basket_index
+from triptally.plans.basket import basket_index, quality_basket
 from triptally.plans.category import category_cost, category_costs, level_prices
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import county_index
@@ -89,6 +89,48 @@ def state_basket_index(t):
     return basket_index(t, WHOLE)
 
 
+def _quality_sql() -> str:
+    usable = ", ".join(
+        f"""CASE data_quality_flag WHEN 'SINGLE_MONTH' THEN {c} WHEN 'ROLLING_3MO' THEN
+    avg(CASE WHEN data_quality_flag <> 'EXCLUDE' THEN {c} END) OVER recent END AS {c}"""
+        for c in ONE_PASS
+    )
+    names = [category.name for category in CATEGORIES]
+    flags = ", ".join(f"coalesce(max(data_quality_flag) FILTER (category = '{n}'), 'EXCLUDE') AS {n}_flag" for n in names)
+    people = ", ".join(f"coalesce(max(unique_visitors) FILTER (category = '{n}'), 0) AS {n}_visitors" for n in names)
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ONE_PASS)
+    return sql.on_spend(
+        f"""WITH costs AS ({_all_sql(WHOLE)}),
+usable AS (SELECT category, merch_state, month_date, data_quality_flag, unique_visitors, {usable}
+  FROM costs WINDOW recent AS (PARTITION BY category, merch_state ORDER BY month_date
+    RANGE BETWEEN INTERVAL 2 MONTHS PRECEDING AND CURRENT ROW)),
+wide AS (SELECT merch_state, month_date, {", ".join(f"max({c}) AS {c}" for c in ONE_PASS)},
+    {flags}, {people}, count(*) FILTER (data_quality_flag = 'ROLLING_3MO') AS n_rolling,
+    4 - count(*) FILTER (data_quality_flag <> 'EXCLUDE') AS n_excluded
+  FROM usable WHERE merch_state <> 'XX' GROUP BY ALL)
+SELECT * EXCLUDE ({", ".join(ONE_PASS)}), {rounded},
+  CASE WHEN n_excluded > 0 THEN 'EXCLUDE' WHEN n_rolling > 0 THEN 'ROLLING_3MO'
+    ELSE 'SINGLE_MONTH' END AS basket_flag, round({sql.TOTAL}, 6) AS cost_per_trip FROM wide"""
+    )
+
+
+def _all_sql(config, key_columns: str = "merch_state") -> str:
+    keys = f"category, {key_columns}, month_date"
+    return f"""WITH base AS ({sql.rows(CATEGORIES, "state", config)}),
+{sql.trimmed("base", keys, config)}
+SELECT {keys}, {", ".join(_one_pass_column(name) for name in ONE_PASS)},
+  count(*) AS transaction_count, count(DISTINCT membccid) AS unique_visitors,
+  any_value(n_before) AS n_before, {sql.flag("count(DISTINCT membccid)", config)} AS data_quality_flag
+FROM kept GROUP BY {keys}"""
+
+
+@query("state_basket_quality", _quality_sql())
+def state_basket_quality(t):
+    """Usable prices, flags and visitors behind every basket."""
+    priced = quality_basket(t, WHOLE)
+    return priced.withColumns({c: F.round(c, 6) for c in (*ONE_PASS, "cost_per_trip")})
+
+
 @query("division_basket_index", sql.level_basket("division", WHOLE))
 def division_basket_index(t):
     return basket_index(t, WHOLE, level=DIVISION)
@@ -104,17 +146,6 @@ def county_basket_index(t):
     return county_index(t, COUNTY).drop("created_at")
 
 
-
-def _all_sql(config, key_columns: str = "merch_state") -> str:
-    keys = f"category, {key_columns}, month_date"
-    return f"""WITH base AS ({sql.rows(CATEGORIES, "state", config)}),
-{sql.trimmed("base", keys, config)}
-SELECT {keys}, {", ".join(_one_pass_column(name) for name in ONE_PASS)},
-  count(*) AS transaction_count, count(DISTINCT membccid) AS unique_visitors,
-  any_value(n_before) AS n_before, {sql.flag("count(DISTINCT membccid)", config)} AS data_quality_flag
-FROM kept GROUP BY {keys}"""
-
-
 LATE = (date(1997, 3, 1), date(1997, 3, 31))
 
 

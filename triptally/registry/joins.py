@@ -10,12 +10,15 @@ from triptally.operators.distribution import count_purchases, inside_band, price
 from triptally.operators.joins import STATE
 from triptally.plans.basket import join_components
 from triptally.plans.cap_test import cap_comparison, medians_in_global_band, retail_cap_test
-from triptally.plans.category import category_cost, visitor_rows
+from triptally.plans.category import category_cost, costs_by_category, visitor_rows
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
-from triptally.plans.county import card_prices, county_months, lodging_rates
+from triptally.plans.county import anchored_sides
 from triptally.registry import sql
 from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, EVERY_SNAPSHOT, WHOLE, query
 from triptally.registry.scalars import comparison_sql
+from triptally.session import fresh_folder
+from triptally.sources.tables import SpendTables
+from triptally.sources.writers import write_bucketed
 
 KEYS = ["merch_state", "month_date"]
 JOINED = ("mtid", "merch_state", "mcc", "trans_date", "membccid", "trans_amount")
@@ -156,6 +159,18 @@ def join_cap_compare(t):
     return cap_comparison(t, CAPPED).select(*KEYS, "median_uncapped", "median_capped")
 
 
+@query("join_stored_buckets", sql.category_cost(RETAIL, "state", WHOLE))
+def join_stored_buckets(t):
+    """The retail index on tables stored by merchant and snapshot: their join moves no transaction."""
+    folder = fresh_folder(t.spark, "buckets")
+    names = {}
+    for kind, frame in (("transactions", t.transactions), ("merchants", t.merchants)):
+        names[kind] = f"{kind}_{folder.rsplit('-', 1)[-1]}"
+        write_bucketed(frame, names[kind], 16, f"{folder}/{kind}")
+    stored = SpendTables.from_catalog(t.spark, names["transactions"], names["merchants"])
+    return category_cost(stored, RETAIL, STATE, WHOLE).drop("calculation_timestamp")
+
+
 @query(
     "join_basket",
     sql.basket(
@@ -166,11 +181,9 @@ FROM left_half LEFT JOIN right_half USING (merch_state, month_date)""",
     ),
 )
 def join_basket(t):
-    frames = [
-        category_cost(t, category, STATE, WHOLE)
-        for category in (ACCOMMODATION, ATTRACTION, RESTAURANT, RETAIL)
-    ]
-    return join_components(*frames)
+    """Four results side by side, all from one pass."""
+    costs = costs_by_category(t, (ACCOMMODATION, ATTRACTION, RESTAURANT, RETAIL), STATE, WHOLE)
+    return join_components(*costs.values())
 
 
 @query(
@@ -184,8 +197,8 @@ def join_basket(t):
 )
 def join_county_anchor(t):
     keys = ["county_fips", "month_date"]
-    anchored = county_months(t, COUNTY).join(card_prices(t, COUNTY), keys, "left")
-    return anchored.join(lodging_rates(t, COUNTY), keys, "left").select(
+    cards, rates, months = anchored_sides(t, COUNTY)
+    return months.join(cards, keys, "left").join(rates, keys, "left").select(
         *keys, "breakfast_lunch_cost", "dinner_cost", "attraction_cost", "retail_cost",
         "lodging_cost",
     )

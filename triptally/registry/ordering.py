@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from triptally.config import ACCOMMODATION, ATTRACTION, RETAIL, RETAIL_NO_MINIMUM
+from triptally.operators.filters import in_period
 from triptally.operators.joins import DIVISION, NATIONAL, STATE
 from triptally.plans import cap_test
 from triptally.plans.basket import basket_index
-from triptally.plans.category import category_cost
+from triptally.plans.category import category_cost, costs_by_category
 from triptally.plans.reports import filter_funnel, review_sample
 from triptally.plans.trends import cost_extremes
 from triptally.registry import sql
@@ -211,13 +212,14 @@ FROM ({sql.category_cost(RETAIL, "state", WHOLE)})"""
 
 @query("union_by_name", _union_sql())
 def union_by_name(t):
-    def result(category, cost, config):
-        frame = category_cost(t, category, STATE, config)
-        return frame.select("merch_state", "month_date", cost, "transaction_count")
+    """Parts with different columns under one another, all from one pass."""
+    costs = costs_by_category(t, (ATTRACTION, RETAIL), STATE, WHOLE)
 
-    first, second = (
-        result(ATTRACTION, "attraction_cost", WHOLE.with_(start=start, end=end))
-        for start, end in PERIODS
+    def result(category, cost, period=None):
+        frame = costs[category.name].select("merch_state", "month_date", cost, "transaction_count")
+        return frame if period is None else frame.filter(in_period(*period, "month_date"))
+
+    first, second = (result(ATTRACTION, "attraction_cost", period) for period in PERIODS)
+    return first.unionByName(second).unionByName(
+        result(RETAIL, "retail_cost"), allowMissingColumns=True
     )
-    retail = result(RETAIL, "retail_cost", WHOLE)
-    return first.unionByName(second).unionByName(retail, allowMissingColumns=True)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from triptally.config import ATTRACTION, RETAIL, CountyConfig
+from triptally.config import ATTRACTION, CATEGORIES as ALL, RETAIL, CountyConfig
 from triptally.operators import joins
 from triptally.operators.filters import in_period
+from triptally.operators.distribution import count_purchases, visitors
 from triptally.operators.joins import COUNTY as COUNTY_LEVEL
 from triptally.operators.joins import STATE
-from triptally.plans.basket import basket_index
-from triptally.plans.category import category_cost, visitor_transactions
+from triptally.plans.basket import basket_from_exports, basket_index
+from triptally.plans.category import category_cost, visitor_rows, visitor_transactions
 from triptally.plans.county import CATEGORIES, county_index
 from triptally.registry import sql
 from triptally.registry.base import COUNTY, PERIODS, WHOLE, query
@@ -130,17 +132,45 @@ def sink_index_csv(t):
     return t.spark.read.schema(BASKET).option("header", True).csv(path)
 
 
-def _county_of(start: date, end: date) -> CountyConfig:
-    return CountyConfig(
-        COUNTY.index.with_(start=start, end=end), COUNTY.weights, COUNTY.min_properties,
-        COUNTY.min_lodging, COUNTY.min_restaurant, COUNTY.min_attraction, COUNTY.min_retail,
-    )
+# A first delivery from farther visitors only, and the later period calculated again from all of them.
+_FIRST_RUN = WHOLE.with_(distance=100.0)
+_SECOND_RUN = WHOLE.with_(start=PERIODS[1][0])
+
 
+def _latest_run_sql() -> str:
+    first, second = (sql.basket_ctes(config) for config in (_FIRST_RUN, _SECOND_RUN))
+    early = f"month_date < DATE '{_SECOND_RUN.start}'"
+    return f"""SELECT * FROM ({sql.on_spend(f"WITH {first} SELECT * FROM idx WHERE {early}")})
+UNION ALL SELECT * FROM ({sql.on_spend(f"WITH {second} SELECT * FROM idx")})"""
 
-COUNTY_SQL = sql.county("SELECT * FROM county", COUNTY, CATEGORIES)
+
+@query("basket_from_exports", _latest_run_sql())
+def basket_from_exports_(t):
+    """Exported files of two runs that overlap, read together; the later run counts."""
+    folder = fresh_folder(t.spark, "exports")
+    for config in (_FIRST_RUN, _SECOND_RUN):
+        for category in ALL:
+            result = category_cost(t, category, STATE, config)
+            writers.write_category_csv(
+                result, f"{folder}/{category.name}", category.name, "state", config.start, config.end
+            )
+    exports = {
+        c.name: readers.read_exports(t.spark, f"{folder}/{c.name}", category_export(c)) for c in ALL
+    }
+    return basket_from_exports(exports)
 
 
-@query("sink_append_schema", COUNTY_SQL)
+def _county_of(start: date, end: date) -> CountyConfig:
+    return replace(COUNTY, index=COUNTY.index.with_(start=start, end=end))
+
+
+@query(
+    "sink_append_schema",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({sql.county('SELECT * FROM county', _county_of(start, end), CATEGORIES)})"
+        for start, end in PERIODS
+    ),
+)
 def sink_append_schema(t):
     """Two runs append to a catalog table, one of them twice; the table is read by its name."""
     folder = fresh_folder(t.spark, "county-index")
@@ -211,3 +241,31 @@ def prune_ref_date(t):
     return per_merchant.groupBy("ref_date", "merch_state").agg(
         F.sum("n").alias("purchases"), F.count("*").alias("merchants")
     )
+
+
+@query(
+    "prune_by_join",
+    sql.on_spend(
+        f"""WITH base AS ({sql.rows([ATTRACTION], "state", WHOLE)})
+SELECT merch_state, month_date, count(*) AS transaction_count,
+  count(DISTINCT membccid) AS unique_visitors
+FROM base WHERE year(trans_date) % 3 = 0 GROUP BY ALL"""
+    ),
+)
+def prune_by_join(t):
+    """Visitors at the snapshots of every third release; the tables are read at these only."""
+    tables, releases = stored_by_snapshot(t)
+    rows = visitor_rows(tables.at_releases(releases.filter("revision % 3 = 0")), [ATTRACTION], STATE, WHOLE)
+    keys = ["merch_state", "month_date"]
+    return visitors(count_purchases(rows, keys), keys)
+
+
+def stored_by_snapshot(t):
+    """Transactions, merchants and the list of releases, stored by ref_date."""
+    folder = fresh_folder(t.spark, "snapshots")
+    writers.write_transactions(t.transactions, f"{folder}/transactions")
+    writers.write_merchants(t.merchants, f"{folder}/merchants")
+    revisions = t.spark.read.parquet(f"{folder}/merchants").select("ref_date").distinct()
+    revisions.withColumn("revision", F.year("ref_date")).write.parquet(f"{folder}/releases")
+    tables = readers.SpendTables.from_parquet(t.spark, f"{folder}/transactions", f"{folder}/merchants")
+    return tables, t.spark.read.parquet(f"{folder}/releases")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +61,21 @@ class SpendTables:
             table(lodging),
         )
 
+    def at_releases(self, releases: DataFrame, most: int = 10_000) -> SpendTables:
+        """Both tables reduced to the snapshots that `releases` has rows for.
+
+        The dates are joined, so tables stored by ref_date are read in part only, whatever condition
+        picked the releases: the join prunes their partitions while it runs. Snapshot dates are few;
+        up to `most` of them, counted here, are broadcast.
+        """
+        chosen = releases.select("ref_date").distinct()
+        if chosen.count() <= most:
+            chosen = F.broadcast(chosen)
+        return replace(
+            self, transactions=self.transactions.join(chosen, "ref_date"),
+            merchants=self.merchants.join(chosen, "ref_date"),
+        )
+
 
 def amounts_as_double(transactions: DataFrame) -> DataFrame:
     """Amounts may be stored as FLOAT; everything downstream computes in DOUBLE."""

@@ -68,3 +68,19 @@ def write_merchants(merchants: DataFrame, path: str) -> None:
     """Merchant snapshots, partitioned so that a run reads only the snapshots it joins. The
     rebalance gathers each snapshot into few files and splits one that is too large for a task."""
     merchants.hint("rebalance", "ref_date").write.mode("overwrite").partitionBy("ref_date").parquet(path)
+
+
+def write_transactions(transactions: DataFrame, path: str) -> None:
+    """Transactions by snapshot, as `write_merchants` stores merchants."""
+    transactions.hint("rebalance", "ref_date").write.mode("overwrite").partitionBy("ref_date").parquet(path)
+
+
+def write_bucketed(
+    frame: DataFrame, name: str, buckets: int, path: str | None = None,
+    keys: tuple[str, ...] = ("mtid", "ref_date"),
+) -> None:
+    """A catalog table whose rows lie in buckets by `keys`. Tables with equally many buckets of the same
+    keys join bucket by bucket, without a shuffle; one file a bucket is written here."""
+    writer = frame.repartition(buckets, *keys).write.mode("overwrite")
+    writer = writer.bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
