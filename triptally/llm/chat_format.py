@@ -47,8 +47,9 @@ def _escaped(data: np.ndarray, bounds: np.ndarray, more: bytes = b"") -> tuple[n
     """The same column with a backslash before what must be escaped."""
     hit = data == ord("\\")
     for word in (*_CONTROL, *(bytes([c]) for c in more)):
-        hit |= _starts(data, word)
-    # A string that runs over the end of its value is escaped too; that does no harm.
+        at = np.flatnonzero(_starts(data, word))
+        # What begins in one value and ends in the next is none.
+        hit[at[at + len(word) <= bounds[np.searchsorted(bounds, at, "right")]]] = True
     shift = np.cumsum(hit)
     out = np.empty(len(data) + int(hit.sum()), np.uint8)
     to = np.arange(len(data)) + shift
@@ -154,7 +155,10 @@ def format_chats(
     )
 
 
-_TURN = re.compile(rb"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
+# Possessive: nothing is remembered for each character of a long turn.
+_TURN = re.compile(
+    rb"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL
+)
 _ESCAPE = re.compile(rb"\\(.)", re.DOTALL)
 
 
