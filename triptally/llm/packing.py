@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,21 +134,23 @@ def pack(pieces_: DataFrame, steps: Steps, capacity: int, key: str = "doc_id") -
     )
     schema = fields(pieces_)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([key, "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        lengths = frame["length"].to_numpy(np.int64)
+    def run(group: pa.Table) -> pa.Table:
+        # In Arrow: a column of whole numbers stays exact beside nulls.
+        order = [(key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        group = group.sort_by(order)
+        lengths = group.column("length").to_numpy()
         bins = best_fit(lengths, capacity)
         order = np.lexsort((-lengths, bins))
         sorted_bins, sizes = bins[order], lengths[order]
         before = np.cumsum(sizes) - sizes
         first = np.flatnonzero(np.r_[True, sorted_bins[1:] != sorted_bins[:-1]])
-        offset = before - np.repeat(before[first], np.diff(np.r_[first, len(order)]))
-        frame["offset"] = 0
-        frame.loc[order, "offset"] = offset
-        frame["sequence_id"] = int(frame["__group"].iloc[0]) * (1 << 32) + bins
-        return frame.drop(columns="__group")
+        offset = np.empty(len(order), np.int64)
+        offset[order] = before - np.repeat(before[first], np.diff(np.r_[first, len(order)]))
+        number = group.column("__group")[0].as_py()
+        packed = group.drop_columns("__group").append_column("offset", pa.array(offset))
+        return packed.append_column("sequence_id", pa.array(number * (1 << 32) + bins))
 
-    packed = dealt.groupBy("__group").applyInPandas(run, schema + ", offset long, sequence_id long")
+    packed = dealt.groupBy("__group").applyInArrow(run, schema + ", offset long, sequence_id long")
     return full.unionByName(packed)
 
 
