@@ -19,22 +19,25 @@ def held_out(doc_id: Column) -> Column:
 def sample_by_class(
     rows: DataFrame, label: str, text: str, key: str, per_class: int, max_chars: int
 ) -> list[tuple]:
-    """(label, text) of about `per_class` rows of each class, chosen by a hash of the key, texts cut
-    at `max_chars`; the classes' sizes come first. This bounds what reaches the driver."""
+    """(label, text) of about `per_class` rows of each class, chosen by a hash of key and text, so that
+    rows without a key are drawn like others; texts cut at `max_chars`; the classes' sizes come first.
+    This bounds what reaches the driver."""
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not sizes:
         return []
-    picked = _draw(rows, label, key, sizes, per_class)
+    picked = _draw(rows, label, [key, text], sizes, per_class)
     picked = picked.select(label, F.substring(F.col(text), 1, max_chars)).collect()
     return sorted((r[0], r[1]) for r in picked)
 
 
-def _draw(rows: DataFrame, label: str, key: str, sizes: dict, per_class: int) -> DataFrame:
+def _draw(
+    rows: DataFrame, label: str, by: Sequence[str], sizes: dict, per_class: int
+) -> DataFrame:
     scale = 1 << 30
     shares = F.create_map(
         *[F.lit(x) for k, n in sizes.items() for x in (k, min(scale, scale * per_class // n + 1))]
     )
-    return rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(scale)) < shares[F.col(label)])
+    return rows.where(F.pmod(F.xxhash64(*by), F.lit(scale)) < shares[F.col(label)])
 
 
 def sample_by_label(
@@ -42,11 +45,11 @@ def sample_by_label(
 ) -> tuple[dict, list[tuple]]:
     """The sizes of the classes of `labels`, and a sample as above of texts that lie in `docs`. Only
     the keys drawn, about `per_class` of each class, are broadcast; no text is shuffled."""
-    labels = labels.select(key, label).dropDuplicates([key])
+    labels = labels.select(key, label).where(F.col(key).isNotNull()).dropDuplicates([key])
     sizes = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
     if not sizes:
         return sizes, []
-    drawn = _draw(labels, label, key, sizes, per_class)
+    drawn = _draw(labels, label, [key], sizes, per_class)
     texts = docs.select(key, text).where(F.col(text).isNotNull())
     known = texts.join(F.broadcast(drawn), key)
     picked = known.select(label, F.substring(F.col(text), 1, max_chars)).collect()
