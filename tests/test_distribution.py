@@ -102,7 +102,8 @@ def test_any_small_purchases(spark, rows):
 def test_sketch_is_exact_on_small_groups(spark):
     rows = shopping(4)
     frame = spark.createDataFrame(rows, SCHEMA).dropna(subset=["place", "trans_amount"])
-    sketched = dist.sketched_price_points(frame, ["place"], SHARES, CONFIG)
+    purchases = dist.count_purchases(frame, ["place"])
+    sketched = dist.price_points(purchases, ["place"], SHARES, CONFIG.with_(method="approx"))
     exact = expected(rows, nearest)
     for row in sketched.collect():
         _, kept, low, high = exact[row.place]
@@ -158,7 +159,9 @@ def test_price_ranges_never_fall():
 
 
 def test_refused_settings():
-    for changes in ({"method": "approx", "daily_cap": 2}, {"method": "approx", "snapshot_join": False},
-                    {"trim": (0.0500000001, 0.98)}, {"trim": (-0.1, 0.98)}):
+    for changes in ({"method": "median"}, {"daily_cap": 0}, {"trim": (0.0500000001, 0.98)}, {"trim": (-0.1, 0.98)}):
         with pytest.raises(ValueError):
             CONFIG.with_(**changes)
+    # Sketches have weights.
+    for changes in ({"daily_cap": 2}, {"snapshot_join": False}):
+        assert CONFIG.with_(method="approx", **changes).method == "approx"

@@ -11,7 +11,8 @@ from triptally.config import (
     Category,
     IndexConfig,
 )
-from triptally.plans.basket import basket_from_frames, basket_index
+from triptally.plans.backfill import MonthlyPrices
+from triptally.plans.basket import basket_from_frames, basket_index, quality_basket
 from triptally.plans.category import category_cost, category_costs
 from triptally.sources.tables import SpendTables
 
@@ -25,9 +26,11 @@ __all__ = [
     "BasketWeights",
     "Category",
     "IndexConfig",
+    "MonthlyPrices",
     "SpendTables",
     "basket_from_frames",
     "basket_index",
     "category_cost",
     "category_costs",
+    "quality_basket",
 ]
