@@ -84,6 +84,23 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert ids == sorted((i is not None, i or 0) for i, _ in rows if i not in planted)
 
 
+def test_leaks_of_parts_of_long_items(spark):
+    """A long passage of a long item is told whatever its share; a short one is not."""
+    rng = random.Random(8)
+    long = [f"q{i}y{rng.randrange(100)}" for i in range(450)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, "one two three four five six")],
+                                      "item_id long, text string")
+    parts = {1: long[100:300], 2: long[:60], 3: long[200:230], 4: long[400:], 5: long}
+    rows = [(i, prose(rng, 50) + "\n" + " ".join(p) + " " + prose(rng, 80)) for i, p in parts.items()]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert sorted(found) == [1, 2, 4, 5] and {r.item_id for r in found.values()} == {1}
+    for i, r in found.items():
+        assert rows[i - 1][1].encode()[r.first : r.last].decode() == " ".join(parts[i])
+        assert r.score == len(parts[i]) / 450
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()] == [3]
+
+
 def test_leaks_with_blocks_of_items_and_empty_tables(spark):
     rng = random.Random(6)
     items, benchmark = _benchmark(spark, rng)

@@ -19,6 +19,7 @@ from triptally.llm.arrays import U64, Chunk, Words, chunks, gram_hashes, words
 from triptally.llm.tables import fields
 
 MATCH, MISMATCH, GAP = 2, -1, -1  # alignment scores per word
+REMEMBERED = 64 << 20  # bytes of passages whose alignments a task remembers
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class LeakRule:
     common: int = 20  # a gram found this many times as often as the item's median gram is no seed
     floor: int = 50  # and in more documents than this
     score: float = 0.5  # least alignment score, as a share of the item's own
+    words: int = 50  # or the alignment score of so many equal words, however long the item is
     block: int = 200_000  # words of test items handled at once; more items are read in blocks
 
 
@@ -199,11 +201,12 @@ def _passages(chunk: Chunk, items: Items, rule: LeakRule, known: dict) -> Iterat
         if result is None:
             result = align(own, passage)
             if key:
-                if len(known) > 20_000:
+                if known.get("bytes", 0) > REMEMBERED:
                     known.clear()
                 known[key] = result
+                known["bytes"] = known.get("bytes", 0) + len(key[1])
         score = result[0] / (MATCH * len(own))
-        if score >= rule.score:
+        if score >= rule.score or result[0] >= MATCH * rule.words:
             a, b = first + result[1], first + result[2] - 1
             base = chunk.bounds[r]
             yield r, i, score, int(found.starts[a] - base), int(found.ends[b] - base)
@@ -237,10 +240,10 @@ def leaks(
     item: str = "item_id", item_text: str = "text", rule: LeakRule = LeakRule(),
 ) -> DataFrame:
     """(key, item, score, first, last): the best-aligned passage of each document and test item whose
-    score reaches `rule.score`, in bytes of the text.
+    score reaches `rule.score`, or is that of `rule.words` equal words, in bytes of the text.
 
     Words are lower-cased A-Z and end at white space and ASCII punctuation. The score is the local
-    alignment score over that of the whole item. Null and empty texts hold no passage. A document
+    alignment score over that of the whole item; a passage from a long item may have a small one. Null and empty texts hold no passage. A document
     that repeats an item has one row for it, the best and first; repeated rows give repeated rows.
     Both passes read the texts where they lie; nothing of them is shuffled but the results.
     """
