@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import importlib
 import random
 
 import numpy as np
@@ -97,6 +98,56 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_components_with_hot_centres(spark, monkeypatch):
+    """Centres looked up by a broadcast: the same components."""
+    monkeypatch.setattr(module := importlib.import_module("triptally.llm.components"), "FEW", 3)
+    monkeypatch.setattr(module, "HOT", 20)
+    links = [(500, i) for i in range(80)] + [(79, 600), (600, 601)] + [(700 + i, 701 + i) for i in range(9)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    found = {r.node: r.comp for r in components(frame, Steps(spark, "test"), "hot").collect()}
+    assert found == {i: 0 for i in [*range(80), 500, 600, 601]} | {i: 700 for i in range(700, 710)}
+
+
+@pytest.mark.parametrize("size", [600, 1023, 1024, 5000, 70_000])
+def test_fine_counts_bound_the_difference(size):
+    """Never more than the true difference, whatever the sizes; for unlike sets too much to link."""
+    rng = np.random.default_rng(size)
+    one = np.unique(rng.integers(1, 1 << 62, size).astype(U64))
+    other = np.unique(rng.integers(1, 1 << 62, size * 5 // 4).astype(U64))
+    near = np.union1d(one[size // 20 :], other[: size // 4])
+    many = np.union1d(one, other)  # in finer buckets
+    sets = [one, near, many, other]
+    sizes = np.array([len(x) for x in sets])
+    counts = ngram_join._fine_counts(np.repeat(np.arange(4), sizes), np.concatenate(sets), sizes)
+    counts = [np.frombuffer(c, np.uint8) for c in counts.to_pylist()]
+    for i in range(4):
+        for j in range(4):
+            assert ngram_join._apart(counts[i], counts[j]) <= len(np.setxor1d(sets[i], sets[j]))
+    both, apart = sizes[0] + sizes[3], ngram_join._apart(counts[0], counts[3])
+    assert 100 * (both - apart) < 80 * (both + apart)
+    few = ngram_join._fine_counts(np.zeros(3, np.int64), one[:3], np.array([3]))
+    assert few.to_pylist() == [None]
+
+
+def test_join_of_long_texts(spark):
+    """Texts of thousands of words: near copies, and others that share passages only."""
+    rng = random.Random(21)
+    word = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    rows = []
+    for i in range(6):
+        copy = list(word)
+        for k in rng.sample(range(4000), 25):
+            copy[k] = f"edit{i}"
+        rows.append((10 + i, " ".join(copy)))
+    for i in range(6):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(3000)]
+        rows.append((30 + i, " ".join(own + word[:900])))
+    expected = linked_components(rows)
+    found = ngram_join.similar_documents(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component) for r in found} == expected
+    assert len({c for _, c in expected.values()}) == 7
+
+
 def _check_removal(spark, rows, **options):
     found = suffix_dedup.remove_repeats(documents(spark, rows), **options).collect()
     unique = {i: (t or "").encode() for i, t in rows}

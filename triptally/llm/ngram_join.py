@@ -19,6 +19,7 @@ PER_PART = 3  # shingles per part of the domain, for the largest sets of a band
 CROWD = 8  # a signature of more sets is crowded: a passage of many texts, or a group of copies
 FAMILY_BLOCK = 64  # sets of a family are compared in pairs of blocks of this many
 BUCKETS = 128  # of the counts that bound a difference from below
+FINE = 4 * BUCKETS  # sets of at least this many elements have finer counts too
 ROWS_PER_TASK = 2_000_000  # signatures one task sorts; more of them get more tasks
 
 
@@ -137,6 +138,29 @@ def _bucket_counts(rows: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, bounds.buffers()[1], pa.py_buffer(flat)])
 
 
+def _fine_counts(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """As _bucket_counts, for sets of at least FINE elements, with buckets in proportion to their size:
+    a power of two that leaves two to four elements a bucket. Null for smaller sets."""
+    out: list[bytes | None] = [None] * len(sizes)
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes >= FINE).tolist():
+        n = 1 << (int(sizes[i]).bit_length() - 2)
+        bucket = (mix(hashes[ends[i] - sizes[i] : ends[i]]) % U64(n)).astype(np.int64)
+        out[i] = np.minimum(np.bincount(bucket, minlength=n), 255).astype(np.uint8).tobytes()
+    return pa.array(out, pa.binary())
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of differences of two sets' counts; the finer ones are folded to as many buckets as the
+    others have, which gives the counts that set would have with so few."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = np.minimum(x[:half].astype(np.int16) + x[half:], 255)
+    return int(np.abs(x.astype(np.int16) - y).sum(dtype=np.int64))
+
+
 def row_mark(key: str, text: str) -> Column:
     """Tells apart texts of one key, and those without a key. One column to join by, so that what is
     joined already lies as dropping repeated rows needs it, and no text is shuffled twice."""
@@ -144,9 +168,10 @@ def row_mark(key: str, text: str) -> Column:
 
 
 def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(key, mark, n_shingles, cls, firm, counts, sigs): mark is a hash of key and text; cls names a set,
-    equal sets share it; counts are those of its buckets; sigs only where a task meets the set for the
-    first time. A firm set can do without none of its signatures."""
+    """(key, mark, n_shingles, cls, firm, counts, fine, sigs): mark is a hash of key and text; cls names
+    a set, equal sets share it; counts are those of its buckets, fine those of a large set's many
+    buckets; sigs only where a task meets the set for the first time. A firm set can do without none of
+    its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -167,15 +192,15 @@ def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataF
                     [batch.column(0).slice(chunk.first, len(chunk)),
                      batch.column(2).slice(chunk.first, len(chunk)), pa.array(sizes),
                      signed(whole), pa.array(short),
-                     _bucket_counts(rows, hashes, len(chunk)),
+                     _bucket_counts(rows, hashes, len(chunk)), _fine_counts(rows, hashes, sizes),
                      lists(sigs[order].view(np.int64), counts)],
-                    names=["key", "mark", "n_shingles", "cls", "firm", "counts", "sigs"],
+                    names=["key", "mark", "n_shingles", "cls", "firm", "counts", "fine", "sigs"],
                 )
 
     return docs.select(F.col(key), F.col(text), row_mark(key, text)).mapInArrow(
         run,
         f"key {kind}, mark long, n_shingles long, cls long, firm boolean, counts binary, "
-        "sigs array<long>",
+        "fine binary, sigs array<long>",
     )
 
 
@@ -255,6 +280,30 @@ def possible(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     return sized.select("a", "b", "n1", "n2", "c1", "c2").mapInArrow(run, "a long, b long")
 
 
+def fine_possible(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs that may link by the fine counts, where both sets have them. In a large set each of the
+    few buckets holds so many elements that unlike sets look alike; with fine counts they do not."""
+    fine = sets.where("fine is not null")
+    one = fine.select(F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("fine").alias("f1"))
+    two = fine.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("fine").alias("f2"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            both = batch.column(2).to_pylist()
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i] for c in (3, 4))
+                if x.is_valid and y.is_valid:
+                    apart = _apart(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y)))
+                    keep[i] = rule.den * (both[i] - apart) >= rule.num * (both[i] + apart)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    counted = pairs.join(one, "a", "left").join(two, "b", "left")
+    return counted.select("a", "b", F.expr("n1 + n2").alias("both"), "f1", "f2").mapInArrow(
+        run, "a long, b long"
+    )
+
+
 def _link(x: np.ndarray, y: np.ndarray, rule: Similarity) -> bool:
     """Whether two sets, sorted arrays, are similar enough."""
     if len(x) > len(y):
@@ -452,7 +501,8 @@ def linked_classes(
     told_classes = told.select("cls").unionByName(families.select(F.col("node").alias("cls")))
     bounds = steps.keep(
         filled.join(told_classes.distinct(), "cls", "left_semi").groupBy("cls").agg(
-            F.min("n_shingles").alias("n"), F.min("counts").alias("counts")
+            F.min("n_shingles").alias("n"), F.min("counts").alias("counts"),
+            F.min("fine").alias("fine"),
         ),
         "bounds",
     )
@@ -462,7 +512,8 @@ def linked_classes(
 
     def compare(pairs: DataFrame, name: str, members: DataFrame | None = None) -> DataFrame:
         """Links of pairs and families, written; one text of each class is read that may have any."""
-        open_pairs = steps.keep(possible(pairs, bounds, rule), f"open-{name}")
+        coarse = steps.keep(possible(pairs, bounds, rule), f"coarse-{name}")
+        open_pairs = steps.keep(fine_possible(coarse, bounds, rule), f"open-{name}")
         classes = open_pairs.select(F.explode(F.array("a", "b")).alias("cls"))
         if members is not None:
             classes = classes.unionByName(members.select("cls"))
@@ -475,7 +526,7 @@ def linked_classes(
         if members is not None:
             links = links.unionByName(family_links(members.join(sets, "cls"), rule))
         links = steps.keep(links, f"links-{name}")
-        steps.drop(f"elements-{name}", f"open-{name}")
+        steps.drop(f"elements-{name}", f"open-{name}", f"coarse-{name}")
         steps.release()
         return links
 
