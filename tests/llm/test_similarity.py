@@ -189,15 +189,8 @@ def test_removal_in_large_groups(spark, monkeypatch):
     _check_removal(spark, rows, length=60, gram=20, batches=3)
 
 
-def test_removal_from_rows_without_id(spark):
-    """Rows without doc_id that share passages of several lengths with others and with each other,
-    two of them equal, one without text: their places are cut like those of any row."""
-    rng = random.Random(11)
-    passage = prose(rng, 60)
-    rows = [(i, prose(rng, 20) + passage[10 * i : 150 + 20 * i] + prose(rng, 20)) for i in range(6)]
-    alone = prose(rng, 40)
-    rows += [(None, prose(rng, 20) + passage[a:b] + prose(rng, 20)) for a, b in ((0, 130), (45, 260))]
-    rows += [(None, alone), (None, alone), (None, None), (None, prose(rng, 30))]
+def _check_rows(spark, rows):
+    """What is removed of every row, told by its key and text."""
     ranges = repeated_ranges([(t or "").encode() for _, t in rows], 60)
     expected = []
     for (i, t), cut in zip(rows, ranges, strict=True):
@@ -208,8 +201,31 @@ def test_removal_from_rows_without_id(spark):
     found = suffix_dedup.remove_repeats(documents(spark, rows), length=60, gram=20).collect()
     given = [(str(r.doc_id), r.text or "", r.n_removed, r.n_spans, bytes(r.kept)) for r in found]
     assert sorted(given) == sorted(expected)
+    return given
+
+
+def test_removal_from_rows_without_id(spark):
+    """Rows without doc_id that share passages of several lengths with others and with each other,
+    two of them equal, one without text: their places are cut like those of any row."""
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 20) + passage[10 * i : 150 + 20 * i] + prose(rng, 20)) for i in range(6)]
+    alone = prose(rng, 40)
+    rows += [(None, prose(rng, 20) + passage[a:b] + prose(rng, 20)) for a, b in ((0, 130), (45, 260))]
+    rows += [(None, alone), (None, alone), (None, None), (None, prose(rng, 30))]
+    given = _check_rows(spark, rows)
     assert sum(n > 0 for i, _, n, _, _ in given if i == "None") == 4
 
 
+def test_removal_from_different_texts_of_one_id(spark):
+    """Different texts with one doc_id, one of them twice: each is cut at its own places."""
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    rows = [(i // 3, prose(rng, 20) + passage[10 * i : 150 + 20 * i] + prose(rng, 20)) for i in range(9)]
+    rows += [(1, rows[4][1]), (1, None), (1, ""), (1, prose(rng, 30))]
+    given = _check_rows(spark, rows)
+    assert sum(n > 0 for i, _, n, _, _ in given if i == "1") == 4
+
+
 def test_removal_of_empty_table(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0

@@ -106,6 +106,8 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                     base = int(chunk.bounds[i])
                     for w in wanted[chunk.first + i].as_py():
                         begin = base + w["start"]
+                        if begin + w["n"] + length - 1 > chunk.bounds[i + 1]:
+                            continue  # another text, whose row has the same hash
                         values = (
                             w["anchor"], w["run"], w["times"], w["members"],
                             part.column("row")[chunk.first + i].as_py(), w["start"],
@@ -245,7 +247,7 @@ def repeated_spans(
     batches: int = 4,
 ) -> DataFrame:
     """(row, spans): for each row of `docs` that holds any, the byte ranges [lo, hi) covered by
-    strings of `length` bytes that start anywhere else too. `docs` needs a unique `__row`."""
+    strings of `length` bytes that start anywhere else too. Rows of one `__row` have equal texts."""
     runs = steps.keep(sampled_suffixes(docs, text, length, gram, batches), "runs")
     index = SuffixIndex(steps)
     for batch in range(batches):
@@ -293,15 +295,15 @@ def remove_repeats(
 
     Removed is every byte of a string of `length` bytes that also starts anywhere else, in the same
     text or another; matches never cross texts and are judged on the input. Null is empty. Rows are
-    told apart by `row`, a column of longs that no two different texts share; equal texts in two rows
-    remove each other. A row without that number is told by a 64-bit hash of its text.
+    told apart by a 64-bit hash of the column `row` (null and repeated values too) and the text; equal
+    texts in two rows remove each other.
     `kept` is binary: a cut may divide a character. Columns of these names in `docs` are replaced.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept")
     own_row = F.col(row) if isinstance(row, str) else row
     row_name, at_name, spans_name = (unused(docs.columns, n) for n in (ROW, "__at", "__spans"))
     columns = [c for c in docs.columns if c.lower() not in names]
-    number = F.coalesce(own_row.cast("long"), F.xxhash64(F.lit("no row"), F.col(text)))
+    number = F.xxhash64(own_row, F.col(text))
     marked = docs.select(*[F.col(f"`{c}`") for c in columns], number.alias(row_name))
     schema = fields(marked.drop(row_name))
     steps = Steps(docs.sparkSession, "repeats")
