@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 HELD_OUT = 2  # rows with this remainder of crc32(doc_id) by 4 are never learned from
 
+SAMPLE_TASKS = 32  # for a sample of some thousand whole texts
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
@@ -19,14 +21,22 @@ def held_out(doc_id: Column) -> Column:
 def sample_by_class(
     rows: DataFrame, label: str, text: str, key: str, per_class: int, max_chars: int
 ) -> list[tuple]:
-    """(label, text) of about `per_class` rows of each class, chosen by a hash of key and text, so that
-    rows without a key are drawn like others; texts cut at `max_chars`; the classes' sizes come first.
-    This bounds what reaches the driver."""
+    """(label, passage) of about `per_class` rows of each class, chosen by a hash of key and text, so
+    that rows without a key are drawn like others; the classes' sizes come first.
+
+    A passage begins anywhere in its text, at a place chosen by the same hash, goes on at the text's
+    beginning after its end, and has at most `max_chars` characters. Equal rows give one passage. This
+    bounds what reaches the driver.
+    """
     sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not sizes:
         return []
     picked = _draw(rows, label, [key, text], sizes, per_class)
-    picked = picked.select(label, F.substring(F.col(text), 1, max_chars)).collect()
+    length = F.greatest(F.length(text), F.lit(1))
+    place = F.pmod(F.xxhash64(key, text, F.lit("place")), length).cast("int")
+    turned = F.concat(F.substr(text, place + 1, F.lit(max_chars)), F.lit(" "), F.substring(text, 1, max_chars))
+    own = F.least(length + 1, F.lit(max_chars))
+    picked = picked.select(label, F.substr(turned, F.lit(1), own).alias(text)).distinct().collect()
     return sorted((r[0], r[1]) for r in picked)
 
 
@@ -41,19 +51,19 @@ def _draw(
 
 
 def sample_by_label(
-    docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, per_class: int, max_chars: int
-) -> tuple[dict, list[tuple]]:
-    """The sizes of the classes of `labels`, and a sample as above of texts that lie in `docs`. Only
-    the keys drawn, about `per_class` of each class, are broadcast; no text is shuffled."""
-    labels = labels.select(key, label).where(F.col(key).isNotNull()).dropDuplicates([key])
+    docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, per_class: int
+) -> tuple[dict, DataFrame | None]:
+    """The sizes of the classes of `labels`, and (key, label, text) of about `per_class` keys of each
+    class, whole texts. Only the keys drawn are broadcast; no other text is shuffled. A key with
+    several labels has the largest of them, one with several texts the first by order."""
+    labels = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
     sizes = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
     if not sizes:
-        return sizes, []
+        return sizes, None
     drawn = _draw(labels, label, [key], sizes, per_class)
     texts = docs.select(key, text).where(F.col(text).isNotNull())
     known = texts.join(F.broadcast(drawn), key)
-    picked = known.select(label, F.substring(F.col(text), 1, max_chars)).collect()
-    return sizes, sorted((r[0], r[1]) for r in picked)
+    return sizes, known.repartition(SAMPLE_TASKS, key).groupBy(key, label).agg(F.min(text).alias(text))
 
 
 def fast(min_match: int) -> zstandard.ZstdCompressionParameters:

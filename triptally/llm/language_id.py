@@ -31,7 +31,8 @@ def fit_languages(
     per_language: int = 400, max_chars: int = 4000, dictionary_bytes: int = 24_576,
 ) -> LanguageModel:
     """Raw-content dictionaries from about `per_language` texts of each language (the bound of the
-    sample). Rows without text or language teach nothing."""
+    sample). A text gives a piece that begins anywhere in it, and more where few texts are known. Rows
+    without text or language teach nothing."""
     known = rows.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     texts: dict[str, list[bytes]] = {}
     for language, sample in sample_by_class(known, lang, text, key, per_language, max_chars):
