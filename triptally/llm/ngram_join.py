@@ -374,7 +374,7 @@ def _block_pairs(members: DataFrame, block: int) -> DataFrame:
 
 
 class _Group:
-    """One pair of blocks, its sets by size."""
+    """One pair of blocks, its sets by size; those joined already have one root."""
 
     def __init__(self, group: pa.Table, rule: Similarity):
         self.rule = rule
@@ -383,6 +383,10 @@ class _Group:
         self.size, self.cls = size[self.order], group.column("cls").to_numpy()[self.order]
         self.side = group.column("block").to_numpy()[self.order]
         self.alone = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        self.root = np.arange(len(size))
+        if "comp" in group.column_names:
+            comp = group.column("comp").to_numpy()[self.order]
+            self.root = np.unique(comp, return_inverse=True)[1]
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8)
         self.counts = counts.reshape(-1, BUCKETS).astype(np.int16)[self.order]
 
@@ -407,7 +411,7 @@ def close_ties(members: DataFrame, rule: Similarity) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for table_ in _by_key(batches, 3):
             group = _Group(table_, rule)
-            root = np.arange(len(group.cls))
+            root = group.root
             one, two = [], []
             for i in range(len(root) - 1):
                 j = group.partners(i, root != root[i])
@@ -424,9 +428,35 @@ def close_ties(members: DataFrame, rule: Similarity) -> DataFrame:
     return _block_pairs(members, FAMILY_BLOCK).mapInArrow(run, "a long, b long")
 
 
+def unjoined(members: DataFrame, rule: Similarity) -> DataFrame:
+    """The members (fam, cls, n, counts, comp) that may link, by their counts, with one of their family
+    that is in another component. Only counts are brought together, block by block."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for table_ in _by_key(batches, 3):
+            group = _Group(table_, rule)
+            found = np.zeros(len(group.cls), bool)
+            for i in range(len(found) - 1):
+                j = group.partners(i, group.root != group.root[i])
+                if len(j):
+                    found[i] = True
+                    found[j] = True
+            if found.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(found.sum()), table_.column("fam")[0].as_py())),
+                     pa.array(group.cls[found])],
+                    names=["fam", "cls"],
+                )
+
+    ends = members.groupBy("fam").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    several = members.join(ends.where("lo <> hi").select("fam"), "fam", "left_semi")
+    open_ = _block_pairs(several, FAMILY_BLOCK).mapInArrow(run, "fam long, cls long")
+    return members.join(open_.distinct(), ["fam", "cls"], "left_semi")
+
+
 def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
-    """Links (a, b) that join whatever links within families; members are (fam, cls, n, counts,
-    elements).
+    """Links (a, b) that join whatever links within families and is in no component yet; members are
+    (fam, cls, n, counts, comp, elements).
 
     All sets of a family are compared, but no pair is written: a family is dealt into blocks, each
     pair of blocks meets in one group of bounded size, and a group tells only links that join sets
@@ -438,7 +468,7 @@ def family_links(members: DataFrame, rule: Similarity) -> DataFrame:
             group = _Group(table_, rule)
             order, cls = group.order, group.cls
             elements = table_.column("elements").to_pylist()
-            root = np.arange(len(cls))
+            root = group.root
             told = []
             for i in range(len(cls) - 1):
                 j = group.partners(i, root != root[i])
@@ -467,9 +497,9 @@ def linked_classes(
     Equal sets are one class, named by a 64-bit hash. Classes that share a PartEnum signature are
     candidates. A class with few crowded signatures does without them, for it shares others with
     whatever it links with; the other classes of crowded signatures are families, compared block by
-    block, by bucket counts first and then in full within what those leave together. Of signatures that are not crowded, each class is first compared with the smallest only;
-    then every pair of classes that share one and are not yet in one component is compared, so no
-    link is lost. Elements of a class are read from one text, found by its mark, so classes whose
+    block, by bucket counts first. Of signatures that are not crowded, each class is first compared with
+    the smallest only; then every pair of classes that share one, or are of one family and may link by
+    their counts, and are not yet in one component, is compared in full, so no link is lost. Elements of a class are read from one text, found by its mark, so classes whose
     rows have no key, or share one with other texts, are compared like any other.
     """
     spark = docs.sparkSession
@@ -538,7 +568,7 @@ def linked_classes(
     members = near_families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
     members = steps.keep(members.join(bounds, "cls").select("fam", "cls", "n", "counts"), "members")
     steps.release()
-    links = compare(near, "1", members)
+    links = compare(near, "1")
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
@@ -557,7 +587,10 @@ def linked_classes(
         & (F.least("n1", "n2") * rule.den >= F.greatest("n1", "n2") * rule.num),
     ).select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()
     across = across.join(near, ["a", "b"], "left_anti")
-    more = compare(across, "2")
+    placed = members.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = placed.withColumn("comp", F.coalesce("comp", "cls"))
+    rest = steps.keep(unjoined(placed.select("fam", "cls", "n", "counts", "comp"), rule), "rest")
+    more = compare(across, "2", rest)
     whole = steps.keep(components(links.unionByName(more), steps, "classes"), "classes")
 
     return found, (
