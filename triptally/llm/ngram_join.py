@@ -20,6 +20,7 @@ CROWD = 8  # a signature of more sets is crowded: a passage of many texts, or a
 FAMILY_BLOCK = 64  # sets of a family are compared in pairs of blocks of this many
 BUCKETS = 128  # of the counts that bound a difference from below
 FINE = 4 * BUCKETS  # sets of at least this many elements have finer counts too
+SIGNATURE_PARTS = 4  # signatures are brought together in this many steps
 ROWS_PER_TASK = 2_000_000  # signatures one task sorts; more of them get more tasks
 
 
@@ -405,8 +406,9 @@ class _Group:
 
 
 def close_ties(members: DataFrame, rule: Similarity) -> DataFrame:
-    """Ties (a, b) between sets of a family that may link by their counts; only those that join sets
-    which a group has not joined yet, so fewer than sets."""
+    """Ties (a, b, lead) between sets of a family that may link by their counts; only those that join sets
+    which a group has not joined yet, so fewer than sets. Leading are those within a block and the first
+    between two blocks: few, and mostly enough to hold a family together."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for table_ in _by_key(batches, 3):
@@ -421,11 +423,14 @@ def close_ties(members: DataFrame, rule: Similarity) -> DataFrame:
                     one.append(np.full(len(first), group.cls[i]))
                     two.append(group.cls[j[first]])
             if one:
+                lead = np.full(sum(map(len, one)), group.alone)
+                lead[0] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"]
+                    [pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), pa.array(lead)],
+                    names=["a", "b", "lead"],
                 )
 
-    return _block_pairs(members, FAMILY_BLOCK).mapInArrow(run, "a long, b long")
+    return _block_pairs(members, FAMILY_BLOCK).mapInArrow(run, "a long, b long, lead boolean")
 
 
 def unjoined(members: DataFrame, rule: Similarity) -> DataFrame:
@@ -498,7 +503,7 @@ def linked_classes(
     candidates. A class with few crowded signatures does without them, for it shares others with
     whatever it links with; the other classes of crowded signatures are families, compared block by
     block, by bucket counts first. Of signatures that are not crowded, each class is first compared with
-    the smallest only; then every pair of classes that share one, or are of one family and may link by
+    the smallest only, and so are a few sets of each family that are alike by counts; then every pair of classes that share one, or are of one family and may link by
     their counts, and are not yet in one component, is compared in full, so no link is lost. Elements of a class are read from one text, found by its mark, so classes whose
     rows have no key, or share one with other texts, are compared like any other.
     """
@@ -508,8 +513,13 @@ def linked_classes(
     tag = (F.col("n_shingles") * 2 + F.col("firm").cast("long")).alias("tag")
     signatures = found.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cls", tag)
     n = found.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_TASK))
-    shared = steps.keep(shared_signatures(signatures, tasks), "shared")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (SIGNATURE_PARTS * ROWS_PER_TASK)))
+    shared = None
+    for part in range(SIGNATURE_PARTS):  # so that only a part of them lies in shuffle files at a time
+        own = signatures.where(F.pmod(F.col("sig"), F.lit(SIGNATURE_PARTS)) == part)
+        own = steps.keep(shared_signatures(own, tasks), f"shared-{part}")
+        shared = own if shared is None else shared.unionByName(own)
+        steps.release()
     found = steps.keep(found.drop("firm", "sigs"), "sets")
     steps.drop("signed")
     steps.release()
@@ -561,10 +571,11 @@ def linked_classes(
         return links
 
     near = told.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    near = steps.keep(near.distinct(), "near")
     members = families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
     members = members.join(bounds, "cls").select("fam", "cls", "n", "counts")
-    near_families = components(close_ties(members, rule), steps, "close")
+    ties = steps.keep(close_ties(members, rule), "ties")
+    near = steps.keep(near.unionByName(ties.where("lead").select("a", "b")).distinct(), "near")
+    near_families = components(ties.select("a", "b"), steps, "close")
     members = near_families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
     members = steps.keep(members.join(bounds, "cls").select("fam", "cls", "n", "counts"), "members")
     steps.release()
