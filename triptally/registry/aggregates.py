@@ -32,7 +32,7 @@ from triptally.plans.category import (
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import county_index, lodging_rates
 from triptally.registry import sql
-from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, EVERY_SNAPSHOT, WHOLE, query
+from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, EVERY_MONTH, EVERY_SNAPSHOT, WHOLE, query
 from triptally.schemas import COUNTY_INDEX
 from triptally.session import fresh_folder
 from triptally.sources.publish import PublishedTable
@@ -607,7 +607,7 @@ PRICES = ("lodging_cost", "breakfast_lunch_cost", "dinner_cost", "attraction_cos
 
 @query(
     "agg_validation_report",
-    _county_sql(
+    sql.county(
         f"""SELECT count(*) AS rows_processed,
   count(*) FILTER (meets_threshold) AS rows_meeting_threshold,
   {", ".join(f"count(*) FILTER ({c} IS NULL) AS missing_{c}" for c in PRICES)},
@@ -616,11 +616,13 @@ PRICES = ("lodging_cost", "breakfast_lunch_cost", "dinner_cost", "attraction_cos
   round(min(total_basket_cost), 6) AS min_basket, round(max(total_basket_cost), 6) AS max_basket,
   round(quantile_cont(total_basket_cost, 0.25), 6) AS p25_basket,
   round(quantile_cont(total_basket_cost, 0.5), 6) AS p50_basket,
-  round(quantile_cont(total_basket_cost, 0.75), 6) AS p75_basket FROM county"""
+  round(quantile_cont(total_basket_cost, 0.75), 6) AS p75_basket FROM county""",
+        EVERY_MONTH,
+        COUNTY_CATEGORIES,
     ),
 )
 def agg_validation_report(t):
-    report = reports.validation_report(county_index(t, COUNTY))
+    report = reports.validation_report(county_index(t, EVERY_MONTH))
     return report.withColumns(
         {c: F.round(c, 6) for c in report.columns if c.endswith("_basket")}
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ COUNTY = CountyConfig(
     WHOLE.with_(daily_cap=2, method="cont"),
     min_lodging=5, min_restaurant=5, min_attraction=2, min_retail=2, every_month=False,
 )
+# The whole county index: every county in every month of the period, with data or without.
+EVERY_MONTH = replace(COUNTY, every_month=True)
 SENSITIVITY_CAPS = (1, 2, 3, 4)
 PERIODS = ((FIRST, date(1997, 12, 31)), (date(1998, 1, 1), LAST))
 
