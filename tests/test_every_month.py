@@ -12,6 +12,7 @@ FOLDER = f"{DATA}/sf0.001"
 MONTHS = 12 * (LAST.year - FIRST.year + 1)
 NAMES = (
     "agg_validation_report",
+    "fn_fill_counts",
 )
 
 

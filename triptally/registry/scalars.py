@@ -29,7 +29,7 @@ from triptally.plans.category import category_cost, visitor_rows
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import COUNTS, county_index
 from triptally.registry import sql
-from triptally.registry.base import BY_TRANSACTIONS, CAP_TEST, CAPPED, COUNTY, WHOLE, query
+from triptally.registry.base import BY_TRANSACTIONS, CAP_TEST, CAPPED, COUNTY, EVERY_MONTH, WHOLE, query
 from triptally.schemas import COUNTY_INDEX
 from triptally.sources.writers import conform
 
@@ -270,11 +270,11 @@ def fn_normalize_dc(t):
 
 @query(
     "fn_fill_counts",
-    sql.county(f"SELECT county_fips, month_date, {', '.join(COUNTS)} FROM county", COUNTY,
+    sql.county(f"SELECT county_fips, month_date, {', '.join(COUNTS)} FROM county", EVERY_MONTH,
                COUNTY_CATEGORIES),
 )
 def fn_fill_counts(t):
-    return county_index(t, COUNTY).select("county_fips", "month_date", *COUNTS)
+    return county_index(t, EVERY_MONTH).select("county_fips", "month_date", *COUNTS)
 
 
 @query("fn_output_schema", sql.county("SELECT * FROM county", COUNTY, COUNTY_CATEGORIES))
