@@ -13,6 +13,7 @@ MONTHS = 12 * (LAST.year - FIRST.year + 1)
 NAMES = (
     "agg_validation_report",
     "fn_fill_counts",
+    "fn_output_schema",
 )
 
 

@@ -277,9 +277,9 @@ def fn_fill_counts(t):
     return county_index(t, EVERY_MONTH).select("county_fips", "month_date", *COUNTS)
 
 
-@query("fn_output_schema", sql.county("SELECT * FROM county", COUNTY, COUNTY_CATEGORIES))
+@query("fn_output_schema", sql.county("SELECT * FROM county", EVERY_MONTH, COUNTY_CATEGORIES))
 def fn_output_schema(t):
-    return conform(county_index(t, COUNTY), COUNTY_INDEX).drop("created_at")
+    return conform(county_index(t, EVERY_MONTH), COUNTY_INDEX).drop("created_at")
 
 
 @query(
