@@ -29,7 +29,7 @@ from triptally.plans.category import category_cost, visitor_rows
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import COUNTS, county_index
 from triptally.registry import sql
-from triptally.registry.base import BY_TRANSACTIONS, CAP_TEST, CAPPED, COUNTY, EVERY_MONTH, WHOLE, query
+from triptally.registry.base import BY_TRANSACTIONS, CAP_TEST, CAPPED, EVERY_MONTH, WHOLE, query
 from triptally.schemas import COUNTY_INDEX
 from triptally.sources.writers import conform
 
@@ -284,11 +284,11 @@ def fn_output_schema(t):
 
 @query(
     "fn_meets_threshold",
-    sql.county("SELECT county_fips, month_date, meets_threshold FROM county", COUNTY,
+    sql.county("SELECT county_fips, month_date, meets_threshold FROM county", EVERY_MONTH,
                COUNTY_CATEGORIES),
 )
 def fn_meets_threshold(t):
-    return county_index(t, COUNTY).select("county_fips", "month_date", "meets_threshold")
+    return county_index(t, EVERY_MONTH).select("county_fips", "month_date", "meets_threshold")
 
 
 @query(
