@@ -15,6 +15,7 @@ NAMES = (
     "fn_fill_counts",
     "fn_output_schema",
     "fn_meets_threshold",
+    "county_basket_index",
 )
 
 

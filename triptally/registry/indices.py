@@ -30,7 +30,7 @@ from triptally.registry.base import (
     BY_TRANSACTIONS,
     CAP_TEST,
     CAPPED,
-    COUNTY,
+    EVERY_MONTH,
     SENSITIVITY_CAPS,
     WHOLE,
     query,
@@ -141,9 +141,9 @@ def national_basket_index(t):
     return basket_index(t, WHOLE, level=NATIONAL)
 
 
-@query("county_basket_index", sql.county("SELECT * FROM county", COUNTY, COUNTY_CATEGORIES))
+@query("county_basket_index", sql.county("SELECT * FROM county", EVERY_MONTH, COUNTY_CATEGORIES))
 def county_basket_index(t):
-    return county_index(t, COUNTY).drop("created_at")
+    return county_index(t, EVERY_MONTH).drop("created_at")
 
 
 LATE = (date(1997, 3, 1), date(1997, 3, 31))
