@@ -14,7 +14,7 @@ from triptally.plans.category import category_cost, costs_by_category, visitor_r
 from triptally.plans.county import CATEGORIES as COUNTY_CATEGORIES
 from triptally.plans.county import anchored_sides
 from triptally.registry import sql
-from triptally.registry.base import CAP_TEST, CAPPED, COUNTY, EVERY_SNAPSHOT, WHOLE, query
+from triptally.registry.base import CAP_TEST, CAPPED, EVERY_MONTH, EVERY_SNAPSHOT, WHOLE, query
 from triptally.registry.scalars import comparison_sql
 from triptally.session import fresh_folder
 from triptally.sources.tables import SpendTables
@@ -191,13 +191,13 @@ def join_basket(t):
     sql.county(
         """SELECT county_fips, month_date, breakfast_lunch_cost, dinner_cost, attraction_cost,
   retail_cost, lodging_cost FROM county""",
-        COUNTY,
+        EVERY_MONTH,
         COUNTY_CATEGORIES,
     ),
 )
 def join_county_anchor(t):
     keys = ["county_fips", "month_date"]
-    cards, rates, months = anchored_sides(t, COUNTY)
+    cards, rates, months = anchored_sides(t, EVERY_MONTH)
     return months.join(cards, keys, "left").join(rates, keys, "left").select(
         *keys, "breakfast_lunch_cost", "dinner_cost", "attraction_cost", "retail_cost",
         "lodging_cost",
