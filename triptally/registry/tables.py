@@ -17,7 +17,7 @@ from triptally.plans.basket import basket_from_exports, basket_index
 from triptally.plans.category import category_cost, visitor_rows, visitor_transactions
 from triptally.plans.county import CATEGORIES, county_index
 from triptally.registry import sql
-from triptally.registry.base import COUNTY, PERIODS, WHOLE, query
+from triptally.registry.base import EVERY_MONTH, PERIODS, WHOLE, query
 from triptally.schemas import BASKET, COUNTY_INDEX, category_export
 from triptally.session import fresh_folder
 from triptally.sources import tables as readers
@@ -161,16 +161,10 @@ def basket_from_exports_(t):
 
 
 def _county_of(start: date, end: date) -> CountyConfig:
-    return replace(COUNTY, index=COUNTY.index.with_(start=start, end=end))
+    return replace(EVERY_MONTH, index=EVERY_MONTH.index.with_(start=start, end=end))
 
 
-@query(
-    "sink_append_schema",
-    " UNION ALL ".join(
-        f"SELECT * FROM ({sql.county('SELECT * FROM county', _county_of(start, end), CATEGORIES)})"
-        for start, end in PERIODS
-    ),
-)
+@query("sink_append_schema", sql.county("SELECT * FROM county", EVERY_MONTH, CATEGORIES))
 def sink_append_schema(t):
     """Two runs append to a catalog table, one of them twice; the table is read by its name."""
     folder = fresh_folder(t.spark, "county-index")
