@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import documents, prose
 from pyspark.sql import functions as F
 
-from triptally.llm import phrases
+from triptally.llm import arrays, phrases
 
 
 def lowered(text):
@@ -123,3 +125,18 @@ def test_a_full_filter_only_lets_more_through(spark):
         assert phrases.Known(bits)(prints.view(np.uint64)).all()
     others = rng.integers(-(2**63), 2**63 - 1, 50_000).view(np.uint64)
     assert phrases.Known(phrases.known_prints(table))(others).mean() < 0.05
+
+
+def test_words_are_hashed_in_little_memory():
+    """Hashes do not depend on the blocks; working arrays stay far below the sums over a whole chunk."""
+    rng = random.Random(5)
+    text = prose(rng, 200_000) + " " + "x" * 200_000 + " é. " + prose(rng, 200_000)
+    chunk = next(arrays.chunks(pa.array([text, ""]), len(text) * 4))
+    arrays._powers.clear()
+    tracemalloc.start()
+    grams = phrases.Grams(chunk, np.zeros(len(chunk), np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(chunk.data)
+    whole = arrays.ranges(arrays.running(chunk.data, lower=True), grams.starts, grams.ends)
+    assert (phrases._word_hashes(chunk.data, grams.starts, grams.ends) == whole).all()

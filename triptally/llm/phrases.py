@@ -9,6 +9,7 @@ that collisions change nothing, and only these phrases ever become strings.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ LONGEST = 5
 FILTER_BITS = 1 << 27  # at most; 16 MB whatever the number of frequent phrases
 HELD = 1 << 22  # fingerprints a task gathers before it counts them
 HELD_PHRASES = 300_000  # phrases it gathers before it hands on their counts
+BLOCK_BYTES = 1 << 16  # of a text whose words are hashed at once
+OUT_ROWS = 1 << 16  # rows of a batch that a task hands on
 SALTS = 64  # parts of a language that are ranked apart before the last ranking
 _ODD = U64(0x9E3779B97F4A7C15)
 _STEP = 0xA24BAED4963EE407
@@ -54,8 +57,8 @@ class Grams:
         self.ends = np.flatnonzero(ends) + 1
         self.row = np.searchsorted(chunk.bounds, self.starts, "right") - 1
         # A piece is named by its row and the number of cuts before it.
-        self.piece = np.cumsum(cut)[self.starts] + self.row if len(data) else self.starts
-        hashes = ranges(running(data, lower=True), self.starts, self.ends)
+        self.piece = np.searchsorted(np.flatnonzero(cut), self.starts) + self.row
+        hashes = _word_hashes(data, self.starts, self.ends)
         self.total = np.zeros(len(hashes) + 1, U64)
         np.cumsum(hashes * powers(_STEP, len(hashes)), out=self.total[1:])
         self.salts = salts[self.row] if len(self.row) else np.zeros(0, U64)
@@ -72,6 +75,20 @@ class Grams:
         return mix(moved + self.salts[at] + np.array([n], U64) * _ODD) & self.mask
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word, from running sums over a block of words at a time: sums over the whole
+    chunk would take some forty bytes for each of its bytes."""
+    hashes = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+        first = starts[i]
+        total = running(data[first : ends[j - 1]], lower=True)
+        hashes[i:j] = ranges(total, starts[i:j] - first, ends[i:j] - first)
+        i = j
+    return hashes
+
+
 def _salts(batch: pa.RecordBatch, chunk: Chunk) -> tuple[np.ndarray, list[str]]:
     """A random value for the language of each row, and the languages."""
     langs = batch.column(1).slice(chunk.first, len(chunk)).to_pylist()
@@ -123,11 +140,20 @@ def known_prints(frequent: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
     return bits
 
 
-def _counted(prints: list[np.ndarray]) -> pa.RecordBatch:
-    distinct, counts = np.unique(np.concatenate(prints), return_counts=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(distinct.view(np.int64)), pa.array(counts.astype(np.int32))], names=["fp", "c"]
-    )
+def _counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Distinct fingerprints with their counts, in small batches; `held` is emptied."""
+    prints = np.concatenate(held)
+    held.clear()
+    prints.sort()
+    new = np.ones(len(prints), bool)
+    new[1:] = prints[1:] != prints[:-1]
+    first = np.append(np.flatnonzero(new), len(prints))
+    for i in range(0, len(first) - 1, OUT_ROWS):
+        bounds = first[i : i + OUT_ROWS + 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(prints[bounds[:-1]].view(np.int64)), pa.array(np.diff(bounds).astype(np.int32))],
+            names=["fp", "c"],
+        )
 
 
 def _level(
@@ -156,10 +182,10 @@ def _level(
                     held.append(grams.prints(at, n))
                     amount += len(at)
                 if amount >= HELD:
-                    yield _counted(held)
-                    held, amount = [], 0
+                    yield from _counted(held)
+                    amount = 0
         if amount:
-            yield _counted(held)
+            yield from _counted(held)
 
     found = docs.mapInArrow(run, "fp long, c int")
     return found.groupBy("fp").agg(F.sum("c").alias("f")).where(F.col("f") >= least).select("fp")
@@ -177,17 +203,30 @@ def _phrases(docs: DataFrame, known, width: int) -> DataFrame:
         has = Known(known.value)
         held: dict[tuple[str, bytes], list] = {}  # [m, count, no key, key, place]
 
-        def flush(kind: pa.DataType) -> pa.RecordBatch:
-            rows = list(held.values())
-            arrays = [
-                pa.array([lang for lang, _ in held], pa.string()),
-                pa.array([phrase for _, phrase in held], pa.binary()).cast(pa.string()),
-                pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([None if r[2] else r[3] for r in rows], kind),
-                pa.array([r[4] for r in rows], pa.int64()),
-            ]
+        def flush(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            entries = iter(held.items())
+            while some := list(islice(entries, OUT_ROWS)):
+                rows = [row for _, row in some]
+                arrays = [
+                    pa.array([lang for (lang, _), _ in some], pa.string()),
+                    pa.array([phrase for (_, phrase), _ in some], pa.binary()).cast(pa.string()),
+                    pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([None if r[2] else r[3] for r in rows], kind),
+                    pa.array([r[4] for r in rows], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
             held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        def add(told: list[tuple], values: list) -> None:
+            for lang, phrase, m, count, row, place in told:
+                entry = held.get((lang, phrase))
+                where = [values[row] is None, values[row], place]
+                if entry is None:
+                    held[lang, phrase] = [m, count, *where]
+                else:
+                    entry[1] += count
+                    if not where[0] and (entry[2] or where[1:] < entry[3:]):
+                        entry[2:] = where
 
         column = None
         for batch in batches:
@@ -199,27 +238,18 @@ def _phrases(docs: DataFrame, known, width: int) -> DataFrame:
                 rank = np.argsort(pa.compute.sort_indices(keys).to_numpy())  # null keys last
                 values = keys.to_pylist()
                 words = np.bincount(grams.row, minlength=len(chunk)).tolist()
-                told = [(name, b"", 0, n, r, 0) for r, (name, n) in enumerate(zip(langs, words, strict=True)) if n]
+                add([(name, b"", 0, n, r, 0) for r, (name, n) in enumerate(zip(langs, words, strict=True)) if n], values)
                 lowered = LOWER[chunk.data].tobytes()
                 same = _word_numbers(lowered, grams)
                 for n in range(1, LONGEST + 1):
                     at = grams.places(n)
                     at = at[has(grams.prints(at, n))]
                     at = at[np.argsort(rank[grams.row[at]], kind="stable")]
-                    told += _by_text(at, grams.prints(at, n), n, grams, same, lowered, langs)
-                for lang, phrase, m, count, row, place in told:
-                    entry = held.get((lang, phrase))
-                    where = [values[row] is None, values[row], place]
-                    if entry is None:
-                        held[lang, phrase] = [m, count, *where]
-                    else:
-                        entry[1] += count
-                        if not where[0] and (entry[2] or where[1:] < entry[3:]):
-                            entry[2:] = where
+                    add(_by_text(at, grams.prints(at, n), n, grams, same, lowered, langs), values)
                 if len(held) >= HELD_PHRASES:
-                    yield flush(column)
+                    yield from flush(column)
         if held:
-            yield flush(column)
+            yield from flush(column)
 
     found = docs.mapInArrow(
         run, f"lang string, phrase string, m int, c long, doc {kind}, place long"
