@@ -91,6 +91,47 @@ def test_similar_sets_share_a_signature(size):
         assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
 
 
+@pytest.mark.parametrize("size", [16, 40, 63, 64, 130, 257, 1040, 1270, 2100, 4500])
+def test_similar_sets_keep_a_signature_in_common(size):
+    """Each goes without as many as it can, those shared first, in one order: one is left to both. Also
+    for sets little larger than the lower end of a band, which fill few parts of the band below."""
+    rule = ngram_join.Similarity()
+    rng = np.random.default_rng(size)
+    for _ in range(20):
+        common = rng.integers(1, 1 << 62, size * 9 // 10).astype(U64)
+        parts = [rng.integers(1, 1 << 62, n).astype(U64) for n in rng.multinomial(size // 10, [0.5, 0.5])]
+        sets = [np.unique(np.concatenate([common, p])) for p in parts]
+        both = len(np.intersect1d(*sets))
+        assert 100 * both >= 80 * (len(sets[0]) + len(sets[1]) - both)
+        sizes = np.array([len(s) for s in sets])
+        rows, keys, free = ngram_join._signatures(np.repeat([0, 1], sizes), np.concatenate(sets), sizes, rule)
+        shared = np.intersect1d(keys[rows == 0], keys[rows == 1])
+        left = [set(shared[int(n):].tolist()) for n in free]
+        assert left[0] & left[1]
+        if size >= 1000:
+            assert (free > 1).all()
+
+
+def test_unlike_texts_with_a_common_passage_are_no_family(spark, monkeypatch):
+    """A passage of many texts, a small share of each, brings none of them together."""
+    rng = random.Random(31)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(30)]
+    rows = [
+        (i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(1040)] + passage)) for i in range(24)
+    ]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(3)]
+    met = {}
+
+    def counted(links, steps, name, found=ngram_join.components):
+        met[name] = links.count()
+        return found(links, steps, name)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    found = ngram_join.similar_documents(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component) for r in found} == linked_components(rows)
+    assert met["families"] == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     frame = spark.createDataFrame(links, "a long, b long")

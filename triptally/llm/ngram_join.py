@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triptally.llm.arrays import U64, chunks, distinct, lists, mix, shingles, signed, words
@@ -20,6 +20,7 @@ CROWD = 8  # a signature of more sets is crowded: a passage of many texts, or a
 FAMILY_BLOCK = 64  # sets of a family are compared in pairs of blocks of this many
 BUCKETS = 128  # of the counts that bound a difference from below
 FINE = 4 * BUCKETS  # sets of at least this many elements have finer counts too
+FREE = 1 << 20  # size and signatures to do without share a number: size * FREE + these
 SIGNATURE_PARTS = 4  # signatures are brought together in this many steps
 ROWS_PER_TASK = 2_000_000  # signatures one task sorts; more of them get more tasks
 
@@ -43,17 +44,17 @@ class Similarity:
         """How many more signatures than needed a set gives, so that crowded ones can go."""
         return size // 16 + 3
 
-    def crowded(self, size: str) -> str:
-        """The number of crowded signatures (SQL) that a set can do without: what the smallest set
-        that it can link with has to spare."""
-        return f"({size} * {self.num} div {self.den}) div 16 + 3"
+    def droppable(self, size: np.ndarray | int) -> np.ndarray | int:
+        """How many signatures a set can do without at most: what the smallest set that it can link
+        with has to spare."""
+        return self.spare(size * self.num // self.den)
 
 
 def _signatures(
     rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, rule: Similarity
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature) of every set, given its sorted distinct (row, hash) pairs, and whether a set
-    has fewer signatures than it should.
+    """(row, signature) of every set, given its sorted distinct (row, hash) pairs, and how many
+    signatures each set can do without.
 
     A band covers sizes of one range; a set whose partner may be in the band below also signs there.
     In a band the domain of shingles is cut into a fixed number of parts by a hash. Sets that link
@@ -61,13 +62,20 @@ def _signatures(
     empty, in one order for all sets, at least 1 + spare are the same in both: their contents are
     the signatures. A set with fewer non-empty parts signs all of them; with no more than furthest,
     also its first furthest + 1 shingles, each as a part of its own: two such sets meet there.
+
+    Sets that link share more signatures of their band than either can do without. If the set whose
+    parts end first does not sign all of them, 1 + spare are shared, and neither can do without more than
+    its spare; if both sign all, all but furthest of either are shared. So of the shared ones the last in
+    an order that all sets follow is left when each goes without its first ones.
     """
     edges = BAND_RATIO ** np.arange(30, dtype=np.int64)
     band = np.maximum(np.searchsorted(edges, sizes, "right") - 1, 0)
     # The smallest partner has ceil(size * t) elements.
     smallest = -(-sizes * rule.num // rule.den)
     out_rows, out = [], []
-    short = np.zeros(len(sizes), bool)
+    need = rule.furthest(sizes) + 1
+    wanted = need + rule.spare(sizes)
+    free = rule.droppable(sizes)
     for step in (0, 1):
         # All sets sign in their own band; those with partners in the band below sign there too.
         chosen = (sizes > 0) if step == 0 else (sizes > 0) & (smallest < edges[band])
@@ -92,13 +100,11 @@ def _signatures(
         first[1:] = owner[1:] != owner[:-1]
         begin = np.flatnonzero(first)
         rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        need = rule.furthest(sizes) + 1
-        wanted = need + rule.spare(sizes)
         take = rank < wanted[owner]
         out_rows.append(owner[take])
         out.append(key[take])
         filled = np.bincount(owner, minlength=len(sizes))
-        short |= chosen & (filled < wanted)
+        free = np.where(chosen, np.minimum(free, np.maximum(filled - need, 0)), free)
         few = chosen & (filled < need)
         if few.any():
             mine = few[r]
@@ -113,8 +119,8 @@ def _signatures(
             out_rows.append(rr[take])
             out.append(mix(hh[take] ^ (bb[take].astype(U64) + U64(0xFE0000))))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, U64), short
-    return np.concatenate(out_rows), np.concatenate(out), short
+        return np.zeros(0, np.int64), np.zeros(0, U64), free
+    return np.concatenate(out_rows), np.concatenate(out), free
 
 
 def _sets(chunk, rule: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,10 +175,9 @@ def row_mark(key: str, text: str) -> Column:
 
 
 def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataFrame:
-    """(key, mark, n_shingles, cls, firm, counts, fine, sigs): mark is a hash of key and text; cls names
+    """(key, mark, n_shingles, cls, free, counts, fine, sigs): mark is a hash of key and text; cls names
     a set, equal sets share it; counts are those of its buckets, fine those of a large set's many
-    buckets; sigs only where a task meets the set for the first time. A firm set can do without none of
-    its signatures."""
+    buckets; sigs only where a task meets the set for the first time, of which it can do without `free`."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -186,28 +191,28 @@ def signed_sets(docs: DataFrame, rule: Similarity, key: str, text: str) -> DataF
                         seen.add(name)
                         fresh[i] = True
                 mine = fresh[rows]
-                owner, sigs, short = _signatures(rows[mine], hashes[mine], sizes * fresh, rule)
+                owner, sigs, free = _signatures(rows[mine], hashes[mine], sizes * fresh, rule)
                 order = np.argsort(owner, kind="stable")
                 counts = np.bincount(owner, minlength=len(chunk))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(chunk)),
                      batch.column(2).slice(chunk.first, len(chunk)), pa.array(sizes),
-                     signed(whole), pa.array(short),
+                     signed(whole), pa.array(free, pa.int64()),
                      _bucket_counts(rows, hashes, len(chunk)), _fine_counts(rows, hashes, sizes),
                      lists(sigs[order].view(np.int64), counts)],
-                    names=["key", "mark", "n_shingles", "cls", "firm", "counts", "fine", "sigs"],
+                    names=["key", "mark", "n_shingles", "cls", "free", "counts", "fine", "sigs"],
                 )
 
     return docs.select(F.col(key), F.col(text), row_mark(key, text)).mapInArrow(
         run,
-        f"key {kind}, mark long, n_shingles long, cls long, firm boolean, counts binary, "
+        f"key {kind}, mark long, n_shingles long, cls long, free long, counts binary, "
         "fine binary, sigs array<long>",
     )
 
 
 def shared_signatures(signatures: DataFrame, tasks: int) -> DataFrame:
     """(sig, cls, tag, pivot, crowd) of every signature that several sets have; pivot is its smallest
-    set."""
+    set, crowd their number."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
@@ -225,7 +230,7 @@ def shared_signatures(signatures: DataFrame, tasks: int) -> DataFrame:
         begin = np.flatnonzero(start)
         sizes = np.diff(np.append(begin, len(sig)))
         several = np.repeat(sizes > 1, sizes)
-        columns = (sig, cls, tag, np.repeat(cls[begin], sizes), np.repeat(sizes > CROWD, sizes))
+        columns = (sig, cls, tag, np.repeat(cls[begin], sizes), np.repeat(sizes, sizes))
         columns = [c[several] for c in columns]
         for i in range(0, len(columns[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +239,7 @@ def shared_signatures(signatures: DataFrame, tasks: int) -> DataFrame:
             )
 
     return signatures.repartition(tasks, "sig").mapInArrow(
-        run, "sig long, cls long, tag long, pivot long, crowd boolean"
+        run, "sig long, cls long, tag long, pivot long, crowd long"
     )
 
 
@@ -500,9 +505,9 @@ def linked_classes(
     that has shingles: the smallest key and mark of its rows, and what is reachable by links.
 
     Equal sets are one class, named by a 64-bit hash. Classes that share a PartEnum signature are
-    candidates. A class with few crowded signatures does without them, for it shares others with
-    whatever it links with; the other classes of crowded signatures are families, compared block by
-    block, by bucket counts first. Of signatures that are not crowded, each class is first compared with
+    candidates. A class does without its most crowded signatures, as many as it can, for it shares others
+    with whatever it links with; the classes of signatures that are crowded even so are families, compared
+    block by block, by bucket counts first. Of signatures that are not crowded, each class is first compared with
     the smallest only, and so are a few sets of each family that are alike by counts; then every pair of classes that share one, or are of one family and may link by
     their counts, and are not yet in one component, is compared in full, so no link is lost. Elements of a class are read from one text, found by its mark, so classes whose
     rows have no key, or share one with other texts, are compared like any other.
@@ -510,7 +515,7 @@ def linked_classes(
     spark = docs.sparkSession
     steps = Steps(spark, "similar")
     found = steps.keep(signed_sets(docs, rule, key, text), "signed")
-    tag = (F.col("n_shingles") * 2 + F.col("firm").cast("long")).alias("tag")
+    tag = (F.col("n_shingles") * FREE + F.least("free", F.lit(FREE - 1))).alias("tag")
     signatures = found.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "cls", tag)
     n = found.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (SIGNATURE_PARTS * ROWS_PER_TASK)))
@@ -520,22 +525,25 @@ def linked_classes(
         own = steps.keep(shared_signatures(own, tasks), f"shared-{part}")
         shared = own if shared is None else shared.unionByName(own)
         steps.release()
-    found = steps.keep(found.drop("firm", "sigs"), "sets")
+    found = steps.keep(found.drop("free", "sigs"), "sets")
     steps.drop("signed")
     steps.release()
 
-    # Crowded signatures stay only for the classes that need them.
-    crowded = shared.where("crowd").select("sig", "cls", "tag")
-    loose = (
-        crowded.groupBy("cls", "tag").agg(F.count("*").alias("c"))
-        .where("tag % 2 = 0").where(f"c <= {rule.crowded('(tag div 2)')}").select("cls")
+    # Each class goes without its most crowded signatures; what is left of a crowd may be none.
+    most = Window.partitionBy("cls").orderBy(F.desc("crowd"), "sig")
+    crowded = shared.where(F.col("crowd") > CROWD).withColumn("nth", F.row_number().over(most))
+    crowded = crowded.where(F.col("nth") > F.col("tag") % FREE).select("sig", "cls", "tag")
+    crowded = steps.keep(crowded, "crowded")
+    least = crowded.groupBy("sig").agg(F.min("cls").alias("pivot"), F.count("*").alias("crowd"))
+    needed = steps.keep(crowded.join(least.where("crowd > 1"), "sig"), "needed")
+    steps.drop("crowded")
+    columns = ("sig", "cls", "tag", "pivot")
+    told = shared.where(F.col("crowd") <= CROWD).select(*columns).unionByName(
+        needed.where(F.col("crowd") <= CROWD).select(*columns)
     )
-    needed = crowded.join(loose, "cls", "left_anti")
-    least = needed.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"))
-    ties = needed.join(least.where("pivot < last"), "sig").where("cls <> pivot")
+    ties = needed.where((F.col("crowd") > CROWD) & (F.col("cls") != F.col("pivot")))
     ties = ties.select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     families = steps.keep(components(ties, steps, "families"), "families")
-    told = shared.where("not crowd")
 
     filled = found.where("n_shingles > 0")
     told_classes = told.select("cls").unionByName(families.select(F.col("node").alias("cls")))
@@ -583,7 +591,7 @@ def linked_classes(
     groups = steps.keep(components(links, steps, "groups"), "groups")
 
     # Signatures whose sets are in several components: all pairs across components.
-    placed = told.select("sig", "cls", (F.col("tag") / 2).cast("long").alias("n")).join(
+    placed = told.select("sig", "cls", F.expr(f"tag div {FREE}").alias("n")).join(
         groups.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("comp", F.coalesce("comp", "cls"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
