@@ -4,6 +4,7 @@ import importlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import documents, linked_components, prose, repeated_ranges, shingle_set, texts
 
@@ -230,6 +231,54 @@ def test_removal_in_large_groups(spark, monkeypatch):
     _check_removal(spark, rows, length=60, gram=20, batches=3)
 
 
+class _Caught:
+    """Takes the function of a mapInArrow, to call it here."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_removal_compares_few_groups_at_a_time(monkeypatch):
+    """Whatever the rows of a task: the same spans as from all groups at once, of a bounded number of
+    entries at a time."""
+    monkeypatch.setattr(suffix_dedup, "CUT_ROWS", 50, raising=False)
+    rng = random.Random(8)
+    rows = []
+    for anchor in range(300):
+        base = bytes(rng.choices(b"abcd", k=40))
+        for _ in range(64 if anchor == 100 else rng.randrange(1, 9)):
+            rows.append((anchor, rng.randrange(1, 3), len(rows), 7, base[rng.randrange(12) :]))
+    names = ["anchor", "times", "row", "first", "bytes"]
+    types = [pa.int64()] * 3 + [pa.int32(), pa.binary()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    met = []
+
+    def recorded(part, length, found=suffix_dedup._windows):
+        met.append(part.num_rows)
+        return found(part, length)
+
+    monkeypatch.setattr(suffix_dedup, "_windows", recorded)
+    run = suffix_dedup._compare_groups(_Caught(), 20)
+    sizes = [0, 1, 333, 340, 400, whole.num_rows]
+    parts = [whole.slice(a, b - a) for a, b in zip(sizes, sizes[1:])]
+    spans = [tuple(r.values()) for batch in run(iter(parts)) for r in batch.to_pylist()]
+    expected = []
+    for anchor in range(300):
+        mine = [r for r in rows if r[0] == anchor]
+        cuts = repeated_ranges([r[4] for r in mine], 20)
+        expected += [(r[2], 7 + a, 7 + b) for r, cut in zip(mine, cuts) if r[1] == 1 for a, b in cut]
+    covered = lambda found: {(row, at) for row, a, b in found for at in range(a, b)}
+    assert covered(spans) == covered(expected) != set()
+    assert sum(met) == len(rows) and max(met) <= 2 * 50 + 64
+
+
+def test_removal_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CUT_ROWS", 3)
+    monkeypatch.setattr(suffix_dedup, "TEXT_BYTES", 500)
+    _check_removal(spark, [r for r in texts() if r[0] != 70])
+
+
 def _check_rows(spark, rows):
     """What is removed of every row, told by its key and text."""
     ranges = repeated_ranges([(t or "").encode() for _, t in rows], 60)

@@ -24,6 +24,8 @@ from triptally.llm.tables import Steps, fields, unused
 ROW = "__row"
 CELL = np.uint64(16)  # windows of a cell on average
 SMALL_GROUP = 64  # larger groups of one anchor are compared window by window across tasks
+CUT_ROWS = 2048  # entries whose windows a task holds at a time, and what completes their group
+TEXT_BYTES = 1 << 18  # of texts that a task works on at a time
 
 
 def sampled_suffixes(docs: DataFrame, text: str, length: int, gram: int, batches: int) -> DataFrame:
@@ -32,7 +34,7 @@ def sampled_suffixes(docs: DataFrame, text: str, length: int, gram: int, batches
     def run(parts) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column(0)
-            for chunk in chunks(part.column(1)):
+            for chunk in chunks(part.column(1), TEXT_BYTES):
                 found = find_runs(chunk, length, gram)
                 if len(found.row):
                     yield pa.RecordBatch.from_arrays(
@@ -99,7 +101,7 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
     def run(parts) -> Iterator[pa.RecordBatch]:
         for part in parts:
             wanted = part.column("wanted")
-            for chunk in chunks(part.column("text")):
+            for chunk in chunks(part.column("text"), TEXT_BYTES):
                 raw = chunk.data.tobytes()
                 columns: list[list] = [[] for _ in range(7)]
                 for i in range(len(chunk)):
@@ -156,23 +158,45 @@ def _spans(entry: np.ndarray, offset: np.ndarray, part, length: int) -> pa.Recor
     )
 
 
+def _slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, at most CUT_ROWS at a time."""
+    for part in parts:
+        for i in range(0, part.num_rows, CUT_ROWS):
+            yield part.slice(i, CUT_ROWS)
+
+
+def _whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by anchor in tables of whole anchors; none has more than about CUT_ROWS rows and an
+    anchor's besides."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for part in _slices(parts):
+        anchors = part.column("anchor").to_numpy()
+        begin = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors))
+        begin = begin if anchors[0] == last else np.append(0, begin)
+        at = 0
+        if n >= CUT_ROWS and begin[0] < len(anchors):  # the group that is held ends in this slice
+            at = int(begin[0])
+            yield pa.Table.from_batches([*held, part.slice(0, at)])
+            held, n = [], 0
+        held.append(part.slice(at))
+        n, last = n + len(anchors) - at, anchors[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _compare_groups(cut: DataFrame, length: int) -> DataFrame:
-    """Spans of the windows that another entry of the same anchor holds too; whole groups meet in
-    one task, which holds only small ones."""
+    """Spans of the windows that another entry of the same anchor holds too; groups are small, and a
+    task, to which they come in order, holds the windows of some at a time."""
 
     def run(parts) -> Iterator[pa.RecordBatch]:
-        parts = list(parts)
-        if not parts:
-            return
-        part = pa.Table.from_batches(parts)
-        if part.num_rows == 0:
-            return
-        entry, offset, hashes = _windows(part, length)
-        _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        single = part.column("times").to_numpy()[entry] == 1
-        keep = (counts[inverse] > 1) & single
-        if keep.any():
-            yield _spans(entry[keep], offset[keep], part, length)
+        for part in _whole_groups(parts):
+            entry, offset, hashes = _windows(part, length)
+            _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            single = part.column("times").to_numpy()[entry] == 1
+            keep = (counts[inverse] > 1) & single
+            if keep.any():
+                yield _spans(entry[keep], offset[keep], part, length)
 
     return cut.mapInArrow(run, "row long, lo int, hi int")
 
@@ -183,9 +207,7 @@ def _cells(cut: DataFrame, length: int) -> DataFrame:
     cell is the hash of a stretch's bytes."""
 
     def run(parts) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows == 0:
-                continue
+        for part in _slices(parts):
             entry, offset, hashes = _windows(part, length)
             new = np.ones(len(entry), bool)
             new[1:] = (entry[1:] != entry[:-1]) | (hashes[:-1] % CELL == 0)
@@ -217,9 +239,7 @@ def _compare_windows(cut: DataFrame, length: int) -> DataFrame:
     windows, whatever task they are in."""
 
     def run(parts) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows == 0:
-                continue
+        for part in _slices(parts):
             entry, offset, hashes = _windows(part, length)
             yield pa.RecordBatch.from_arrays(
                 [signed(hashes), pa.array(part.column("row").to_numpy()[entry]),
@@ -268,7 +288,7 @@ def repeated_spans(
     by_row = places.groupBy("row").agg(F.collect_list("w").alias("wanted"))
     texts = docs.select(F.col(ROW).alias("row"), F.col(text).alias("text")).join(by_row, "row")
     cut = steps.keep(_cut(texts, length), "cut")
-    small = cut.where(F.col("members") <= SMALL_GROUP).repartition("anchor")
+    small = cut.where(F.col("members") <= SMALL_GROUP).repartition("anchor").sortWithinPartitions("anchor")
     some = _compare_groups(small, length)
     large = _compare_windows(cut.where(F.col("members") > SMALL_GROUP), length)
     spans = full.unionByName(some).unionByName(large)
@@ -316,8 +336,9 @@ def remove_repeats(
     def run(parts) -> Iterator[pa.RecordBatch]:
         for part in parts:
             wanted = part.column(where)
-            sizes, gone, n, kept = [], [], [], []
-            for chunk in chunks(part.column(at)):
+            others = [part.column(k) for k in range(part.num_columns) if k != where]
+            for chunk in chunks(part.column(at), TEXT_BYTES):
+                sizes, gone, n, kept = [], [], [], []
                 for i in range(len(chunk)):
                     own = chunk.data[chunk.bounds[i] : chunk.bounds[i + 1]]
                     found = wanted[chunk.first + i]
@@ -337,12 +358,12 @@ def remove_repeats(
                     gone.append(int((hi - lo).sum()))
                     n.append(len(lo))
                     kept.append(own[keep].tobytes())
-            others = [part.column(k) for k in range(part.num_columns) if k != where]
-            yield pa.RecordBatch.from_arrays(
-                [*others, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(n, pa.int64()), pa.array(kept, pa.binary())],
-                names=[*columns, *names],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(chunk.first, len(chunk)) for c in others],
+                     pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
+                     pa.array(n, pa.int64()), pa.array(kept, pa.binary())],
+                    names=[*columns, *names],
+                )
 
     return both.mapInArrow(
         run, schema + ", n_bytes long, n_removed long, n_spans long, kept binary"
