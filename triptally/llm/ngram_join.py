@@ -340,6 +340,16 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def stars(ties: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the components of `ties`: each node is linked with the smallest of its
+    smaller neighbours only, and they with that one. A node has few of them, one for each of its signatures or
+    of the sets in its groups of blocks."""
+    ends = ties.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    least = F.min("y").over(Window.partitionBy("x"))
+    other = F.when(F.col("y") == F.col("least"), F.col("x")).otherwise(F.col("y"))
+    return ends.distinct().withColumn("least", least).select(F.col("least").alias("a"), other.alias("b"))
+
+
 def _by_key(batches, n_keys: int) -> Iterator[pa.Table]:
     """The rows of sorted batches, key by key; keys are the first columns."""
     held: list[pa.RecordBatch] = []
@@ -543,7 +553,7 @@ def linked_classes(
     )
     ties = needed.where((F.col("crowd") > CROWD) & (F.col("cls") != F.col("pivot")))
     ties = ties.select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    families = steps.keep(components(ties, steps, "families"), "families")
+    families = steps.keep(components(stars(ties), steps, "families"), "families")
 
     filled = found.where("n_shingles > 0")
     told_classes = told.select("cls").unionByName(families.select(F.col("node").alias("cls")))
@@ -583,7 +593,7 @@ def linked_classes(
     members = members.join(bounds, "cls").select("fam", "cls", "n", "counts")
     ties = steps.keep(close_ties(members, rule), "ties")
     near = steps.keep(near.unionByName(ties.where("lead").select("a", "b")).distinct(), "near")
-    near_families = components(ties.select("a", "b"), steps, "close")
+    near_families = components(stars(ties), steps, "close")
     members = near_families.select(F.col("comp").alias("fam"), F.col("node").alias("cls"))
     members = steps.keep(members.join(bounds, "cls").select("fam", "cls", "n", "counts"), "members")
     steps.release()
