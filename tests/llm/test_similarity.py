@@ -140,6 +140,16 @@ def test_components_of_chains_and_stars(spark):
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_stars_have_the_components_of_many_ties(spark):
+    """Each of a group tied with several others: the same components by about one link each."""
+    ties = [(j, i) for i in range(60) for j in range(i % 10, 10)] + [(70, 71), (72, 71), (80, 80)]
+    frame = spark.createDataFrame(ties, "a long, b long")
+    links = ngram_join.stars(frame)
+    found = {r.node: r.comp for r in components(links, Steps(spark, "test"), "stars").collect()}
+    assert found == {i: 0 for i in range(60)} | {i: 70 for i in (70, 71, 72)}
+    assert links.distinct().count() < 100 < len(ties)
+
+
 def test_components_with_hot_centres(spark, monkeypatch):
     """Centres looked up by a broadcast: the same components."""
     monkeypatch.setattr(module := importlib.import_module("triptally.llm.components"), "FEW", 3)
